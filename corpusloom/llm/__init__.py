@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("groups",)
+MODULES = ("groups", "splits")
 
 
 def queries() -> dict:
