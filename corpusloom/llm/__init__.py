@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("groups", "splits")
+MODULES = ("groups", "splits", "survivors")
 
 
 def queries() -> dict:
