@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("groups", "splits", "survivors")
+MODULES = ("groups", "splits", "survivors", "tokens")
 
 
 def queries() -> dict:
