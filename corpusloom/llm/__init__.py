@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("groups", "splits", "survivors", "tokens")
+MODULES = ("groups", "splits", "survivors", "tokens", "lookalikes")
 
 
 def queries() -> dict:
