@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("groups", "splits", "survivors", "tokens", "mixing", "lookalikes")
+MODULES = ("groups", "reference", "splits", "survivors", "tokens", "mixing", "lookalikes")
 
 
 def queries() -> dict:
