@@ -50,3 +50,10 @@ def ranked(df: DataFrame, groups: list[str], tie: Column, name: str = "rank", bu
         same = same & F.col(g).eqNullSafe(F.col(n))
     own = F.row_number().over(Window.partitionBy(*groups, "__b").orderBy("__h", tie)) - 1
     return cut.withColumn("__own", own).join(starts, same).withColumn(name, F.col("__start") + F.col("__own")).drop("__h", "__b", "__gb", "__own", "__start", *names)
+
+
+def top_n(df: DataFrame, groups: list[str], order: list[Column], n: int, spread: Column, name: str = "rank", parts: int = 64) -> DataFrame:
+    """The first ``n`` rows of each group by ``order``, with ``name`` = 1, 2, ...; a group is first cut into ``parts`` by the hash of ``spread``."""
+    cut = df.withColumn("__part", F.pmod(F.xxhash64(spread), F.lit(parts)))
+    few = cut.withColumn(name, F.row_number().over(Window.partitionBy(*groups, "__part").orderBy(*order))).filter(F.col(name) <= n).drop("__part")
+    return few.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).filter(F.col(name) <= n)
