@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("groups", "reference", "neighbours", "splits", "survivors", "tokens", "mixing", "lookalikes")
+MODULES = ("groups", "clusters", "reference", "neighbours", "splits", "survivors", "tokens", "mixing", "lookalikes")
 
 
 def queries() -> dict:
