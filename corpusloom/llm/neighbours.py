@@ -106,7 +106,7 @@ def neighbours(vectors: DataFrame, k: int, floor: float, scratch: Scratch) -> Da
     schema = "q bigint, x bigint, cos double"
     if n < 2:
         return vectors.sparkSession.createDataFrame([], schema)
-    centres, sample = pivots(vectors, n, 1), sampled(vectors, FIT_ROWS, 2)
+    centres, sample = pivots(vectors, n, 1), sampled(vectors, FIT_ROWS, n, 2)
     dim = centres.shape[1]
     books = vectors.sparkSession.sparkContext.broadcast(fit(sample))
     placed = assigned(vectors, centres, PROBES, 0.1, scratch, "placed")

@@ -67,15 +67,17 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.concatenate(parts) if len(parts) != 1 else parts[0]
 
 
-def sampled(vectors: DataFrame, size: int, seed: int, key: str = "vid") -> np.ndarray:
-    """``size`` vectors at most, those of smallest hash: the same ones on every run."""
-    rows = vectors.select("vec", F.xxhash64(key, F.lit(seed)).alias("h"), key).orderBy("h", key).limit(size).select("vec").collect()
-    return np.stack([np.frombuffer(r[0], "<f4") for r in rows]) if rows else np.zeros((0, 1), np.float32)
+def sampled(vectors: DataFrame, size: int, rows: int, seed: int, key: str = "vid") -> np.ndarray:
+    """About ``size`` of the ``rows`` vectors, those whose hash is small: the same ones on every run, and no more than that go to the driver."""
+    share = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / float(1 << 53)
+    few = vectors.filter(share < size / max(rows, 1)) if rows > size else vectors
+    found = sorted(map(tuple, few.select(key, "vec").collect()))
+    return np.stack([np.frombuffer(v, "<f4") for _, v in found]) if found else sampled(vectors, rows, rows, seed, key)
 
 
 def pivots(vectors: DataFrame, rows: int, seed: int, key: str = "vid") -> np.ndarray:
-    """The pivots for that many rows."""
-    return sampled(vectors, min(MANY, max(FEW, math.ceil(rows / ROWS_A_PIVOT))), seed, key)
+    """The pivots for that many rows, which are at least one."""
+    return sampled(vectors, min(MANY, max(FEW, math.ceil(rows / ROWS_A_PIVOT))), rows, seed, key)
 
 
 def nearest(x: np.ndarray, centres: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
