@@ -37,7 +37,8 @@ def build(df: DataFrame, cap: int = CAP, trim: float = TRIM) -> Prototypes:
 
     Per class: the first ``cap`` rows by key, at length 1; the mean at length 1; without the ``trim`` share of
     lowest cosine to it, if at least one row stays (ties: smaller key goes first); the mean of the rest at
-    length 1, minus the mean of all capped rows, at length 1 again. Null labels and embeddings are left out.
+    length 1, minus the mean of all capped rows, at length 1 again. Null labels and embeddings are left out;
+    without any row there are no classes and no mean.
     """
     if cap <= 0:
         raise ValueError("cap must be at least 1")
@@ -45,7 +46,7 @@ def build(df: DataFrame, cap: int = CAP, trim: float = TRIM) -> Prototypes:
         raise ValueError("trim must be at least 0 and below 1")
     rows = df.filter("label IS NOT NULL AND embedding IS NOT NULL").select("key", "label", vec.unit(vec.doubles("embedding")).alias("u"))
     rows = capped(rows, "label", "key", cap)
-    overall = rows.agg(vec.mean(F.col("u")).alias("global_mean"))
+    overall = rows.groupBy(F.lit(1)).agg(vec.mean(F.col("u")).alias("global_mean")).select("global_mean")  # no row for no rows
     first = rows.groupBy("label").agg(vec.unit(vec.mean(F.col("u"))).alias("centroid"), F.count(F.lit(1)).alias("n"))
     scored = rows.join(first, "label").withColumn("cos", vec.dot(F.col("u"), F.col("centroid")))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.round("cos", 12), "key"))

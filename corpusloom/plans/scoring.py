@@ -37,8 +37,9 @@ class Scorer:
         if len(rows) > MAX_CLASSES:
             raise ValueError(f"more than {MAX_CLASSES} classes")
         rows.sort(key=lambda r: str(r[0]))
-        centre = prototypes.global_mean.first()[0]
-        return Scorer([r[0] for r in rows], np.array([r[1] for r in rows], float).reshape(len(rows), -1), np.array(centre or [], float))
+        centre = prototypes.global_mean.first()
+        matrix = np.array([r[1] for r in rows], float).reshape(len(rows), -1) if rows else np.zeros((0, 0))
+        return Scorer([r[0] for r in rows], matrix, np.array(centre[0] if centre else [], float))
 
 
 def with_scores(queries: DataFrame, scorer: Scorer, column: str = "embedding") -> DataFrame:

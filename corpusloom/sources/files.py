@@ -8,6 +8,7 @@ import xml.etree.ElementTree as ET
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.names import CAT_PREFIX, after_dashes, before_last_underscore, file_name, folder_name, stem
 from corpusloom.operators.quality import first_reason
@@ -83,7 +84,11 @@ def _size(data: bytes | None) -> tuple[int, int]:
 _FAULTS = {"ValueError": "UnidentifiedImageError", "EOFError": "UnidentifiedImageError", "error": "OSError"}
 
 
-@F.pandas_udf("width int, height int, error string")
+_SIZE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("error", T.StringType())])
+_BOXES = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("box", T.ArrayType(T.DoubleType()))]))
+
+
+@F.pandas_udf(_SIZE)
 def image_size(content: pd.Series) -> pd.DataFrame:
     """Width and height from the file's header; 0, 0 and corrupt_image:<fault> if it can't be read."""
     rows = []
@@ -96,7 +101,7 @@ def image_size(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["width", "height", "error"])
 
 
-@F.pandas_udf("array<struct<kind:string,box:array<double>>>")
+@F.pandas_udf(_BOXES)
 def voc_boxes(xml: pd.Series) -> pd.Series:
     """Boxes of an annotation document in order: every box element below an object; a missing corner is 0. Null if it can't be parsed."""
     out = []
@@ -204,4 +209,5 @@ def pixels(spark: SparkSession, root: str) -> DataFrame:
                 out.append((np.repeat(x, 3, 1) if n == 1 else x[:, 2::-1]).tobytes())
         return pd.Series(out, dtype=object)
 
-    return rows.select(F.col("origin").alias("path"), "height", "width", rgb("data", "nChannels").alias("rgb"))
+    path = F.regexp_replace("origin", "^file:/+", "file:/").alias("path")  # as the other readers spell it
+    return rows.select(path, "height", "width", rgb("data", "nChannels").alias("rgb"))
