@@ -10,16 +10,16 @@ BUCKETS = 4096
 
 
 def hit_rates(ranked: DataFrame) -> DataFrame:
-    """n, top1, top3, hits of either and purebred_sanity of ``ranked`` (rank, null for a label that is no class)."""
+    """n, top1, top3, hits of either and purebred_sanity of ``ranked`` (rank, null for a label that is no class); rates of no rows are null."""
     first, three = (F.count(F.when(F.col("rank") <= k, True)) for k in (1, 3))
     n = F.count(F.lit(1))
     return ranked.agg(
         n.alias("n"),
-        (first / n).alias("top1"),
-        (three / n).alias("top3"),
+        F.try_divide(first, n).alias("top1"),
+        F.try_divide(three, n).alias("top3"),
         first.alias("top1_hit"),
         three.alias("top3_hit"),
-        (first / n).alias("purebred_sanity"),
+        F.try_divide(first, n).alias("purebred_sanity"),
     )
 
 
@@ -52,5 +52,5 @@ def auroc(positives: DataFrame, negatives: DataFrame, score: str = "score") -> D
     sides = both.groupBy("score").agg(F.sum("pos").alias("p"), F.sum(1 - F.col("pos")).alias("q"))
     sums = sides.join(ranks, "score").agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("q"), F.lit(0)).alias("n_neg"), F.sum(F.col("p") * F.col("rank")).alias("r"))
     u = F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2
-    value = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), u / (F.col("n_pos") * F.col("n_neg")))
+    value = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.try_divide(u, F.col("n_pos") * F.col("n_neg")))
     return sums.select("n_pos", "n_neg", value.alias("auroc"))
