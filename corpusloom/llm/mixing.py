@@ -142,7 +142,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     there = docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens_there"))
     got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("used"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"))
     out = targets.join(there.filter("source IS NOT NULL"), "source", "full").join(got, "source", "left").na.fill(0, ["documents", "tokens_there", "used", "copies", "tokens"])
-    return out.withColumn("share", F.round(F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(1))), 6))
+    return out.withColumn("share", F.round(F.try_divide("tokens", F.sum("tokens").over(Window.partitionBy(F.lit(1)))), 6))
 
 
 QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares}
