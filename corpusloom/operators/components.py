@@ -9,6 +9,12 @@ from corpusloom.operators.skew import skew_join
 from corpusloom.session import Scratch
 
 
+def _sum(links: DataFrame) -> tuple:
+    """How many edges there are, and two checksums of them."""
+    mark = F.xxhash64("hi", "lo")
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(mark.cast("decimal(38,0)")), F.bit_xor(mark)).first())
+
+
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFrame:
     """(id, component) of each vertex of ``edges`` (a, b): the smallest vertex linked with it.
 
@@ -17,18 +23,19 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFram
     """
     links = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     links = scratch.put(links, "stars0")
+    before = _sum(links)
     for k in range(rounds):
+        n = 2 * before[0]
         both = links.unionByName(links.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy("hi").agg(F.least(F.min("lo"), F.first("hi")).alias("m"))
-        large = skew_join(both, least, "hi").filter("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
-        down = large.filter("hi <> lo")
+        down = skew_join(both, least, "hi", rows=n).filter("lo > hi AND lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
         least = down.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = skew_join(down, least, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        new = scratch.put(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct(), f"stars{k + 1}")
-        changed = new.join(links, ["hi", "lo"], "left_anti").limit(1).count() or links.join(new, ["hi", "lo"], "left_anti").limit(1).count()
+        small = skew_join(down, least, "hi", rows=n).filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        links = scratch.put(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct(), f"stars{k + 1}")
         scratch.drop(f"stars{k}")
-        links = new
-        if not changed:
+        after = _sum(links)
+        if after == before:
             break
+        before = after
     roots = links.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct()
     return links.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(roots)

@@ -1,7 +1,9 @@
 """All pairs of 64-bit hashes within a Hamming distance, by multi-index hashing.
 
-The hashes are cut into blocks; two hashes within distance r agree in some block to r // blocks bits. Each
-hash is looked up under all such variants of each block, an equi-join, and the full distance is then tested.
+The hashes are cut into blocks; two hashes within distance r agree in some block to r // blocks bits. Both
+sides are looked up under the block's variants of half that many bits, rounded up and down, which meet exactly if the
+blocks are near enough; a pair counts where it first meets, so no distinct is needed, and the full distance is then
+tested. Variants of half the radius are far fewer than those of the radius on one side.
 """
 
 from __future__ import annotations
@@ -35,15 +37,27 @@ def hamming_pairs(hashes: DataFrame, radius: int = 10, blocks: int = 4) -> DataF
     """
     width, near = 64 // blocks, radius // blocks
     mask = (1 << width) - 1
-    block = lambda i: F.shiftrightunsigned("bits", i * width).bitwiseAND(F.lit(mask))
+    block = lambda x, i: F.shiftrightunsigned(x, i * width).bitwiseAND(F.lit(mask))
     own = hashes.select("representative", "bits").distinct()
-    cut = own.select("representative", "bits", F.posexplode(F.array(*[block(i) for i in range(blocks)])).alias("block", "value"))
-    around = F.explode(F.array(*map(F.lit, _variants(width, near))))
-    asked = cut.withColumn("flip", around).select(F.col("representative").alias("id_a"), F.col("bits").alias("bits_a"), "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-    there = cut.select(F.col("representative").alias("id_b"), F.col("bits").alias("bits_b"), "block", "value")
-    distance = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
-    # a pair that agrees in several blocks is kept at the first of them, so no distinct is needed
-    differ = lambda i: F.bit_count(F.shiftrightunsigned(F.col("bits_a").bitwiseXOR(F.col("bits_b")), i * width).bitwiseAND(F.lit(mask)))
+
+    def looked_up(radius_: int, name: str) -> DataFrame:
+        # the key holds the block's number above its bits
+        keys = [(block("bits", i).bitwiseXOR(F.lit(v)) + F.lit(i << width)) for i in range(blocks) for v in _variants(width, radius_)]
+        return own.select(F.col("representative").alias(f"id_{name}"), F.col("bits").alias(f"bits_{name}"), F.explode(F.array(*keys)).alias("key"))
+
+    x = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
+    differ = lambda i: F.bit_count(block(x, i))
     first = F.coalesce(*[F.when(differ(i) <= near, F.lit(i)) for i in range(blocks)])
-    met = asked.join(there, ["block", "value"]).filter((F.col("id_a") < F.col("id_b")) & (distance <= radius) & (F.col("block") == first))
-    return met.select("id_a", "id_b", distance.cast("int").alias("hamming"))
+    number, value = F.shiftrightunsigned("key", width), F.col("key").bitwiseAND(F.lit(mask))
+    # of the variants that both have, the one that takes the lowest bits from the left side
+    flips = F.coalesce(*[F.when(number == i, block(x, i)) for i in range(blocks)])
+    given = F.coalesce(*[F.when(number == i, block("bits_a", i)) for i in range(blocks)])
+    taken, rest = F.lit(0), flips
+    for k in range((near + 1) // 2):
+        low = rest.bitwiseAND(-rest)
+        taken = taken + F.when(F.bit_count(flips) > near // 2 + k, low).otherwise(F.lit(0))
+        rest = rest - low
+    met = looked_up((near + 1) // 2, "a").join(looked_up(near // 2, "b"), "key")
+    met = met.filter((F.bit_count(x) <= radius) & (F.col("id_a") != F.col("id_b")) & (number == first) & (value == given.bitwiseXOR(taken)))
+    # sides are looked up differently, so a pair meets both ways round
+    return met.filter("id_a < id_b").select("id_a", "id_b", F.bit_count(x).cast("int").alias("hamming"))

@@ -16,13 +16,14 @@ def hot_keys(df: DataFrame, key: str, at_least: int) -> list:
     return [r[0] for r in top.select(key).collect()]
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", at_least: int = 100_000, fanout: int = 32) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", at_least: int = 100_000, fanout: int = 32, rows: int | None = None) -> DataFrame:
     """Equi-join of ``left`` with a ``right`` that is unique in ``key``, hot keys of ``left`` salted.
 
     Rows of a hot key are spread over ``fanout`` reducers and only the matching rows of ``right`` are
-    repeated as often. ``how`` is inner, left or left_semi. Without a hot key it is a plain join.
+    repeated as often. ``how`` is inner, left or left_semi. Without a hot key it is a plain join. ``rows``, if
+    known, is how many rows ``left`` has at most: with fewer than ``at_least`` no key can be hot.
     """
-    hot = hot_keys(left, key, at_least)
+    hot = hot_keys(left, key, at_least) if rows is None or rows >= at_least else []
     if not hot:
         return left.join(right, key, how)
     kind = left.schema[key].dataType.simpleString()
