@@ -147,12 +147,13 @@ def communities(graph: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     """
     both = graph.unionByName(graph.select(F.col("w").alias("v"), F.col("v").alias("w"), "sim"))
     links = scratch.put(both.groupBy("v", "w").agg(F.max("sim").alias("sim")), "links")
-    total = links.agg(F.sum("sim")).first()[0] or 1.0  # twice the weight of all edges
+    rows, total = links.agg(F.count(F.lit(1)), F.sum("sim")).first()  # twice the edges, and twice their weight
+    total = total or 1.0
     labels = scratch.put(links.groupBy("v").agg(F.sum("sim").alias("degree")).select("v", F.col("v").alias("community"), "degree"), "labels0")
     for k in range(MOVES):
         sizes = labels.groupBy("community").agg(F.sum("degree").alias("weight"))
-        near = skew_join(links, labels.select(F.col("v").alias("w"), "community"), "w").groupBy("v", "community").agg(F.sum("sim").alias("towards"))
-        near = skew_join(near, sizes, "community").join(labels.select("v", F.col("community").alias("own"), "degree"), "v")
+        near = skew_join(links, labels.select(F.col("v").alias("w"), "community"), "w", rows=rows).groupBy("v", "community").agg(F.sum("sim").alias("towards"))
+        near = skew_join(near, sizes, "community", rows=rows).join(labels.select("v", F.col("community").alias("own"), "degree"), "v")
         less = F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(0.0)
         gain = F.col("towards") - F.col("degree") * (F.col("weight") - less) / F.lit(total)
         best = near.withColumn("gain", F.round(gain, 9)).groupBy("v").agg(F.min(F.struct((-F.col("gain")).alias("g"), (F.col("community") != F.col("own")).alias("moves"), "community"))["community"].alias("best"))
@@ -165,7 +166,7 @@ def communities(graph: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
         if not moved and k:
             break
     inside = links.join(labels.select("v", "community"), "v")
-    inside = skew_join(inside, labels.select(F.col("v").alias("w"), F.col("community").alias("other")), "w")
+    inside = skew_join(inside, labels.select(F.col("v").alias("w"), F.col("community").alias("other")), "w", rows=rows)
     inside = inside.groupBy("v").agg(F.first("community").alias("community"), F.sum(F.when(F.col("community") == F.col("other"), F.col("sim")).otherwise(0.0)).alias("inside"))
     return scratch.put(inside, "communities"), links
 
@@ -199,7 +200,7 @@ def _sums(roots: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(unique, pa.int64()), blobs(total.astype("<f4"))], ["root", "vec"])
 
 
-def joined(vectors: DataFrame, labels: DataFrame, floor: float, seed: int, scratch: Scratch, dim: int) -> DataFrame:
+def joined(vectors: DataFrame, labels: DataFrame, rows: int, floor: float, seed: int, scratch: Scratch, dim: int) -> DataFrame:
     """(vid, root) of ``labels`` after joining groups with alike members, found by the cosine of their means.
 
     Groups whose means reach the floor are compared by COMPARED members of each, drawn by hash.
@@ -227,7 +228,7 @@ def joined(vectors: DataFrame, labels: DataFrame, floor: float, seed: int, scrat
 
     edges = pairs.select("a", "b", "va", "vb").mapInArrow(alike, "u bigint, v bigint").distinct()
     groups = connected(edges, Scratch(vectors.sparkSession, f"{name}-groups"))
-    return scratch.put(skew_join(labels, groups.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left").select("vid", F.coalesce("next", "root").alias("root")), f"{name}-labels")
+    return scratch.put(skew_join(labels, groups.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left", rows=rows).select("vid", F.coalesce("next", "root").alias("root")), f"{name}-labels")
 
 
 def clustered(df: DataFrame, scratch: Scratch, floor: float = 0.47, dim: int = 384) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -242,12 +243,12 @@ def clustered(df: DataFrame, scratch: Scratch, floor: float = 0.47, dim: int = 3
     graph = graph_of(vectors, rows, floor, scratch, dim) if rows > 1 else vectors.sparkSession.createDataFrame([], "v bigint, w bigint, sim double")
     found, links = communities(graph, scratch)
     label = found.select("v", "community")
-    quotient = skew_join(links.join(label, "v"), label.select(F.col("v").alias("w"), F.col("community").alias("other")), "w").filter("community < other")
+    quotient = skew_join(links.join(label, "v"), label.select(F.col("v").alias("w"), F.col("community").alias("other")), "w", rows=2 * NEIGHBOURS * rows).filter("community < other")
     groups = connected(quotient.select(F.col("community").alias("u"), F.col("other").alias("v")).distinct(), Scratch(vectors.sparkSession, "p2-groups"))
-    root = skew_join(label, groups.select(F.col("v").alias("community"), "root"), "community", "left").select(F.col("v").alias("vid"), F.coalesce("root", "community").alias("root"))
+    root = skew_join(label, groups.select(F.col("v").alias("community"), "root"), "community", "left", rows=rows).select(F.col("v").alias("vid"), F.coalesce("root", "community").alias("root"))
     labels = scratch.put(vectors.select("vid").join(root, "vid", "left").select("vid", F.coalesce("root", "vid").alias("root")), "clusters")
     for k in range(REPAIRS if rows > 1 else 0):
-        labels = joined(vectors, labels, floor, 21 + k, scratch, dim)
+        labels = joined(vectors, labels, rows, floor, 21 + k, scratch, dim)
     return labels, found, members, vectors
 
 

@@ -66,7 +66,9 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     clean = edges.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(*pair).distinct()
     now = scratch.put(clean, "edges0")
     rounds: list[DataFrame] = []
+    first = 0
     while n := now.count():
+        first = first or n
         k = len(rounds)
         blocks = max(math.ceil(math.sqrt(2 * n / CELL_EDGES)), 1 if k else FIRST_BLOCKS)
         block = lambda c: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(blocks))  # noqa: E731, B023
@@ -83,7 +85,7 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     labels = rounds[-1].select("v", F.col("m").alias("root"))
     for parents in reversed(rounds[:-1]):
         later = labels.select(F.col("v").alias("m"), "root")
-        labels = skew_join(parents, later, "m", "left").select("v", F.coalesce("root", "m").alias("root"))
+        labels = skew_join(parents, later, "m", "left", rows=2 * first).select("v", F.coalesce("root", "m").alias("root"))
     return labels
 
 
@@ -104,12 +106,13 @@ def consolidate(pairs: DataFrame, known: DataFrame, scratch: Scratch, low: int =
     images = images.groupBy("key").agg(F.min("image_id").alias("image_id"))
     # sorted by image_id, so that the smallest number of a group is its smallest id
     images = scratch.put(images.orderBy("image_id").withColumn("vid", F.monotonically_increasing_id()), "images")
-    edges = skew_join(ends, images.select(F.col("key").alias("ka"), F.col("vid").alias("u")), "ka")
-    edges = skew_join(edges, images.select(F.col("key").alias("kb"), F.col("vid").alias("v")), "kb")
+    n = ends.count()
+    edges = skew_join(ends, images.select(F.col("key").alias("ka"), F.col("vid").alias("u")), "ka", rows=n)
+    edges = skew_join(edges, images.select(F.col("key").alias("kb"), F.col("vid").alias("v")), "kb", rows=n)
     labels = connected(edges.select("u", "v"), scratch)
     out = labels.join(images.select(F.col("vid").alias("v"), "image_id"), "v")
     roots = images.select(F.col("vid").alias("root"), F.col("image_id").alias("group_id"))
-    return skew_join(out.select("image_id", "root"), roots, "root").select("image_id", "group_id")
+    return skew_join(out.select("image_id", "root"), roots, "root", rows=2 * n).select("image_id", "group_id")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
