@@ -21,7 +21,9 @@ from corpusloom.operators.skew import skew_join, top_n
 from corpusloom.session import Scratch
 
 #: Neighbours of a vector, buckets it starts in, rounds of descent, neighbours at which it meets others.
-NEIGHBOURS, STARTS, DESCENTS, MEETINGS = 10, 3, 2, 2
+NEIGHBOURS, STARTS, DESCENTS, MEETINGS = 10, 4, 2, 2
+#: Rows of a starting bucket, as a multiple of the usual.
+WIDER = 2
 #: Vectors that meet at once; a larger meeting is cut at random, which only costs descents.
 MEETING_ROWS = 256
 #: Rounds of moving records between communities, rounds of the exact check, and members it compares of a group.
@@ -60,7 +62,7 @@ def _alike(a_ids: np.ndarray, a: np.ndarray, b_ids: np.ndarray, b: np.ndarray, f
 
 def within_buckets(vectors: DataFrame, rows: int, floor: float, k: int, starts: int, seed: int, scratch: Scratch, name: str) -> DataFrame:
     """(v, w, sim): the k nearest of each vector (vid, vec) in each bucket that it starts in; both directions."""
-    centres = pivots(vectors, rows, seed)
+    centres = pivots(vectors, rows, seed, WIDER)
     dim = centres.shape[1]
     placed = assigned(vectors, centres, starts, 1.0, scratch, f"{name}-placed")
     inside = placed.select(F.explode("buckets").alias("bucket"), "vid", "vec")

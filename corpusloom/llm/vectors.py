@@ -75,9 +75,9 @@ def sampled(vectors: DataFrame, size: int, rows: int, seed: int, key: str = "vid
     return np.stack([np.frombuffer(v, "<f4") for _, v in found]) if found else sampled(vectors, rows, rows, seed, key)
 
 
-def pivots(vectors: DataFrame, rows: int, seed: int, key: str = "vid") -> np.ndarray:
-    """The pivots for that many rows, which are at least one."""
-    return sampled(vectors, min(MANY, max(FEW, math.ceil(rows / ROWS_A_PIVOT))), rows, seed, key)
+def pivots(vectors: DataFrame, rows: int, seed: int, times: float = 1, key: str = "vid") -> np.ndarray:
+    """The pivots for that many rows, which are at least one; each for ``times`` as many rows as usual."""
+    return sampled(vectors, min(MANY, max(FEW, math.ceil(rows / ROWS_A_PIVOT / times))), rows, seed, key)
 
 
 def nearest(x: np.ndarray, centres: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
