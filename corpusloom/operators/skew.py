@@ -28,7 +28,8 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", a
         return left.join(right, key, how)
     kind = left.schema[key].dataType.simpleString()
     keys = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in hot], f"`{key}` {kind}").withColumn("__hot", F.lit(True)))
-    salt = F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(fanout))).otherwise(F.lit(0)).cast("int")
+    # by content, so that a recomputed task spreads its rows as before
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*left.columns), F.lit(fanout))).otherwise(F.lit(0)).cast("int")
     salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(fanout - 1))).otherwise(F.array(F.lit(0)))
     lhs = left.join(keys, key, "left").withColumn("__salt", salt).drop("__hot")
     rhs = right.join(keys, key, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
