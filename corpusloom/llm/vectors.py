@@ -71,8 +71,8 @@ def sampled(vectors: DataFrame, size: int, rows: int, seed: int, key: str = "vid
     """About ``size`` of the ``rows`` vectors, those whose hash is small: the same ones on every run, and no more than that go to the driver."""
     share = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / float(1 << 53)
     few = vectors.filter(share < size / max(rows, 1)) if rows > size else vectors
-    found = sorted(map(tuple, few.select(key, "vec").collect()))
-    return np.stack([np.frombuffer(v, "<f4") for _, v in found]) if found else sampled(vectors, rows, rows, seed, key)
+    found = sorted(map(tuple, few.select(key, "vec").collect())) or [tuple(vectors.agg(F.min(F.struct(key, "vec")).alias("m")).select("m.*").first())]
+    return np.stack([np.frombuffer(v, "<f4") for _, v in found])
 
 
 def pivots(vectors: DataFrame, rows: int, seed: int, times: float = 1, key: str = "vid") -> np.ndarray:
