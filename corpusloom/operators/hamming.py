@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.names import hash_bits
+from corpusloom.operators.skew import skew_join
 
 
 def _variants(bits: int, radius: int) -> list[int]:
@@ -27,7 +28,7 @@ def hash_classes(hashes: DataFrame) -> DataFrame:
     """
     rows = hashes.select("image_id", hash_bits(F.col("phash_hex")).alias("bits")).filter("image_id IS NOT NULL AND bits IS NOT NULL").distinct()
     least = rows.groupBy("bits").agg(F.min("image_id").alias("representative"))
-    return rows.join(least, "bits").select("image_id", "bits", "representative")
+    return skew_join(rows, least, "bits").select("image_id", "bits", "representative")
 
 
 def hamming_pairs(hashes: DataFrame, radius: int = 10, blocks: int = 4) -> DataFrame:

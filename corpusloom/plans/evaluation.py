@@ -30,11 +30,13 @@ def average_ranks(scores: DataFrame, score: str = "score") -> DataFrame:
     within each, so no task sorts all rows. Null and NaN scores are left out.
     """
     each = scores.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    low_high = each.agg(F.min("score"), F.max("score")).first()
+    finite = F.when(F.abs("score") < float("inf"), F.col("score"))
+    low_high = each.agg(F.min(finite), F.max(finite)).first()
     low, high = (low_high[0] or 0.0), (low_high[1] or 0.0)
     width = (high - low) / BUCKETS or 1.0
-    cut = each.withColumn("b", F.floor((F.col("score") - F.lit(low)) / F.lit(width)))
-    earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS + 1 rows at most
+    inside = F.floor((finite - F.lit(low)) / F.lit(width)).cast("int")
+    cut = each.withColumn("b", F.coalesce(inside, F.when(F.col("score") < 0, -1).otherwise(BUCKETS + 1)))
+    earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS + 3 rows at most
     starts = cut.groupBy("b").agg(F.sum("n").alias("m")).select("b", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("start"))
     within = Window.partitionBy("b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0))

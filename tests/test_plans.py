@@ -120,3 +120,9 @@ def test_empty_tables(spark):
     assert scoring.predict(vectors(spark, [(1, "a", [1.0])]), empty).first().unknown
     assert evaluation.average_ranks(spark.createDataFrame([], "score double")).count() == 0
     assert evaluation.hit_rates(spark.createDataFrame([], "rank int")).first().n == 0
+
+
+def test_infinite_scores(spark):
+    df = spark.createDataFrame([(float("-inf"),), (float("inf"),), (1.0,), (1.0,), (float("nan"),), (None,)], "score double")
+    got = {r.score: (r.n, r["rank"]) for r in evaluation.average_ranks(df).collect()}
+    assert got == {float("-inf"): (1, 1.0), 1.0: (2, 2.5), float("inf"): (1, 4.0)}
