@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.vectors import assigned, cut_of, cuts, matrix, pivots, sampled, usable
-from corpusloom.operators.skew import skew_join
+from corpusloom.operators.skew import skew_join, top_n
 from corpusloom.session import Scratch
 
 #: Numbers per code, codewords per codebook, vectors the codebooks are fitted on, sweeps of fitting and coding.
@@ -148,23 +148,29 @@ def neighbours(vectors: DataFrame, k: int, floor: float, scratch: Scratch) -> Da
     return scratch.put(both.withColumn("rank", rank).filter(F.col("rank") <= k).select("q", "x", "cos"), "nearest")
 
 
-def similar_pairs(df: DataFrame, scratch: Scratch, k: int = 10, floor: float = 0.80) -> DataFrame:
-    """(id_a, id_b), id_a < id_b, of different image_ids with a cosine of at least ``floor``, one among the k most similar of the other.
+def nearest_images(df: DataFrame, scratch: Scratch, k: int = 10, floor: float = 0.80) -> DataFrame:
+    """(image_id, rank, other, cos): the k most similar other images of each usable embedding of ``df``, none below ``floor``.
 
     Of equally similar ones (to six digits) the smaller image_id comes first. Images with equal vectors are
     searched once: only their k + 1 smallest ids can be among anyone's k most similar.
     """
     vectors, members = usable(df, scratch)
     near = neighbours(vectors, k + 1, floor, scratch)
-    firsts = members.withColumn("r", F.row_number().over(Window.partitionBy("vid").orderBy("image_id"))).filter(F.col("r") <= k + 1)
+    firsts = top_n(members, ["vid"], [F.col("image_id")], k + 1, F.col("image_id"))
     firsts = scratch.put(firsts.select("vid", "image_id"), "first-ids")
     own = firsts.select(F.col("vid").alias("q"), "image_id", F.lit(1.0).alias("cos"))
     others = near.join(firsts.withColumnRenamed("vid", "x"), "x").select("q", "image_id", F.round("cos", 6).alias("cos"))
     best = own.unionByName(others).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cos"), "image_id"))).filter(F.col("r") <= k + 1)
-    lists = best.groupBy(F.col("q").alias("vid")).agg(F.sort_array(F.collect_list(F.struct("r", F.col("image_id").alias("id")))).alias("best"))
+    lists = best.groupBy(F.col("q").alias("vid")).agg(F.sort_array(F.collect_list(F.struct("r", F.col("image_id").alias("id"), "cos"))).alias("best"))
     each = skew_join(members, scratch.put(lists, "lists"), "vid")
     mine = F.slice(F.filter("best", lambda b: b["id"] != F.col("image_id")), 1, k)
-    pairs = each.select("image_id", F.explode(F.transform(mine, lambda b: b["id"])).alias("other"))
+    rows = each.select("image_id", F.posexplode(mine).alias("pos", "b"))
+    return rows.select("image_id", (F.col("pos") + 1).alias("rank"), F.col("b.id").alias("other"), F.col("b.cos").alias("cos"))
+
+
+def similar_pairs(df: DataFrame, scratch: Scratch, k: int = 10, floor: float = 0.80) -> DataFrame:
+    """(id_a, id_b), id_a < id_b, of different images, one among the k most similar of the other; see ``nearest_images``."""
+    pairs = nearest_images(df, scratch, k, floor)
     return pairs.select(F.least("image_id", "other").alias("id_a"), F.greatest("image_id", "other").alias("id_b")).distinct()
 
 
@@ -173,4 +179,9 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return similar_pairs(spark.read.parquet(f"{sf}/image_vectors.parquet").select("image_id", "embedding"), Scratch(spark, "p4"))
 
 
-QUERIES = {"p4_found": p4_found}
+def p4_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The 10 most similar other pictures of each, those of a cosine of 0.80 or more, by rank."""
+    return nearest_images(spark.read.parquet(f"{sf}/image_vectors.parquet").select("image_id", "embedding"), Scratch(spark, "p4"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_nearest": p4_nearest}
