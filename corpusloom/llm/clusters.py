@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.groups import connected
-from corpusloom.llm.vectors import assigned, blobs, cut_of, cuts, matrix, pivots, usable
+from corpusloom.llm.vectors import UNIT_SQL, assigned, blobs, cut_of, cuts, matrix, pivots, usable
 from corpusloom.operators.skew import skew_join, top_n
 from corpusloom.session import Scratch
 
@@ -274,3 +274,12 @@ def p2_communities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_communities": p2_communities}
+
+ORACLES = {
+    "p2_found": f"""
+WITH RECURSIVE {UNIT_SQL},
+e AS MATERIALIZED (SELECT a.image_id AS a, b.image_id AS b FROM u a JOIN u b ON a.image_id <> b.image_id WHERE list_inner_product(a.w, b.w) >= 0.47e0),
+reach AS (SELECT a AS image_id, a AS other FROM e UNION SELECT r.image_id, e.b FROM reach r JOIN e ON e.a = r.other),
+c AS (SELECT image_id, min(other) AS cluster_id FROM reach GROUP BY image_id)
+SELECT image_id, cluster_id FROM (SELECT *, count(*) OVER (PARTITION BY cluster_id) AS n FROM c) WHERE n >= 5"""
+}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.vectors import assigned, cut_of, cuts, matrix, pivots, sampled, usable
+from corpusloom.llm.vectors import UNIT_SQL, assigned, cut_of, cuts, matrix, pivots, sampled, usable
 from corpusloom.operators.skew import skew_join, top_n
 from corpusloom.session import Scratch
 
@@ -185,3 +185,10 @@ def p4_nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_nearest": p4_nearest}
+
+_NEAREST = f"""
+WITH {UNIT_SQL},
+p AS (SELECT a.image_id, b.image_id AS other, round(list_inner_product(a.w, b.w), 6) AS cos FROM u a JOIN u b ON a.image_id <> b.image_id WHERE list_inner_product(a.w, b.w) >= 0.8e0),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY cos DESC, other) AS rank FROM p)"""
+
+ORACLES = {"p4_found": f"{_NEAREST} SELECT DISTINCT least(image_id, other) AS id_a, greatest(image_id, other) AS id_b FROM r WHERE rank <= 10"}

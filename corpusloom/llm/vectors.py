@@ -123,3 +123,10 @@ def cut_of(parts: dict[int, int], bucket: str):  # noqa: ANN201
         return F.lit(1)
     table = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])
     return F.coalesce(F.try_element_at(table, F.col(bucket)), F.lit(1))
+
+
+#: SQL of the usable unit vectors u (image_id, w) of image_vectors, for comparison on small tables.
+UNIT_SQL = """
+v AS (SELECT image_id, CAST(min(embedding) AS DOUBLE[]) AS e FROM image_vectors
+      WHERE image_id IS NOT NULL AND len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 384 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY image_id),
+u AS (SELECT image_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS w FROM v)"""
