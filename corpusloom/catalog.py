@@ -443,7 +443,7 @@ def hash_members(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_CLASSES} SELECT a.representative AS id_a, b.representative AS id_b, CAST(bit_count(xor(a.bits, b.bits)) AS INTEGER) AS hamming FROM c a JOIN c b ON a.representative < b.representative AND bit_count(xor(a.bits, b.bits)) <= 10")
 def hamming_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of hash classes within distance 10, by multi-index hashing; see hash_members for the members."""
-    return hamming.hamming_pairs(hamming.hash_classes(_read(spark, sf, "phash")))
+    return hamming.hamming_pairs(hamming.representatives(_read(spark, sf, "phash")))
 
 
 @query("SELECT id_a, id_b, split_part(id_a, '/', 1) AS src_a, split_part(id_b, '/', 1) AS src_b, split_part(id_a, '/', 1) <> split_part(id_b, '/', 1) AS cross_dataset FROM phash_pairs")

@@ -21,25 +21,32 @@ def _variants(bits: int, radius: int) -> list[int]:
     return [sum(1 << b for b in flips) for k in range(radius + 1) for flips in combinations(range(bits), k)]
 
 
+def _numbers(hashes: DataFrame) -> DataFrame:
+    return hashes.select("image_id", hash_bits(F.col("phash_hex")).alias("bits")).filter("image_id IS NOT NULL AND bits IS NOT NULL")
+
+
+def representatives(hashes: DataFrame) -> DataFrame:
+    """(bits, representative) of each different hash of ``hashes`` (image_id, phash_hex): the smallest id that has it."""
+    return _numbers(hashes).groupBy("bits").agg(F.min("image_id").alias("representative"))
+
+
 def hash_classes(hashes: DataFrame) -> DataFrame:
     """(image_id, bits, representative) of ``hashes`` (image_id, phash_hex): images of one hash share the smallest id as representative.
 
     Null ids, null hashes and what is not 16 hex digits are left out; letter case and repeated rows make no difference.
     """
-    rows = hashes.select("image_id", hash_bits(F.col("phash_hex")).alias("bits")).filter("image_id IS NOT NULL AND bits IS NOT NULL").distinct()
-    least = rows.groupBy("bits").agg(F.min("image_id").alias("representative"))
-    return skew_join(rows, least, "bits").select("image_id", "bits", "representative")
+    return skew_join(_numbers(hashes).distinct(), representatives(hashes), "bits").select("image_id", "bits", "representative")
 
 
 def hamming_pairs(hashes: DataFrame, radius: int = 10, blocks: int = 4) -> DataFrame:
-    """(id_a, id_b, hamming) between representatives of different hashes (representative, bits), id_a < id_b, distance 1 to ``radius``.
+    """(id_a, id_b, hamming) between the rows of ``hashes`` (bits, representative; ``representatives``), id_a < id_b, distance 1 to ``radius``.
 
     Images of equal hashes are one class (``hash_classes``), so copies are never expanded into pairs.
     """
     width, near = 64 // blocks, radius // blocks
     mask = (1 << width) - 1
     block = lambda x, i: F.shiftrightunsigned(x, i * width).bitwiseAND(F.lit(mask))
-    own = hashes.select("representative", "bits").distinct()
+    own = hashes.select("representative", "bits")
 
     def looked_up(radius_: int, name: str) -> DataFrame:
         # the key holds the block's number above its bits
