@@ -113,3 +113,19 @@ def test_neighbours(spark, monkeypatch):
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(want)
     copies = {p for p in got if p[0].startswith("copy") and p[1].startswith("copy")}
     assert len(copies) <= 11 * 25  # copies aren't expanded into all pairs
+
+
+def test_nearest_are_ranked(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"p{k}", v) for k, v in enumerate(blob(rng, np.eye(DIM)[0], 6, 0.3))] + [("q0", None), ("twin", None)]
+    rows[-2], rows[-1] = ("q0", -np.eye(DIM)[0]), ("twin", rows[0][1])
+    s = np.round(cosines(rows), 6)
+    got = {}
+    for r in neighbours.nearest_images(table(spark, rows), Scratch(spark, "n"), k=3).collect():
+        got.setdefault(r.image_id, {})[r.rank] = r.other
+    ids = [i for i, _ in rows]
+    for a in range(7):
+        if ids[a] != "q0":
+            want = [i for _, i in sorted((-s[a, b], ids[b]) for b in range(len(ids)) if b != a and s[a, b] >= 0.8)[:3]]
+            assert [got[ids[a]][k] for k in (1, 2, 3)] == want
+    assert "q0" not in got
