@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import xml.etree.ElementTree as ET
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -191,23 +192,61 @@ def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return doc.select(F.inline("images")), doc.select(F.inline("annotations"))
 
 
-def pixels(spark: SparkSession, root: str) -> DataFrame:
-    """(path, height, width, rgb): decoded images, channels in the order red, green, blue. What can't be decoded has null rgb."""
-    rows = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(root).select("image.*")
+def orientation(data: bytes | None) -> int:
+    """The orientation tag of a JPEG, 1 to 8; 1 where there is none."""
+    if not data or data[:2] != b"\xff\xd8":
+        return 1
+    at = 2
+    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+        size = struct.unpack(">H", data[at + 2 : at + 4])[0]
+        if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+            tags = data[at + 10 : at + 2 + size]
+            order = "<" if tags[:2] == b"II" else ">"
+            try:
+                first = struct.unpack(f"{order}I", tags[4:8])[0]
+                for k in range(struct.unpack(f"{order}H", tags[first : first + 2])[0]):
+                    entry = tags[first + 2 + 12 * k : first + 14 + 12 * k]
+                    if struct.unpack(f"{order}H", entry[:2])[0] == 0x0112:
+                        value = struct.unpack(f"{order}H", entry[8:10])[0]
+                        return value if 1 <= value <= 8 else 1
+            except struct.error:
+                return 1
+        at += 2 + size
+    return 1
+
+
+def upright(image: np.ndarray, tag: int) -> np.ndarray:
+    """The pixels turned and mirrored as the orientation tag asks."""
+    if tag in (2, 4, 5, 7):
+        image = image[:, ::-1]
+    return np.rot90(image, {3: 2, 4: 2, 5: 1, 6: 3, 7: 3, 8: 1}.get(tag, 0))
+
+
+_PIXELS = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("rgb", T.BinaryType())])
+
+
+@F.pandas_udf(_PIXELS)
+def _decoded(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series, tag: pd.Series) -> pd.DataFrame:
+    rows = []
+    for h, w, n, raw, turn in zip(height, width, channels, data, tag):
+        if n not in (1, 3, 4) or not raw:
+            rows.append((None, None, None))
+            continue
+        x = np.frombuffer(raw, np.uint8).reshape(h, w, n)
+        x = upright(np.repeat(x, 3, 2) if n == 1 else x[:, :, 2::-1], int(turn or 1))
+        rows.append((x.shape[0], x.shape[1], np.ascontiguousarray(x).tobytes()))
+    return pd.DataFrame(rows, columns=["height", "width", "rgb"])
 
-    @F.pandas_udf("binary")
-    def rgb(data: pd.Series, channels: pd.Series) -> pd.Series:
-        import numpy as np
 
-        out = []
-        for raw, n in zip(data, channels):
-            x = np.frombuffer(raw or b"", np.uint8)
-            if n not in (1, 3, 4) or not len(x):
-                out.append(None)
-            else:
-                x = x.reshape(-1, n)
-                out.append((np.repeat(x, 3, 1) if n == 1 else x[:, 2::-1]).tobytes())
-        return pd.Series(out, dtype=object)
+@F.pandas_udf(T.IntegerType())
+def _orientations(head: pd.Series) -> pd.Series:
+    return head.map(orientation)
 
-    path = F.regexp_replace("origin", "^file:/+", "file:/").alias("path")  # as the other readers spell it
-    return rows.select(path, "height", "width", rgb("data", "nChannels").alias("rgb"))
+
+def pixels(spark: SparkSession, root: str) -> DataFrame:
+    """(path, height, width, rgb): decoded images, upright, channels in the order red, green, blue; nulls where an image can't be decoded."""
+    path = lambda c: F.regexp_replace(c, "^file:/+", "file:/").alias("path")  # noqa: E731  # as the other readers spell it
+    rows = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(root).select("image.*")
+    heads = binary(spark, root).select(path("path"), _orientations(F.substring("content", 1, 1 << 17)).alias("tag"))
+    rows = rows.select(path("origin"), "height", "width", "nChannels", "data").join(heads, "path", "left")
+    return rows.select("path", _decoded("height", "width", "nChannels", "data", "tag").alias("p")).select("path", "p.*")

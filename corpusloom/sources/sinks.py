@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import os
+import shutil
+import struct
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.geometry import CROP_SIZE
+from corpusloom.operators.inference import cut_out
 from corpusloom.plans.prototype import Prototypes
 
 
@@ -52,6 +58,58 @@ def write_files(files: DataFrame, root: str) -> None:
     files.select("rel_path", "text").filter("rel_path IS NOT NULL AND text IS NOT NULL").foreachPartition(write)
 
 
+def link_files(files: DataFrame, source: str, root: str) -> int:
+    """Link (image_path, target) below ``source`` to below ``root``, by hard link or, between file systems, by copy; how many were there.
+
+    Either separator may stand in image_path. Targets that exist already stay.
+    """
+    linked = files.sparkSession.sparkContext.accumulator(0)
+
+    def link(rows: Iterator[Row]) -> None:
+        for row in rows:
+            at, to = os.path.join(source, row.image_path.replace("\\", "/")), os.path.join(root, row.target)
+            if os.path.exists(at):
+                os.makedirs(os.path.dirname(to), exist_ok=True)
+                if not os.path.exists(to):
+                    try:
+                        os.link(at, to)
+                    except OSError:
+                        shutil.copyfile(at, to)
+                linked.add(1)
+
+    files.select("image_path", "target").filter("image_path IS NOT NULL AND target IS NOT NULL").foreachPartition(link)
+    return linked.value
+
+
+def png(image: np.ndarray) -> bytes:
+    """An image of height x width x 3 bytes as a PNG file."""
+    h, w = image.shape[:2]
+    raw = np.concatenate([np.zeros((h, 1), np.uint8), np.ascontiguousarray(image).reshape(h, w * 3)], axis=1).tobytes()
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def write_crops(crops: DataFrame, root: str, size: int = CROP_SIZE) -> tuple[int, int]:
+    """Write the crops of (target, height, width, rgb, crop) below ``root`` as PNG files, whatever the target's extension; (written, failed)."""
+    sc = crops.sparkSession.sparkContext
+    written, failed = sc.accumulator(0), sc.accumulator(0)
+
+    def write(rows: Iterator[Row]) -> None:
+        for row in rows:
+            try:
+                image = np.frombuffer(row.rgb, np.uint8).reshape(row.height, row.width, 3)
+                at = os.path.join(root, os.path.splitext(row.target)[0] + ".png")
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                with open(at, "wb") as f:
+                    f.write(png(cut_out(image, row.crop.asDict(), size)))
+                written.add(1)
+            except Exception:
+                failed.add(1)
+
+    crops.select("target", "height", "width", "rgb", "crop").foreachPartition(write)
+    return written.value, failed.value
+
+
 def remove_files(files: DataFrame, root: str) -> int:
     """Remove (rel_path) below ``root``; how many there were."""
     removed = files.sparkSession.sparkContext.accumulator(0)

@@ -164,3 +164,41 @@ def test_command_line(spark, tmp_path, capsys):
         cli.main(["embed", "--split-dir", f"{root}/none", "--out", f"{root}/x"])
     defaults = cli.parser().parse_args(["infer", "--image", "x"])
     assert (defaults.threshold, defaults.top_k, defaults.temperature) == (0.5, 3, 0.1)
+
+
+def test_orientation():
+    x = np.arange(6, dtype=np.uint8).reshape(2, 3, 1)
+    tiff = lambda order, value: (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(f"{order}IHHHIHH", 8, 1, 0x0112, 3, 1, value, 0)
+    for order in "<>":
+        for value in (0, 1, 3, 6, 9):
+            body = b"Exif\0\0" + tiff(order, value)
+            jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xda"
+            assert files.orientation(jpeg) == (value if 1 <= value <= 8 else 1)
+    assert files.orientation(None) == files.orientation(b"\xff\xd8\xff\xe1\x00\x0aExif\0\0II") == files.orientation(b"PNG") == 1
+    flat = lambda t: files.upright(x, t)[:, :, 0].tolist()
+    assert flat(1) == [[0, 1, 2], [3, 4, 5]] and flat(2) == [[2, 1, 0], [5, 4, 3]] and flat(3) == [[5, 4, 3], [2, 1, 0]] and flat(4) == [[3, 4, 5], [0, 1, 2]]
+    assert flat(5) == [[0, 3], [1, 4], [2, 5]] and flat(6) == [[3, 0], [4, 1], [5, 2]] and flat(7) == [[5, 2], [4, 1], [3, 0]] and flat(8) == [[2, 5], [1, 4], [0, 3]]
+
+
+def test_arrays_links_and_crops(spark, tmp_path):
+    from corpusloom.sources import npz
+
+    root = str(tmp_path)
+    np.savez_compressed(f"{root}/e.npz", embeddings=np.eye(2, dtype=np.float32), labels=np.array(["a", "b"]), paths=np.array(["p", "q"]))
+    np.savez_compressed(f"{root}/p.npz", breeds=np.array(["a"]), prototypes=np.ones((1, 2)), global_mean=np.zeros(2))
+    assert [tuple(r) for r in npz.embeddings(spark, f"{root}/e.npz").collect()] == [("p", "a", [1.0, 0.0]), ("q", "b", [0.0, 1.0])]
+    assert npz.prototypes(spark, f"{root}/p.npz").classes.first().prototype == [1.0, 1.0]
+
+    png(f"{root}/raw/x/a.png", 40, 20, (200, 10, 10))
+    links = spark.createDataFrame([(r"x\a.png", "ood/val/cat/a.png"), ("x/none.png", "ood/val/cat/none.png"), (None, "z")], "image_path string, target string")
+    assert sinks.link_files(links, f"{root}/raw", f"{root}/out") == 1 and os.path.samefile(f"{root}/raw/x/a.png", f"{root}/out/ood/val/cat/a.png")
+
+    from corpusloom.functions import geometry
+
+    images = files.pixels(spark, f"{root}/raw")
+    box = F.array(F.lit(10.0), F.lit(5.0), F.lit(30.0), F.lit(15.0))
+    crops = images.withColumn("target", F.lit("body/train/pug/a.jpg")).withColumn("crop", geometry.crop(box, F.col("width"), F.col("height")))
+    broken = crops.withColumn("rgb", F.lit(None).cast("binary"))
+    assert sinks.write_crops(crops.unionByName(broken), f"{root}/crops", 28) == (1, 1)
+    row = files.pixels(spark, f"{root}/crops").first()
+    assert (row.height, row.width) == (28, 28) and bytes(row.rgb[14 * 28 * 3 + 42 : 14 * 28 * 3 + 45]) == bytes((200, 10, 10))
