@@ -13,6 +13,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.skew import skew_join
 from corpusloom.session import Scratch
 
 # Letters and marks drawn alike, each with the plain one.
@@ -91,10 +92,14 @@ def same_looking(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_a, doc_b) of documents whose texts look the same but differ; doc_a < doc_b. Copies of one text are no pair."""
     texts, members = classes(docs, scratch)
     several = scratch.put(texts.filter("variants > 1").select("digest", "class_id"), "several")
-    rows = scratch.put(members.join(several, "digest").distinct(), "members")
-    a = rows.select("class_id", F.col("digest").alias("da"), F.col("doc_id").alias("doc_a"))
-    b = rows.select("class_id", F.col("digest").alias("db"), F.col("doc_id").alias("doc_b"))
-    return a.join(b, "class_id").filter("doc_a < doc_b AND da <> db").select("doc_a", "doc_b")
+    rows = scratch.put(members.join(several.select("digest"), "digest", "left_semi").distinct(), "members")
+    # different texts of a class are paired before their documents are, so copies never meet each other
+    a = several.select("class_id", F.col("digest").alias("da"))
+    b = several.select("class_id", F.col("digest").alias("db"))
+    partners = a.join(b, "class_id").filter("da < db").groupBy("da").agg(F.collect_list("db").alias("others"))
+    own = skew_join(rows.select(F.col("digest").alias("da"), F.col("doc_id").alias("x")), partners, "da").select("x", F.explode("others").alias("db"))
+    both = own.join(rows.select(F.col("digest").alias("db"), F.col("doc_id").alias("y")), "db").filter("x <> y")
+    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
