@@ -130,6 +130,7 @@ def cuts_of_places(go: DataFrame) -> DataFrame:
 def graph_of(vectors: DataFrame, rows: int, floor: float, scratch: Scratch, dim: int) -> DataFrame:
     """(v, w, sim): for each vector the NEIGHBOURS nearest found, cosines exact and at least ``floor``."""
     graph = scratch.put(best_edges(within_buckets(vectors, rows, floor, NEIGHBOURS, STARTS, 11, scratch, "start"), NEIGHBOURS), "graph0")
+    scratch.drop("start-placed")
     for k in range(DESCENTS):
         new = best_edges(graph.unionByName(descend(graph, vectors, floor, NEIGHBOURS, dim)), NEIGHBOURS)
         new = scratch.put(new, f"graph{k + 1}")
@@ -214,6 +215,8 @@ def joined(vectors: DataFrame, labels: DataFrame, rows: int, floor: float, seed:
         return labels
     near = within_buckets(centres, n, floor, 5, STARTS, seed, scratch, name).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
     near = scratch.put(near, f"{name}-near")
+    scratch.drop(f"{name}-placed")
+    scratch.drop(f"{name}-means")
     sides = near.select(F.explode(F.array("a", "b")).alias("root")).distinct()
     order = [F.xxhash64("vid", F.lit(seed)), F.col("vid")]
     some = top_n(labels.join(sides, "root", "left_semi"), ["root"], order, COMPARED, F.col("vid")).select("vid", "root")

@@ -143,6 +143,7 @@ def neighbours(vectors: DataFrame, k: int, floor: float, scratch: Scratch) -> Da
 
     found = rows.unionByName(visits).groupBy("bucket", "i", "j").applyInArrow(search, schema)
     found = scratch.put(found, "found")
+    scratch.drop("placed")
     both = found.unionByName(found.select(F.col("x").alias("q"), F.col("q").alias("x"), "cos")).groupBy("q", "x").agg(F.max("cos").alias("cos"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("cos", 6).desc(), "x"))
     return scratch.put(both.withColumn("rank", rank).filter(F.col("rank") <= k).select("q", "x", "cos"), "nearest")

@@ -45,7 +45,10 @@ def usable(df: DataFrame, scratch: Scratch, dim: int = 384) -> tuple[DataFrame,
                 yield pa.RecordBatch.from_arrays([batch.column(0), blobs(x)], ["vid", "vec"])
 
     vectors = firsts.select("vid", "embedding").mapInArrow(unit, "vid bigint, vec binary")
-    return scratch.put(vectors, "vectors"), scratch.put(members, "members")
+    vectors, members = scratch.put(vectors, "vectors"), scratch.put(members, "members")
+    scratch.drop("usable")
+    scratch.drop("firsts")
+    return vectors, members
 
 
 def blobs(x: np.ndarray) -> pa.Array:
