@@ -9,13 +9,14 @@ table entries, a table of 256 per pair of codes; the best are then scored exactl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.vectors import UNIT_SQL, assigned, cut_of, cuts, matrix, pivots, sampled, usable
+from corpusloom.llm.vectors import BLUR, STEP, UNIT_SQL, assigned, cut_of, cuts, matrix, pivots, products, sampled, sweep, usable
 from corpusloom.operators.skew import skew_join, top_n
 from corpusloom.session import Scratch
 
@@ -149,14 +150,67 @@ def neighbours(vectors: DataFrame, k: int, floor: float, scratch: Scratch) -> Da
     return scratch.put(both.withColumn("rank", rank).filter(F.col("rank") <= k).select("q", "x", "cos"), "nearest")
 
 
-def nearest_images(df: DataFrame, scratch: Scratch, k: int = 10, floor: float = 0.80) -> DataFrame:
-    """(image_id, rank, other, cos): the k most similar other images of each usable embedding of ``df``, none below ``floor``.
+def _nearer(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in q, x, cos) of different vectors: the k nearest of each q, and maybe more, of those that reach its ``least`` to six digits."""
+    guess = q @ x.T
+    near = (guess >= (least - BLUR)[:, None].astype(np.float32)) & (q_ids[:, None] != x_ids[None])
+    many = np.flatnonzero(near.sum(1) > 4 * k)
+    close = near[many]
+    near[many] = False
+    at, hit = np.nonzero(near)
+    cos = [products(q[at[a : a + 16384]], x[hit[a : a + 16384]]) for a in range(0, len(at), 16384)]
+    if len(many):
+        exact = q[many].astype(np.float64) @ x.T.astype(np.float64)
+        order = len(x) - 1 - np.argsort(np.argsort(x_ids))
+        key = np.where(close, np.rint(exact * 1e6).astype(np.int64) * len(x) + order, np.iinfo(np.int64).min)  # no two are equal
+        top = np.argpartition(key, len(x) - k, axis=1)[:, len(x) - k :]  # there are more than 4 k
+        at, hit = np.concatenate([at, np.repeat(many, k)]), np.concatenate([hit, top.ravel()])
+        cos.append(np.take_along_axis(exact, top, 1).ravel())
+    return at, x_ids[hit], np.concatenate(cos) if cos else np.zeros(0)
+
+
+def all_neighbours(vectors: DataFrame, k: int, floor: float | None, scratch: Scratch) -> DataFrame:
+    """(q, x, cos) of different vectors (vid, vec): x is one of the k nearest of q and their cosine at least ``floor``, if there is one.
+
+    Exact: every pair is compared. Cosines count to six digits, ties go to the smaller vid.
+    """
+    lowest = -2.0 if floor is None else floor - 1e-7
+
+    def meet(block: pa.Table, table: Iterator[pa.RecordBatch]) -> pa.Table:
+        ids, dim = block["vid"].to_numpy(), len(block["vec"][0].as_py()) // 4
+        vecs = matrix(block["vec"], dim)
+        least = np.full(len(ids), lowest)
+        q, x, cos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for chunk in table:
+            x_ids, rows = chunk["vid"].to_numpy(), matrix(chunk["vec"], dim)
+            found = [(q, x, cos)]
+            for a in range(0, len(ids), STEP):
+                at, other, c = _nearer(ids[a : a + STEP], vecs[a : a + STEP], x_ids, rows, k, least[a : a + STEP])
+                good = c >= lowest
+                found.append((a + at[good], other[good], c[good]))
+            q, x, cos = (np.concatenate([f[i] for f in found]) for i in range(3))
+            order = np.lexsort((x, -np.round(cos, 6), q))
+            q, x, cos = q[order], x[order], cos[order]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+            q, x, cos = q[keep], x[keep], cos[keep]
+            count = np.bincount(q, minlength=len(ids))
+            full = count == k
+            least[full] = np.round(cos[np.cumsum(count)[full] - 1], 6)
+        return pa.table({"q": pa.array(ids[q], pa.int64()), "x": pa.array(x, pa.int64()), "cos": pa.array(cos, pa.float64())})
+
+    near = scratch.put(sweep(vectors, vectors.count(), meet, "q bigint, x bigint, cos double", scratch, "swept"), "nearest")
+    scratch.drop("swept")
+    return near
+
+
+def nearest_images(df: DataFrame, scratch: Scratch, k: int = 10, floor: float | None = 0.80) -> DataFrame:
+    """(image_id, rank, other, cos): the k most similar other images of each usable embedding of ``df``, none below ``floor`` if there is one.
 
     Of equally similar ones (to six digits) the smaller image_id comes first. Images with equal vectors are
     searched once: only their k + 1 smallest ids can be among anyone's k most similar.
     """
     vectors, members = usable(df, scratch)
-    near = neighbours(vectors, k + 1, floor, scratch)
+    near = all_neighbours(vectors, k + 1, None, scratch) if floor is None else neighbours(vectors, k + 1, floor, scratch)
     firsts = top_n(members, ["vid"], [F.col("image_id")], k + 1, F.col("image_id"))
     firsts = scratch.put(firsts.select("vid", "image_id"), "first-ids")
     own = firsts.select(F.col("vid").alias("q"), "image_id", F.lit(1.0).alias("cos"))
@@ -181,8 +235,8 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    """The 10 most similar other pictures of each, those of a cosine of 0.80 or more, by rank."""
-    return nearest_images(spark.read.parquet(f"{sf}/image_vectors.parquet").select("image_id", "embedding"), Scratch(spark, "p4"))
+    """The 10 most similar other pictures of each, however similar, by rank."""
+    return nearest_images(spark.read.parquet(f"{sf}/image_vectors.parquet").select("image_id", "embedding"), Scratch(spark, "p4"), floor=None)
 
 
 QUERIES = {"p4_found": p4_found, "p4_nearest": p4_nearest}

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ from corpusloom.session import Scratch, let_workers_import
 ROWS_A_PIVOT, FEW, MANY = 200, 16, 4096
 #: Rows of one side that a task gets at once; fuller buckets are cut and every cut of one side meets every cut of the other.
 TASK_ROWS = 4000
+#: A sweep's rows of a block at most and blocks at least (of SMALL rows or more), and what meets at once: vectors of a block, rows of the table.
+BLOCK, BLOCKS, SMALL, STEP, CHUNK = 4096, 24, 256, 1024, 4096
+#: How far a product of single precision may be off, with room to spare.
+BLUR = 1e-5
 
 
 def usable(df: DataFrame, scratch: Scratch, dim: int = 384) -> tuple[DataFrame, DataFrame]:
@@ -128,6 +134,37 @@ def cut_of(parts: dict[int, int], bucket: str):  # noqa: ANN201
     return F.coalesce(F.try_element_at(table, F.col(bucket)), F.lit(1))
 
 
+def sweep(vectors: DataFrame, rows: int, meet: Callable[[pa.Table, Iterator[pa.RecordBatch]], pa.Table], schema: str, scratch: Scratch, name: str) -> DataFrame:
+    """``meet(block, table)`` of each block of ``vectors`` (vid, ...): table has all rows of ``vectors``, CHUNK at most at a time.
+
+    Every pair meets, so nothing rests on an index; the work grows with the square of the rows. Workers read
+    the table in the shared folder themselves: nothing is shuffled for each block, and a task holds one block and one chunk.
+    """
+    let_workers_import(vectors.sparkSession)
+    table = scratch.put(vectors, name)
+    where, columns = f"{scratch.root}/{name}", table.columns
+
+    def chunks() -> Iterator[pa.RecordBatch]:
+        files, root = pa.fs.FileSystem.from_uri(where)
+        found = files.get_file_info(pa.fs.FileSelector(root, recursive=True))
+        for path in sorted(f.path for f in found if f.path.endswith(".parquet")):
+            with files.open_input_file(path) as source:
+                yield from pa.parquet.ParquetFile(source).iter_batches(CHUNK, columns=columns, use_threads=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = [b for b in batches if b.num_rows]
+        if block:
+            yield from meet(pa.Table.from_batches(block), (c for c in chunks() if c.num_rows)).to_batches()
+
+    blocks = max(math.ceil(rows / BLOCK), min(BLOCKS, math.ceil(rows / SMALL)), 1)
+    return table.repartitionByRange(blocks, "vid").mapInArrow(run, schema)
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The inner product of each row of ``a`` with that row of ``b``, in double precision."""
+    return np.einsum("ij,ij->i", a.astype(np.float64), b.astype(np.float64))
+
+
 #: SQL of the usable unit vectors u (image_id, w) of image_vectors, for comparison on small tables.
 UNIT_SQL = """
 v AS (SELECT image_id, CAST(min(embedding) AS DOUBLE[]) AS e FROM image_vectors

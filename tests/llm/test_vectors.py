@@ -129,3 +129,18 @@ def test_nearest_are_ranked(spark):
             want = [i for _, i in sorted((-s[a, b], ids[b]) for b in range(len(ids)) if b != a and s[a, b] >= 0.8)[:3]]
             assert [got[ids[a]][k] for k in (1, 2, 3)] == want
     assert "q0" not in got
+
+
+def test_nearest_of_every_picture(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SMALL", 100)
+    monkeypatch.setattr(vectors, "CHUNK", 90)
+    rows = made(8, [60, 20, 9], 250)
+    rows += [(f"copy-{k:02}", rows[3][1]) for k in range(15)] + [(f"scaled-{k:02}", 0.3 * (k + 1) * np.array(rows[5][1])) for k in range(60)]
+    s = np.round(cosines(rows), 6)
+    ids = [i for i, _ in rows]
+    got = {}
+    for r in neighbours.nearest_images(table(spark, rows + BAD), Scratch(spark, "n"), floor=None).collect():
+        got.setdefault(r.image_id, {})[r.rank] = r.other
+    want = {ids[a]: [i for _, i in sorted((-s[a, b], ids[b]) for b in range(len(ids)) if b != a)[:10]] for a in range(len(ids))}
+    assert got.keys() == want.keys()
+    assert all([got[i][k] for k in range(1, 11)] == want[i] for i in want)
