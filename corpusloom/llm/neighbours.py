@@ -1,6 +1,11 @@
 """Problem 4: the most similar vectors of every vector.
 
-Method: score-aware quantisation. Rows lie in the bucket of their nearest pivot, queries visit their
+Method: every pair is compared, blocks of vectors with chunks of the table; products of single precision
+choose what is scored exactly, and a vector's k-th best so far is the least that still counts. All
+queries use this, as an index loses neighbours in groups of near-copies however its caps are set.
+
+The index, ``neighbours``, is approximate and for callers whose tables are too large for all pairs. It is
+score-aware quantisation: rows lie in the bucket of their nearest pivot, vectors visit their
 nearest buckets. Rows are coded with four bits per four numbers; codebooks and codes minimise an
 anisotropic loss in which the part of the residual that is parallel to the vector, the one that spoils
 large inner products, weighs more. A query's inner products with all codes of a bucket are sums of
@@ -98,7 +103,7 @@ def scan(queries: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarra
 
 
 def neighbours(vectors: DataFrame, k: int, floor: float, scratch: Scratch) -> DataFrame:
-    """(q, x, cos) of different vectors (vid, vec): x is among the k nearest of q found, their cosine at least ``floor``.
+    """(q, x, cos) of different vectors (vid, vec): x is among the k nearest of q found, their cosine at least ``floor``; approximate.
 
     The index is fitted on FIT_ROWS vectors and MANY pivots at most and holds every row. A query visits
     PROBES buckets at most; a pair counts for both its ends, whichever found it. Ties go to the smaller vid.
@@ -210,7 +215,7 @@ def nearest_images(df: DataFrame, scratch: Scratch, k: int = 10, floor: float |
     searched once: only their k + 1 smallest ids can be among anyone's k most similar.
     """
     vectors, members = usable(df, scratch)
-    near = all_neighbours(vectors, k + 1, None, scratch) if floor is None else neighbours(vectors, k + 1, floor, scratch)
+    near = all_neighbours(vectors, k + 1, floor, scratch)
     firsts = top_n(members, ["vid"], [F.col("image_id")], k + 1, F.col("image_id"))
     firsts = scratch.put(firsts.select("vid", "image_id"), "first-ids")
     own = firsts.select(F.col("vid").alias("q"), "image_id", F.lit(1.0).alias("cos"))

@@ -144,3 +144,16 @@ def test_nearest_of_every_picture(spark, monkeypatch):
     want = {ids[a]: [i for _, i in sorted((-s[a, b], ids[b]) for b in range(len(ids)) if b != a)[:10]] for a in range(len(ids))}
     assert got.keys() == want.keys()
     assert all([got[i][k] for k in range(1, 11)] == want[i] for i in want)
+
+
+def test_hot_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ROWS_A_PIVOT", 8)
+    rng = np.random.default_rng(9)
+    rows = [(f"hot-{k:04}", v) for k, v in enumerate(blob(rng, np.eye(DIM)[0], 1500, 0.33))] + [(f"lone-{k:03}", v) for k, v in enumerate(rng.normal(size=(500, DIM)))]
+    s = np.round(cosines(rows), 6)
+    ids, want = [i for i, _ in rows], set()
+    for a in range(1500):
+        near = sorted((-s[a, b], ids[b]) for b in range(len(rows)) if b != a and s[a, b] >= 0.80)[:10]
+        want |= {(min(ids[a], i), max(ids[a], i)) for _, i in near}
+    got = {tuple(r) for r in neighbours.similar_pairs(table(spark, rows), Scratch(spark, "n")).collect()}
+    assert (len(got & want) / len(want), len(got - want)) == (1, 0)
