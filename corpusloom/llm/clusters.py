@@ -4,19 +4,21 @@ Method: an approximate nearest-neighbour graph is built by neighbour descent (st
 around pivots, then each vector meets those that have the same neighbour), and modularity-based community
 detection runs on it; a community's typical members are those of highest internal weighted degree.
 Every edge of the graph is an exact cosine of at least the floor. Communities that an edge joins form
-one cluster; an exact check at the end compares what is still apart by its mean vectors and joins what has
-members alike.
+one cluster; at the end every two vectors that are still apart are compared, and what has members alike is
+joined, so that the clusters are exact whatever the graph missed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.groups import connected
-from corpusloom.llm.vectors import UNIT_SQL, assigned, blobs, cut_of, cuts, matrix, pivots, usable
+from corpusloom.llm.groups import connected, union_find
+from corpusloom.llm.vectors import BLUR, STEP, UNIT_SQL, assigned, cut_of, cuts, matrix, pivots, products, sweep, usable
 from corpusloom.operators.skew import skew_join, top_n
 from corpusloom.session import Scratch
 
@@ -26,9 +28,9 @@ NEIGHBOURS, STARTS, DESCENTS, MEETINGS = 10, 4, 2, 2
 WIDER = 2
 #: Vectors that meet at once; a larger meeting is cut at random, which only costs descents.
 MEETING_ROWS = 256
-#: Rounds of moving records between communities, rounds of the exact check, and members it compares of a group.
-MOVES, REPAIRS, COMPARED = 6, 2, 4
-#: Shares of a meeting, mean or similar stage that one task handles, in groups.
+#: Rounds of moving records between communities.
+MOVES = 6
+#: Shares of the meetings that one task handles, in groups.
 SHARDS = 4096
 
 
@@ -174,66 +176,42 @@ def communities(graph: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     return scratch.put(inside, "communities"), links
 
 
-def means(vectors: DataFrame, labels: DataFrame, dim: int) -> DataFrame:
-    """(vid, vec) for each label of ``labels`` (vid, root): the mean direction of its vectors under the label as vid."""
-    rows = vectors.join(labels, "vid").select("root", "vec")
-
-    def partial(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            if batch.num_rows:
-                yield _sums(batch.column(0).to_numpy(), matrix(batch.column(1), dim))
-
-    def final(table: pa.Table) -> pa.Table:
-        roots, x = table["root"].to_numpy(), matrix(table["vec"], dim)
-        batch = _sums(roots, x)
-        total = matrix(batch.column(1), dim).astype(np.float64)
-        length = np.linalg.norm(total, axis=1, keepdims=True)
-        keep = length[:, 0] > 1e-9
-        return pa.table({"vid": batch.column(0).filter(pa.array(keep)), "vec": blobs((total[keep] / length[keep]).astype("<f4"))})
-
-    sums = rows.mapInArrow(partial, "root bigint, vec binary").withColumn("shard", F.pmod(F.xxhash64("root"), F.lit(SHARDS)).cast("int"))
-    return sums.groupBy("shard").applyInArrow(final, "vid bigint, vec binary")
-
-
-def _sums(roots: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-    unique, at = np.unique(roots, return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    starts = np.searchsorted(at[order], np.arange(len(unique)))
-    total = np.add.reduceat(x[order].astype(np.float64), starts, axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(unique, pa.int64()), blobs(total.astype("<f4"))], ["root", "vec"])
-
-
-def joined(vectors: DataFrame, labels: DataFrame, rows: int, floor: float, seed: int, scratch: Scratch, dim: int) -> DataFrame:
-    """(vid, root) of ``labels`` after joining groups with alike members, found by the cosine of their means.
-
-    Groups whose means reach the floor are compared by COMPARED members of each, drawn by hash.
-    """
-    name = f"repair{seed}"
-    centres = scratch.put(means(vectors, labels, dim), f"{name}-means")
-    n = centres.count()
-    if n < 2:
-        return labels
-    near = within_buckets(centres, n, floor, 5, STARTS, seed, scratch, name).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-    near = scratch.put(near, f"{name}-near")
-    scratch.drop(f"{name}-placed")
-    scratch.drop(f"{name}-means")
-    sides = near.select(F.explode(F.array("a", "b")).alias("root")).distinct()
-    order = [F.xxhash64("vid", F.lit(seed)), F.col("vid")]
-    some = top_n(labels.join(sides, "root", "left_semi"), ["root"], order, COMPARED, F.col("vid")).select("vid", "root")
-    some = scratch.put(some.join(vectors, "vid"), f"{name}-some")
-    left = near.join(some.select(F.col("root").alias("a"), F.col("vec").alias("va")), "a")
-    pairs = left.join(some.select(F.col("root").alias("b"), F.col("vec").alias("vb")), "b")
-
-    def alike(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            if batch.num_rows:
-                x, y = matrix(batch.column(2), dim), matrix(batch.column(3), dim)
-                good = np.einsum("ij,ij->i", x.astype(np.float64), y.astype(np.float64)) >= floor
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["u", "v"])
-
-    edges = pairs.select("a", "b", "va", "vb").mapInArrow(alike, "u bigint, v bigint").distinct()
-    groups = connected(edges, Scratch(vectors.sparkSession, f"{name}-groups"))
-    return scratch.put(skew_join(labels, groups.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left", rows=rows).select("vid", F.coalesce("next", "root").alias("root")), f"{name}-labels")
+def joined(vectors: DataFrame, labels: DataFrame, rows: int, floor: float, scratch: Scratch) -> DataFrame:
+    """(vid, root) of ``labels`` after joining groups that have alike members: every pair of vectors of different groups is compared."""
+
+    def meet(block: pa.Table, table: Iterator[pa.RecordBatch]) -> pa.Table:
+        ids, roots, dim = block["vid"].to_numpy(), block["root"].to_numpy(), len(block["vec"][0].as_py()) // 4
+        x = matrix(block["vec"], dim)
+        old, new = np.zeros(0, np.int64), np.zeros(0, np.int64)  # groups of this task that are no longer their own
+
+        def now(r: np.ndarray) -> np.ndarray:
+            if not len(old):
+                return r
+            at = np.minimum(np.searchsorted(old, r), len(old) - 1)
+            return np.where(old[at] == r, new[at], r)
+
+        for chunk in table:
+            if chunk["vid"].to_numpy().max() <= ids.min():
+                continue  # a pair meets in the block of its smaller vid
+            y, y_roots = matrix(chunk["vec"], dim), chunk["root"].to_numpy()
+            for s in range(0, len(ids), STEP):
+                part = x[s : s + STEP]
+                cos = part @ y.T
+                mine, others = now(roots[s : s + STEP]), now(y_roots)
+                at, hit = np.nonzero((cos >= floor - BLUR) & (mine[:, None] != others[None]))
+                good = cos[at, hit] >= floor + BLUR
+                for c in np.array_split(np.flatnonzero(~good), len(at) // 16384 + 1):
+                    good[c] = products(part[at[c]], y[hit[c]]) >= floor
+                if good.any():
+                    u, v = np.concatenate([old, mine[at[good]]]), np.concatenate([new, others[hit[good]]])
+                    old, new = union_find(u, v)
+        less = old != new
+        return pa.table({"u": pa.array(old[less], pa.int64()), "v": pa.array(new[less], pa.int64())})
+
+    pairs = sweep(vectors.join(labels, "vid").select("vid", "vec", "root"), rows, meet, "u bigint, v bigint", scratch, "swept")
+    groups = connected(pairs, Scratch(vectors.sparkSession, "p2-joined"))
+    scratch.drop("swept")
+    return scratch.put(skew_join(labels, groups.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left", rows=rows).select("vid", F.coalesce("next", "root").alias("root")), "joined")
 
 
 def clustered(df: DataFrame, scratch: Scratch, floor: float = 0.47, dim: int = 384) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -252,8 +230,7 @@ def clustered(df: DataFrame, scratch: Scratch, floor: float = 0.47, dim: int = 3
     groups = connected(quotient.select(F.col("community").alias("u"), F.col("other").alias("v")).distinct(), Scratch(vectors.sparkSession, "p2-groups"))
     root = skew_join(label, groups.select(F.col("v").alias("community"), "root"), "community", "left", rows=rows).select(F.col("v").alias("vid"), F.coalesce("root", "community").alias("root"))
     labels = scratch.put(vectors.select("vid").join(root, "vid", "left").select("vid", F.coalesce("root", "vid").alias("root")), "clusters")
-    for k in range(REPAIRS if rows > 1 else 0):
-        labels = joined(vectors, labels, rows, floor, 21 + k, scratch, dim)
+    labels = joined(vectors, labels, rows, floor, scratch) if rows > 1 else labels
     return labels, found, members, vectors
 
 

@@ -157,3 +157,23 @@ def test_hot_group_of_near_copies(spark, monkeypatch):
         want |= {(min(ids[a], i), max(ids[a], i)) for _, i in near}
     got = {tuple(r) for r in neighbours.similar_pairs(table(spark, rows), Scratch(spark, "n")).collect()}
     assert (len(got & want) / len(want), len(got - want)) == (1, 0)
+
+
+def test_one_link_between_dense_groups(spark, scratch, monkeypatch):
+    monkeypatch.setattr(vectors, "SMALL", 50)
+    rng = np.random.default_rng(10)
+    rows = []
+    for pair in range(8):  # two groups whose only link are their far members a and b, of cosine 0.5
+        p, q = np.linalg.qr(rng.normal(size=(DIM, 2)))[0].T
+        at = lambda d: np.cos(np.radians(d)) * p + np.sin(np.radians(d)) * q  # noqa: B023, E731
+        rows += [(f"p{pair}-x{k:02}", v) for k, v in enumerate(blob(rng, at(0), 30, 0.2))] + [(f"p{pair}-y{k:02}", v) for k, v in enumerate(blob(rng, at(140), 30, 0.2))]
+        rows += [(f"p{pair}-a", at(40)), (f"p{pair}-b", at(100))]
+    s = cosines(rows)
+    ids = [i for i, _ in rows]
+    want = linked([(ids[a], ids[b]) for a, b in zip(*np.nonzero(s >= 0.47)) if a < b])
+    assert len(set(want.values())) == 8
+    labels, _, members, _ = clusters.clustered(table(spark, rows), scratch)
+    root, got = dict(map(tuple, labels.collect())), {}
+    for r in members.collect():
+        got.setdefault(root[r.vid], set()).add(r.image_id)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(i for i in ids if want[i] == c) for c in set(want.values()))
