@@ -144,11 +144,12 @@ def graph_of(vectors: DataFrame, rows: int, floor: float, scratch: Scratch, dim:
     return graph
 
 
-def communities(graph: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(labels, links) of the undirected ``graph`` (v, w, sim): labels (v, community, inside), links (v, w, sim) both ways.
+def communities(graph: DataFrame, copies: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(labels, links) of the undirected ``graph`` (v, w, sim): labels (v, community, inside, degree), links (v, w, sim) both ways.
 
     Every round half of the records, by hash, move to the neighbouring community of highest gain in
-    modularity (ties to the smaller one); inside is a record's weighted degree within its community.
+    modularity (ties to the smaller one); inside is a record's weighted degree within its community and degree
+    that within the graph, where each neighbour counts as often as ``copies`` (vid, copies) has it.
     """
     both = graph.unionByName(graph.select(F.col("w").alias("v"), F.col("v").alias("w"), "sim"))
     links = scratch.put(both.groupBy("v", "w").agg(F.max("sim").alias("sim")), "links")
@@ -171,8 +172,10 @@ def communities(graph: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
         if not moved and k:
             break
     inside = links.join(labels.select("v", "community"), "v")
-    inside = skew_join(inside, labels.select(F.col("v").alias("w"), F.col("community").alias("other")), "w", rows=rows)
-    inside = inside.groupBy("v").agg(F.first("community").alias("community"), F.sum(F.when(F.col("community") == F.col("other"), F.col("sim")).otherwise(0.0)).alias("inside"))
+    others = labels.select(F.col("v").alias("w"), F.col("community").alias("other")).join(copies.select(F.col("vid").alias("w"), "copies"), "w")
+    inside = skew_join(inside, others, "w", rows=rows).withColumn("sim", F.col("sim") * F.col("copies"))
+    within = F.sum(F.when(F.col("community") == F.col("other"), F.col("sim")).otherwise(0.0))
+    inside = inside.groupBy("v").agg(F.first("community").alias("community"), within.alias("inside"), F.sum("sim").alias("degree"))
     return scratch.put(inside, "communities"), links
 
 
@@ -217,20 +220,24 @@ def joined(vectors: DataFrame, labels: DataFrame, rows: int, floor: float, scrat
 def clustered(df: DataFrame, scratch: Scratch, floor: float = 0.47, dim: int = 384) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(labels, communities, members, vectors) of the usable embeddings of ``df`` (image_id, embedding).
 
-    labels has (vid, root) of every vector, root being its cluster; communities (v, community, inside) of the
-    vectors with a neighbour; members (vid, image_id). Equal embeddings are one vector. Tables without a usable
+    labels has (vid, root) of every vector, root being its cluster; communities (v, community, inside, degree) of the
+    vectors with a neighbour or copies, which count in both degrees; members (vid, image_id). Equal embeddings are one vector. Tables without a usable
     embedding give empty results.
     """
     vectors, members = usable(df, scratch, dim)
     rows = vectors.count()
     graph = graph_of(vectors, rows, floor, scratch, dim) if rows > 1 else vectors.sparkSession.createDataFrame([], "v bigint, w bigint, sim double")
-    found, links = communities(graph, scratch)
+    copies = scratch.put(members.groupBy("vid").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    found, links = communities(graph, copies, scratch)
     label = found.select("v", "community")
     quotient = skew_join(links.join(label, "v"), label.select(F.col("v").alias("w"), F.col("community").alias("other")), "w", rows=2 * NEIGHBOURS * rows).filter("community < other")
     groups = connected(quotient.select(F.col("community").alias("u"), F.col("other").alias("v")).distinct(), Scratch(vectors.sparkSession, "p2-groups"))
     root = skew_join(label, groups.select(F.col("v").alias("community"), "root"), "community", "left", rows=rows).select(F.col("v").alias("vid"), F.coalesce("root", "community").alias("root"))
     labels = scratch.put(vectors.select("vid").join(root, "vid", "left").select("vid", F.coalesce("root", "vid").alias("root")), "clusters")
     labels = joined(vectors, labels, rows, floor, scratch) if rows > 1 else labels
+    with_copies = lambda c: (F.coalesce(F.col(c), F.lit(0.0)) + F.col("copies") - 1).alias(c)
+    every = copies.withColumnRenamed("vid", "v").join(found, "v", "left").filter("community IS NOT NULL OR copies > 1")
+    found = every.select("v", F.coalesce("community", "v").alias("community"), with_copies("inside"), with_copies("degree"))
     return labels, found, members, vectors
 
 
@@ -242,18 +249,33 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return skew_join(named, clusters, "root").select("image_id", "cluster_id")
 
 
+def described(rows: DataFrame, members: DataFrame, group: str, degree: str, name: str) -> DataFrame:
+    """(``name``, size, typical) of each ``group`` of ``rows`` (vid) of two images or more: its smallest image_id, its images, its three most typical.
+
+    Typical are those of highest ``degree``; images with equal vectors count in size and are named once, by the smallest.
+    """
+    counts = members.groupBy("vid").agg(F.min("image_id").alias("image_id"), F.count(F.lit(1)).alias("copies"))
+    rows = rows.join(counts, "vid")
+    sizes = rows.groupBy(group).agg(F.sum("copies").alias("size"), F.min("image_id").alias(name)).filter("size > 1")
+    top = top_n(rows, [group], [F.round(degree, 6).desc(), F.col("image_id")], 3, F.col("vid"), "r")
+    typical = top.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("r", "image_id"))).alias("t"))
+    return sizes.join(typical, group).select(name, "size", F.col("t.image_id").alias("typical"))
+
+
 def p2_communities(spark: SparkSession, sf: str) -> DataFrame:
     """Every community of two images or more: its size and its three most typical members, by weighted degree within it."""
     _, found, members, _ = clustered(spark.read.parquet(f"{sf}/image_vectors.parquet").select("image_id", "embedding"), Scratch(spark, "p2"))
-    counts = members.groupBy("vid").agg(F.min("image_id").alias("image_id"), F.count(F.lit(1)).alias("copies"))
-    rows = found.withColumnRenamed("v", "vid").join(counts, "vid")
-    sizes = rows.groupBy("community").agg(F.sum("copies").alias("size"), F.min("image_id").alias("community_id"))
-    top = top_n(rows, ["community"], [F.round("inside", 6).desc(), F.col("image_id")], 3, F.col("vid"), "r")
-    typical = top.groupBy("community").agg(F.sort_array(F.collect_list(F.struct("r", "image_id"))).alias("t"))
-    return sizes.join(typical, "community").select("community_id", "size", F.col("t.image_id").alias("typical"))
+    return described(found.withColumnRenamed("v", "vid"), members, "community", "inside", "community_id")
+
+
+def p2_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cluster of two images or more: its size and its three most typical members, by weighted degree within it."""
+    labels, found, members, _ = clustered(spark.read.parquet(f"{sf}/image_vectors.parquet").select("image_id", "embedding"), Scratch(spark, "p2"))
+    rows = labels.join(found.select(F.col("v").alias("vid"), "degree"), "vid", "left").na.fill(0.0, ["degree"])
+    return described(rows, members, "root", "degree", "cluster_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_communities": p2_communities}
+QUERIES = {"p2_found": p2_found, "p2_communities": p2_communities, "p2_clusters": p2_clusters}
 
 ORACLES = {
     "p2_found": f"""

@@ -177,3 +177,14 @@ def test_one_link_between_dense_groups(spark, scratch, monkeypatch):
     for r in members.collect():
         got.setdefault(root[r.vid], set()).add(r.image_id)
     assert sorted(map(sorted, got.values())) == sorted(sorted(i for i in ids if want[i] == c) for c in set(want.values()))
+
+
+def test_copies_without_a_neighbour(spark, tmp_path):
+    rows = made(11, [6], 4)
+    lone = next(v for i, v in rows if i == "lone-0000")
+    rows += [(f"lone-0000-{k}", lone) for k in range(40)]
+    table(spark, rows).write.parquet(f"{tmp_path}/image_vectors.parquet")
+    for query in (clusters.p2_communities, clusters.p2_clusters):
+        got = {r[0]: (r.size, r.typical) for r in query(spark, str(tmp_path)).collect()}
+        assert got["lone-0000"] == (41, ["lone-0000"])
+        assert got["c00-0000"][0] == 6 and len(got["c00-0000"][1]) == 3 and len(got) == 2
