@@ -1,6 +1,6 @@
 """Problem 5: splits that keep related records together.
 
-Method: minimum-label propagation over the bipartite graph of records and entities gives the sets of
+Method: the connected components of the bipartite graph of records and entities are the sets of
 records that must stay together; they are then assigned to splits stratum by stratum, largest first,
 so that the squared deviation from the target shares stays least. Sets of one stratum and one size
 are interchangeable, so the assignment works on the (stratum, size, number of sets) table, which has
@@ -16,32 +16,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.dirty import breed_name, group_name, split_name
+from corpusloom.llm.groups import connected
 from corpusloom.operators.skew import ranked, skew_join
 from corpusloom.session import Scratch, let_workers_import
 
 
-def propagate(links: DataFrame, scratch: Scratch, rounds: int = 100) -> DataFrame:
+def propagate(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(entity, label) of each entity of ``links`` (record, entity): the smallest entity it is linked with through records.
 
-    Only records with two or more entities can pass a label on, so only they take part in the rounds.
-    Null records and entities link nothing. An entity without such a record is its own label.
+    Only records with two or more entities link any, each its entities with their smallest; however long the
+    chains are, they are followed to the end. Null records and entities link nothing. An entity without such a record is its own label.
     """
     pairs = links.filter("record IS NOT NULL AND entity IS NOT NULL").select("record", "entity").distinct()
     pairs = scratch.put(pairs, "pairs")
-    several = pairs.groupBy("record").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")).filter("lo <> hi").select("record")
-    bridge = scratch.put(pairs.join(several, "record", "left_semi"), "bridge")
-    labels = scratch.put(bridge.select("entity").distinct().withColumn("label", F.col("entity")), "labels0")
-    for k in range(rounds):
-        seen = skew_join(bridge, labels, "entity")
-        of_record = seen.groupBy("record").agg(F.min("label").alias("least"))
-        found = skew_join(seen, of_record, "record").groupBy("entity").agg(F.min("label").alias("old"), F.min("least").alias("label"))
-        # a label's own label may be smaller still
-        found = skew_join(found, found.select(F.col("entity").alias("label"), F.col("label").alias("next")), "label", "left")
-        new = scratch.put(found.select("entity", "old", F.least("label", "next").alias("label")), f"labels{k + 1}")
-        scratch.drop(f"labels{k}")
-        labels = new.select("entity", "label")
-        if new.filter("label <> old").isEmpty():
-            break
+    least = pairs.groupBy("record").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")).filter("lo <> hi").select("record", "lo")
+    bridge = scratch.put(skew_join(pairs, least, "record").filter("entity <> lo").select("entity", "lo").distinct(), "bridge")
+    # sorted, so that the smallest number of a set is its smallest entity
+    ends = bridge.select(F.explode(F.array("entity", "lo")).alias("entity")).distinct().orderBy("entity")
+    ends = scratch.put(ends.withColumn("vid", F.monotonically_increasing_id()), "ends")
+    edges = skew_join(bridge, ends.select("entity", F.col("vid").alias("u")), "entity")
+    edges = skew_join(edges, ends.select(F.col("entity").alias("lo"), F.col("vid").alias("v")), "lo")
+    roots = connected(edges.select("u", "v"), scratch).join(ends.withColumnRenamed("vid", "v"), "v")
+    labels = skew_join(roots, ends.select(F.col("vid").alias("root"), F.col("entity").alias("label")), "root").select("entity", "label")
     every = pairs.select("entity").distinct()
     return every.join(labels, "entity", "left").select("entity", F.coalesce("label", "entity").alias("label"))
 

@@ -71,3 +71,10 @@ def test_assign_shares(spark, scratch):
         for name, share in TARGETS:
             assert abs(sum(n for s, n in own if got[s] == name) / total - share) < 0.01
     assert assign(spark.createDataFrame([], "label string, stratum string, n bigint"), TARGETS, scratch).count() == 0
+
+
+def test_propagate_a_shuffled_chain(spark, scratch):
+    order = [f"e{i:04}" for i in random.Random(4).sample(range(2000), 2000)]
+    links = [(f"r{i}", e) for i in range(1999) for e in order[i : i + 2]]
+    got = propagate(spark.createDataFrame(links, "record string, entity string"), scratch).collect()
+    assert {tuple(r) for r in got} == {(e, "e0000") for e in order}
