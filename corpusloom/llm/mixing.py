@@ -126,8 +126,10 @@ def _inputs(spark: SparkSession, sf: str, path: str) -> tuple[DataFrame, DataFra
 def _mixed(spark: SparkSession, sf: str, path: str = TOKENIZERS) -> tuple[DataFrame, DataFrame, DataFrame]:
     scratch = Scratch(spark, "p8")
     docs, targets = _inputs(spark, sf, path)
+    rows = targets.limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"there are more than {MAX_SOURCES} target sources")
     docs = scratch.put(docs, "tokens")
-    rows = targets.limit(MAX_SOURCES).collect()
     return docs, targets, mix(docs, {r[0]: (r[1], r[2]) for r in rows}, scratch)
 
 

@@ -20,6 +20,9 @@ from corpusloom.llm.groups import connected
 from corpusloom.operators.skew import ranked, skew_join
 from corpusloom.session import Scratch, let_workers_import
 
+#: Most splits that targets may name.
+MAX_SPLITS = 1000
+
 
 def propagate(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(entity, label) of each entity of ``links`` (record, entity): the smallest entity it is linked with through records.
@@ -166,7 +169,9 @@ def regroup(manifest: DataFrame, targets: list[tuple[str, float]], scratch: Scra
 
 
 def _targets(spark: SparkSession, sf: str) -> list[tuple[str, float]]:
-    rows = spark.read.parquet(f"{sf}/split_targets.parquet").select("split", "target_share").limit(1000).collect()
+    rows = spark.read.parquet(f"{sf}/split_targets.parquet").select("split", "target_share").limit(MAX_SPLITS + 1).collect()
+    if len(rows) > MAX_SPLITS:
+        raise ValueError(f"there are more than {MAX_SPLITS} target splits")
     order = {"train": 0, "val": 1, "test": 2}
     return sorted(((r[0], r[1]) for r in rows), key=lambda r: (order.get(r[0], 9), r[0] or ""))
 

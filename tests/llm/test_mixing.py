@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.llm import mixing, splits
 from corpusloom.llm.mixing import budgets, mix
 from corpusloom.session import Scratch
 
@@ -50,3 +52,11 @@ def test_nothing_to_mix(spark, scratch):
     assert mix(docs(spark, []), TARGETS, scratch).count() == 0
     assert mix(docs(spark, [(1, "z", 5, "x"), (2, None, 5, "x"), (3, "a", 0, "x")]), TARGETS, Scratch(spark, "z")).count() == 0
     assert mix(docs(spark, [(1, "a", 5, "x")]), {}, Scratch(spark, "e")).count() == 0
+
+
+def test_too_many_targets(spark, sf, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    monkeypatch.setattr(splits, "MAX_SPLITS", 2)
+    for query in (mixing.p8_mix, splits.p5_splits):
+        with pytest.raises(ValueError, match="more than 2"):
+            query(spark, sf)
