@@ -142,6 +142,8 @@ def leaking(manifest: DataFrame, scratch: Scratch) -> DataFrame:
     rows = rows.filter("entity IS NOT NULL")
     of = rows.groupBy("entity").agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
     labels = propagate(rows, scratch)
+    # groups of rows without rec_id only are linked with nothing, but count
+    labels = of.select("entity").join(labels, "entity", "left").select("entity", F.coalesce("label", "entity").alias("label"))
     torn = labels.join(of, "entity").groupBy("label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi")
     return labels.join(torn, "label", "left_semi").select(F.col("entity").alias("dedup_group"))
 

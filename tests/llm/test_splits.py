@@ -78,3 +78,8 @@ def test_propagate_a_shuffled_chain(spark, scratch):
     links = [(f"r{i}", e) for i in range(1999) for e in order[i : i + 2]]
     got = propagate(spark.createDataFrame(links, "record string, entity string"), scratch).collect()
     assert {tuple(r) for r in got} == {(e, "e0000") for e in order}
+
+
+def test_leaking_without_rec_id(spark, scratch):
+    rows = [(None, "a", "SG_1", "train", None, 1), (None, "b", "SG_1", "val", None, 1), (None, "c", "SG_2", "val", None, 1), (1, "d", "SG_3", "val", None, 1), (None, "e", "SG_3", "test", None, 1)]
+    assert sorted(r[0] for r in leaking(spark.createDataFrame(rows, COLUMNS), scratch).collect()) == ["SG_1", "SG_3"]
