@@ -1,11 +1,13 @@
 """Problem 2: records grouped into clusters of mutually similar ones.
 
-Method: an approximate nearest-neighbour graph is built by neighbour descent (started within buckets
-around pivots, then each vector meets those that have the same neighbour), and modularity-based community
-detection runs on it; a community's typical members are those of highest internal weighted degree.
-Every edge of the graph is an exact cosine of at least the floor. Communities that an edge joins form
-one cluster; at the end every two vectors that are still apart are compared, and what has members alike is
-joined, so that the clusters are exact whatever the graph missed.
+Method: an approximate nearest-neighbour graph is built by neighbour descent and modularity-based
+community detection runs on it. The graph starts within the blocks of the index and a few pieces of others; then every vector
+is compared with its neighbours' neighbours until no list changes. Only lists of addresses are shuffled,
+workers read the vectors they compare. Communities move record by record, then whole communities, until no level
+gains modularity; a community's typical members are those of highest internal weighted degree.
+Clusters are the connected components of the graph, whose edges are exact cosines of at least the floor,
+followed by a check: every vector is compared with all pieces of the index that may hold one alike but in
+another component, and what is alike is joined.
 """
 
 from __future__ import annotations
@@ -14,265 +16,370 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.groups import connected, union_find
-from corpusloom.llm.vectors import BLUR, STEP, UNIT_SQL, assigned, cut_of, cuts, matrix, pivots, products, sweep, usable
+from corpusloom.llm.vectors import BLUR, STEP, UNIT_SQL, Candidates, Files, Index, block_of, indexed, products, usable
 from corpusloom.operators.skew import skew_join, top_n
 from corpusloom.session import Scratch
 
-#: Neighbours of a vector, buckets it starts in, rounds of descent, neighbours at which it meets others.
-NEIGHBOURS, STARTS, DESCENTS, MEETINGS = 10, 4, 2, 2
-#: Rows of a starting bucket, as a multiple of the usual.
-WIDER = 2
-#: Vectors that meet at once; a larger meeting is cut at random, which only costs descents.
-MEETING_ROWS = 256
-#: Rounds of moving records between communities.
-MOVES = 6
-#: Shares of the meetings that one task handles, in groups.
-SHARDS = 4096
-
-
-def _top(v: np.ndarray, w: np.ndarray, sim: np.ndarray, k: int) -> pa.Table:
-    """The k most similar of each v, ties to the smaller w."""
-    order = np.lexsort((w, -sim, v))
+#: Neighbours of a vector, and pieces of the index besides its block in which they are sought at the start.
+NEIGHBOURS, STARTS = 10, 4
+#: Modularity that a round of moves must gain to be followed by another.
+GAIN = 1e-4
+
+#: The part of an address that is the place in its block.
+LOW = (1 << 33) - 1
+EDGE = "v bigint, w bigint, sim double"
+LISTS = "v bigint, w array<bigint>, sim array<double>, fresh array<boolean>"
+
+
+def _top(v: np.ndarray, w: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k most similar different w of each v, ties to the smaller w; in order of v, nearest first."""
+    order = np.lexsort((w, v))
+    order = order[np.concatenate([[True], (v[order[1:]] != v[order[:-1]]) | (w[order[1:]] != w[order[:-1]])])] if len(v) else order
+    order = order[np.lexsort((w[order], -sim[order], v[order]))]
     v, w, sim = v[order], w[order], sim[order]
-    fresh = np.ones(len(v), bool)
-    fresh[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-    v, w, sim = v[fresh], w[fresh], sim[fresh]
     near = np.arange(len(v)) - np.searchsorted(v, v) < k
-    return pa.table({"v": pa.array(v[near], pa.int64()), "w": pa.array(w[near], pa.int64()), "sim": pa.array(sim[near], pa.float64())})
-
-
-def _alike(a_ids: np.ndarray, a: np.ndarray, b_ids: np.ndarray, b: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(v, w, cosine) of the k nearest rows of b of each row of a, cosines exact and at least ``floor``."""
-    vs, ws, ss = [], [], []
-    for s in range(0, len(a), 1024):
-        cos = a[s : s + 1024] @ b.T
-        cos[a_ids[s : s + 1024, None] == b_ids[None]] = -2
-        top = np.argpartition(-cos, k, axis=1)[:, :k] if cos.shape[1] > k else np.broadcast_to(np.arange(cos.shape[1]), cos.shape)
-        at, place = np.nonzero(np.take_along_axis(cos, top, 1) >= floor - 1e-4)
-        hit = top[at, place]
-        exact = np.einsum("ij,ij->i", a[s + at].astype(np.float64), b[hit].astype(np.float64))
-        good = exact >= floor
-        vs.append(a_ids[s + at[good]])
-        ws.append(b_ids[hit[good]])
-        ss.append(exact[good])
-    return tuple(np.concatenate(x) if x else np.zeros(0) for x in (vs, ws, ss))  # type: ignore[return-value]
-
-
-def within_buckets(vectors: DataFrame, rows: int, floor: float, k: int, starts: int, seed: int, scratch: Scratch, name: str) -> DataFrame:
-    """(v, w, sim): the k nearest of each vector (vid, vec) in each bucket that it starts in; both directions."""
-    centres = pivots(vectors, rows, seed, WIDER)
-    dim = centres.shape[1]
-    placed = assigned(vectors, centres, starts, 1.0, scratch, f"{name}-placed")
-    inside = placed.select(F.explode("buckets").alias("bucket"), "vid", "vec")
-    parts = cuts(inside.select("bucket"), "bucket")
-    cut = cut_of(parts, "bucket")
-    own = inside.withColumn("cut", F.pmod(F.xxhash64("vid"), cut).cast("int"))
-    # each cut of an over-full bucket meets each other cut once
-    other = F.explode(F.sequence(F.lit(0), cut - 1))
-    own = own.withColumn("other", other).withColumn("i", F.least("cut", "other")).withColumn("j", F.greatest("cut", "other")).drop("other")
-
-    def meet(table: pa.Table) -> pa.Table:
-        ids, x, at = table["vid"].to_numpy(), matrix(table["vec"], dim), table["cut"].to_numpy()
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        if i == j:
-            return _top(*_alike(ids, x, ids, x, floor, k), k)
-        a, b = at == i, at == j
-        found = [_alike(ids[p], x[p], ids[q], x[q], floor, k) for p, q in ((a, b), (b, a)) if p.any() and q.any()]
-        return _top(*(np.concatenate([f[c] for f in found]) if found else np.zeros(0) for c in range(3)), k)
-
-    return own.groupBy("bucket", "i", "j").applyInArrow(meet, "v bigint, w bigint, sim double")
-
-
-def best_edges(edges: DataFrame, k: int) -> DataFrame:
-    """The k most similar different w of each v."""
-    each = edges.groupBy("v", "w").agg(F.max("sim").alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "w"))
-    return each.withColumn("r", rank).filter(F.col("r") <= k).drop("r")
-
-
-def descend(graph: DataFrame, vectors: DataFrame, floor: float, k: int, dim: int) -> DataFrame:
-    """New edges: every vector goes to its MEETINGS nearest neighbours and to itself, and whoever meets at one is compared."""
-    rank = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "w"))
-    go = graph.withColumn("r", rank).filter(F.col("r") <= MEETINGS).select(F.col("v").alias("vid"), F.col("w").alias("place"))
-    places = go.groupBy("vid").agg(F.collect_list("place").alias("places"))  # MEETINGS at most
-    sent = vectors.join(places, "vid").select("vid", "vec", F.explode(F.array_append("places", F.col("vid"))).alias("place"))
-    busy = cuts_of_places(go)
-    part = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("vid"), F.col("n"))).cast("int")
-    sent = sent.join(busy, "place", "left").withColumn("part", part).drop("n")
-    sent = sent.withColumn("shard", F.pmod(F.xxhash64("place", "part"), F.lit(SHARDS)).cast("int"))
-
-    def meet(table: pa.Table) -> pa.Table:
-        ids, x = table["vid"].to_numpy(), matrix(table["vec"], dim)
-        place, part_ = table["place"].to_numpy(), table["part"].to_numpy()
-        order = np.lexsort((ids, part_, place))
-        ids, x, place, part_ = ids[order], x[order], place[order], part_[order]
-        edge = np.flatnonzero((place[1:] != place[:-1]) | (part_[1:] != part_[:-1])) + 1
-        bounds = np.concatenate([[0], edge, [len(ids)]])
-        found = []
-        for s, e in zip(bounds[:-1], bounds[1:]):
-            for p in range(s, e, MEETING_ROWS):
-                q = min(e, p + MEETING_ROWS)
-                if q - p > 2:  # two that meet are neighbours already
-                    found.append(_alike(ids[p:q], x[p:q], ids[p:q], x[p:q], floor, k))
-        return _top(*(np.concatenate([f[c] for f in found]) if found else np.zeros(0) for c in range(3)), k)
-
-    return sent.groupBy("shard").applyInArrow(meet, "v bigint, w bigint, sim double")
-
-
-def cuts_of_places(go: DataFrame) -> DataFrame:
-    """(place, n) of the places so busy that they are cut into n parts."""
-    count = go.groupBy("place").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > MEETING_ROWS)
-    return count.select("place", F.ceil(F.col("c") / MEETING_ROWS).alias("n"))
-
-
-def graph_of(vectors: DataFrame, rows: int, floor: float, scratch: Scratch, dim: int) -> DataFrame:
-    """(v, w, sim): for each vector the NEIGHBOURS nearest found, cosines exact and at least ``floor``."""
-    graph = scratch.put(best_edges(within_buckets(vectors, rows, floor, NEIGHBOURS, STARTS, 11, scratch, "start"), NEIGHBOURS), "graph0")
-    scratch.drop("start-placed")
-    for k in range(DESCENTS):
-        new = best_edges(graph.unionByName(descend(graph, vectors, floor, NEIGHBOURS, dim)), NEIGHBOURS)
-        new = scratch.put(new, f"graph{k + 1}")
-        changed = new.join(graph, ["v", "w"], "left_anti").limit(1).count()
-        scratch.drop(f"graph{k}")
-        graph = new
-        if not changed:
-            break
-    return graph
-
-
-def communities(graph: DataFrame, copies: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(labels, links) of the undirected ``graph`` (v, w, sim): labels (v, community, inside, degree), links (v, w, sim) both ways.
-
-    Every round half of the records, by hash, move to the neighbouring community of highest gain in
-    modularity (ties to the smaller one); inside is a record's weighted degree within its community and degree
-    that within the graph, where each neighbour counts as often as ``copies`` (vid, copies) has it.
+    return v[near], w[near], sim[near]
+
+
+def _edges(v: np.ndarray, w: np.ndarray, sim: np.ndarray) -> pa.Table:
+    return pa.table({"v": pa.array(v, pa.int64()), "w": pa.array(w, pa.int64()), "sim": pa.array(sim, pa.float64())})
+
+
+def _lists(v: np.ndarray, w: np.ndarray, sim: np.ndarray, fresh: np.ndarray) -> pa.Table:
+    """Edges in order of v as a row a v."""
+    names, start = np.unique(v, return_index=True)
+    offsets = pa.array(np.append(start, len(v)).astype(np.int32))
+    columns = {"v": pa.array(names, pa.int64()), "w": pa.ListArray.from_arrays(offsets, pa.array(w, pa.int64()))}
+    columns |= {"sim": pa.ListArray.from_arrays(offsets, pa.array(sim, pa.float64())), "fresh": pa.ListArray.from_arrays(offsets, pa.array(fresh, pa.bool_()))}
+    return pa.table(columns)
+
+
+def _flat(table: pa.Table | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges of lists."""
+    if table is None or not table.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    table = table.combine_chunks()
+    w = table["w"].chunk(0)
+    return np.repeat(table["v"].to_numpy(), np.diff(w.offsets.to_numpy())), w.flatten().to_numpy(), table["sim"].chunk(0).flatten().to_numpy()
+
+
+def _coded(v: np.ndarray, w: np.ndarray, old_v: np.ndarray, old_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One number for each pair (v, w), the same for equal pairs of either side; all v are of one block."""
+    names, at = np.unique(np.concatenate([w, old_w]), return_inverse=True)
+    codes = (np.concatenate([v, old_v]) & LOW) * max(len(names), 1) + at
+    return codes[: len(v)], codes[len(v) :]
+
+
+def started(index: Index, block: int, floor: float, k: int) -> pa.Table | None:
+    """Lists of the k nearest of each vector of a block within it and in STARTS pieces nearby, cosines exact and at least ``floor``."""
+    x, _ = index.vectors(block)
+    if not len(x):
+        return None
+    own, found = np.int64(block) << 33, Candidates(len(x), k, floor, BLUR)
+    for b, queries, rows in index.visits(index.nearby(x, block, STARTS)):
+        other, at = index.vectors(b)[0][rows], (np.int64(b) << 33) + rows
+        for s in range(0, len(queries), STEP):
+            some = queries[s : s + STEP]
+            cos = x[some] @ other.T
+            if b == block:
+                cos[(own + some)[:, None] == at[None]] = -3  # itself
+            found.add(some, at, cos)
+    found.settle()
+    exact = np.empty(len(found.q))
+    for b in np.unique(found.at >> 33):
+        here, other = np.flatnonzero(found.at >> 33 == b), index.vectors(int(b))[0]
+        exact[here] = products(x[found.q[here]], other[found.at[here] & LOW])
+    good = exact >= floor
+    v, w, sim = _top(own + found.q[good], found.at[good], exact[good], k)
+    return _lists(v, w, sim, np.ones(len(v), bool))
+
+
+def met(index: Index, state: Files, block: int, routes: pa.Table | None, floor: float, k: int) -> pa.Table:
+    """Edges (v, w, sim) that improve a list: neighbours of one vector of the block, and each v of ``routes`` (v, xs; of the block) with its xs.
+
+    Pairs of which both have heard before are left out; an edge comes both ways if it improves both lists.
     """
-    both = graph.unionByName(graph.select(F.col("w").alias("v"), F.col("v").alias("w"), "sim"))
-    links = scratch.put(both.groupBy("v", "w").agg(F.max("sim").alias("sim")), "links")
-    rows, total = links.agg(F.count(F.lit(1)), F.sum("sim")).first()  # twice the edges, and twice their weight
-    total = total or 1.0
-    labels = scratch.put(links.groupBy("v").agg(F.sum("sim").alias("degree")).select("v", F.col("v").alias("community"), "degree"), "labels0")
-    for k in range(MOVES):
-        sizes = labels.groupBy("community").agg(F.sum("degree").alias("weight"))
-        near = skew_join(links, labels.select(F.col("v").alias("w"), "community"), "w", rows=rows).groupBy("v", "community").agg(F.sum("sim").alias("towards"))
-        near = skew_join(near, sizes, "community", rows=rows).join(labels.select("v", F.col("community").alias("own"), "degree"), "v")
-        less = F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(0.0)
-        gain = F.col("towards") - F.col("degree") * (F.col("weight") - less) / F.lit(total)
-        best = near.withColumn("gain", F.round(gain, 9)).groupBy("v").agg(F.min(F.struct((-F.col("gain")).alias("g"), (F.col("community") != F.col("own")).alias("moves"), "community"))["community"].alias("best"))
-        moving = F.pmod(F.xxhash64("v", F.lit(k)), F.lit(2)) == 0
-        new = labels.join(best, "v", "left").withColumn("next", F.when(moving, F.coalesce("best", "community")).otherwise(F.col("community")))
-        new = scratch.put(new.select("v", F.col("community").alias("was"), F.col("next").alias("community"), "degree"), f"labels{k + 1}")
-        scratch.drop(f"labels{k}")
-        moved = new.filter("was <> community").limit(1).count()
-        labels = new.select("v", "community", "degree")
-        if not moved and k:
-            break
-    inside = links.join(labels.select("v", "community"), "v")
-    others = labels.select(F.col("v").alias("w"), F.col("community").alias("other")).join(copies.select(F.col("vid").alias("w"), "copies"), "w")
-    inside = skew_join(inside, others, "w", rows=rows).withColumn("sim", F.col("sim") * F.col("copies"))
-    within = F.sum(F.when(F.col("community") == F.col("other"), F.col("sim")).otherwise(0.0))
-    inside = inside.groupBy("v").agg(F.first("community").alias("community"), within.alias("inside"), F.sum("sim").alias("degree"))
-    return scratch.put(inside, "communities"), links
-
-
-def joined(vectors: DataFrame, labels: DataFrame, rows: int, floor: float, scratch: Scratch) -> DataFrame:
-    """(vid, root) of ``labels`` after joining groups that have alike members: every pair of vectors of different groups is compared."""
-
-    def meet(block: pa.Table, table: Iterator[pa.RecordBatch]) -> pa.Table:
-        ids, roots, dim = block["vid"].to_numpy(), block["root"].to_numpy(), len(block["vec"][0].as_py()) // 4
-        x = matrix(block["vec"], dim)
-        old, new = np.zeros(0, np.int64), np.zeros(0, np.int64)  # groups of this task that are no longer their own
-
-        def now(r: np.ndarray) -> np.ndarray:
-            if not len(old):
-                return r
-            at = np.minimum(np.searchsorted(old, r), len(old) - 1)
-            return np.where(old[at] == r, new[at], r)
-
-        for chunk in table:
-            if chunk["vid"].to_numpy().max() <= ids.min():
-                continue  # a pair meets in the block of its smaller vid
-            y, y_roots = matrix(chunk["vec"], dim), chunk["root"].to_numpy()
-            for s in range(0, len(ids), STEP):
-                part = x[s : s + STEP]
-                cos = part @ y.T
-                mine, others = now(roots[s : s + STEP]), now(y_roots)
+    mine = state.read(block, ["v", "w", "sim", "fresh"])
+    of, w, _ = _flat(mine)
+    fresh = mine["fresh"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(of) else np.zeros(0, bool)
+    at = np.arange(len(of))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, k):  # those d places apart in the list of one vector
+        here = at[: max(len(of) - d, 0)]
+        here = here[(of[here] == of[here + d]) & (fresh[here] | fresh[here + d])]
+        a.append(w[here])
+        b.append(w[here + d])
+    if routes is not None:
+        xs = routes["xs"].combine_chunks()
+        v, x = np.repeat(routes["v"].to_numpy(), np.diff(xs.offsets.to_numpy())), xs.flatten().to_numpy()
+        codes, known = _coded(v, x, of, w)
+        codes, first = np.unique(codes, return_index=True)
+        first = first[~np.isin(codes, known) & (v[first] != x[first])]
+        a.append(v[first])
+        b.append(x[first])
+    a, b = np.concatenate(a), np.concatenate(b)
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    pairs = np.unique(place[: len(a)] * max(len(names), 1) + place[len(a) :])
+    ia, ib = np.divmod(pairs, max(len(names), 1))
+    vecs, worst = np.empty((len(names), index.dim), "<f4"), np.full(len(names), floor)
+    blocks, first = np.unique(names >> 33, return_index=True)
+    for other, s, e in zip(blocks, first, np.append(first[1:], len(names))):
+        vecs[s:e] = index.vectors(int(other))[0][names[s:e] & LOW]
+        lists = state.read(int(other), ["v", "w", "sim"])
+        heads, _, sims = _flat(lists)
+        if len(heads):
+            # the least similarity that gets into a full list
+            who, start, n = np.unique(heads, return_index=True, return_counts=True)
+            least = np.where(n >= k, np.minimum.reduceat(sims, start), floor)
+            spot = np.minimum(np.searchsorted(who, names[s:e]), len(who) - 1)
+            worst[s:e] = np.where(who[spot] == names[s:e], least[spot], floor)
+    vs, ws, ss = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for p in range(0, len(pairs), 16384):
+        i, j = ia[p : p + 16384], ib[p : p + 16384]
+        near = np.einsum("ij,ij->i", vecs[i], vecs[j]) >= np.minimum(worst[i], worst[j]) - BLUR
+        i, j = i[near], j[near]
+        exact = products(vecs[i], vecs[j])
+        for c, d in ((i, j), (j, i)):
+            good = exact >= worst[c]
+            vs.append(names[c[good]])
+            ws.append(names[d[good]])
+            ss.append(exact[good])
+    return _edges(*_top(np.concatenate(vs), np.concatenate(ws), np.concatenate(ss), k))
+
+
+def improved(state: Files, block: int, found: pa.Table, k: int) -> pa.Table:
+    """The lists of a block with the edges ``found`` (v, w, sim) for it."""
+    old_v, old_w, old_sim = _flat(state.read(block, ["v", "w", "sim"]))
+    sides = [(old_v, found["v"]), (old_w, found["w"]), (old_sim, found["sim"])]
+    v, w, sim = _top(*(np.concatenate([a, b.to_numpy()]) for a, b in sides), k)
+    codes, old = _coded(v, w, old_v, old_w)
+    return _lists(v, w, sim, ~np.isin(codes, old))
+
+
+def graph_of(index: Index, spark: SparkSession, floor: float, scratch: Scratch, k: int = NEIGHBOURS) -> DataFrame:
+    """(v, w, sim): for each vector, by address, the k nearest found by neighbour descent, cosines exact and at least ``floor``.
+
+    In each round the neighbours of a vector hear of each other, and the vector of their neighbours, unless both links are
+    old; who is nearer than the farthest neighbour of either takes its place. Rounds end when no list changes, which comes, as lists only improve.
+    """
+
+    def by_block(rows: DataFrame, run, schema: str) -> DataFrame:  # noqa: ANN001
+        """``run(block, its rows or none)`` for every block; ``rows`` start with their block."""
+        filled = ["bigint(null)" if f.dataType.simpleString() == "bigint" else f"CAST(NULL AS {f.dataType.simpleString()})" for f in rows.schema.fields[1:]]
+        every = spark.range(0, index.blocks, 1, 1).selectExpr("int(id) AS block", *[f"{c} AS `{n}`" for c, n in zip(filled, rows.columns[1:])])
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches([b for b in batches if b.num_rows])
+            for block in pa.compute.unique(whole["block"]).to_pylist():
+                own = whole.filter(pa.compute.and_(pa.compute.equal(whole["block"], block), pa.compute.is_valid(whole["v"])))
+                yield from run(block, own if own.num_rows else None).to_batches()
+
+        return rows.unionByName(every).repartitionById(index.blocks, "block").mapInArrow(task, schema)
+
+    lists = scratch.put(index.each_block(spark, lambda block: started(index, block, floor, k), LISTS), "lists0")
+    t = 0
+    while lists.filter(F.exists("fresh", lambda f: f)).limit(1).count():
+        state = Files(scratch, f"lists{t}")
+        heard = lists.select("v", F.explode(F.arrays_zip("w", "fresh")).alias("e")).select("v", F.col("e.w").alias("mid"), F.col("e.fresh").alias("fresh"))
+        told = lists.select(F.col("v").alias("mid"), "w", F.transform(F.filter(F.arrays_zip("w", "fresh"), lambda e: e["fresh"]), lambda e: e["w"]).alias("news"))
+        routes = skew_join(heard, told, "mid", rows=index.rows * k).select(block_of("v").alias("block"), "v", F.when(F.col("fresh"), F.col("w")).otherwise(F.col("news")).alias("xs"))
+        found = by_block(routes.filter("size(xs) > 0"), lambda b, rows, state=state: met(index, state, b, rows, floor, k), EDGE)
+        found = found.select(block_of("v").alias("block"), "v", "w", "sim")
+        empty = _edges(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        better = by_block(found, lambda b, rows, state=state: improved(state, b, empty if rows is None else rows, k), LISTS)
+        lists = scratch.put(better, f"lists{t + 1}")
+        scratch.drop(f"lists{t}")
+        t += 1
+    edges = lists.select("v", F.explode(F.arrays_zip("w", "sim")).alias("e"))
+    return edges.select("v", F.col("e.w").alias("w"), F.col("e.sim").alias("sim"))
+
+
+def _labelled(index: Index, spark: SparkSession, graph: DataFrame, table: DataFrame, scratch: Scratch, floor: float) -> DataFrame:
+    """(at, root) of every vector of ``table`` (at): the components of ``graph``, and of what the check finds alike beyond them."""
+    groups = connected(graph.select(F.col("v").alias("u"), F.col("w").alias("v")), Scratch(spark, "p2-groups"))
+    labels = table.select("at").join(groups.withColumnRenamed("v", "at"), "at", "left").select("at", F.coalesce("root", "at").alias("root"))
+    labels = scratch.put(labels.repartitionById(index.blocks, block_of("at")).sortWithinPartitions("at"), "labels")
+    roots = Files(scratch, "labels")
+    pairs = index.each_block(spark, lambda block: checked(index, roots, block, floor), "u bigint, v bigint")
+    joins = connected(pairs, Scratch(spark, "p2-joined")).select(F.col("v").alias("root"), F.col("root").alias("next"))
+    return scratch.put(skew_join(labels, joins, "root", "left", rows=index.rows).select("at", F.coalesce("next", "root").alias("root")), "clusters")
+
+
+def checked(index: Index, roots: Files, block: int, floor: float) -> pa.Table | None:
+    """(u, v): components that must be joined, as a vector of the block is alike to one of a piece that may hold such."""
+    x, _ = index.vectors(block)
+    if not len(x):
+        return None
+    own = roots.read(block, ["root"])["root"].to_numpy()
+    old, new = np.zeros(0, np.int64), np.zeros(0, np.int64)  # components of this task that are no longer their own
+
+    def now(r: np.ndarray) -> np.ndarray:
+        if not len(old):
+            return r
+        at = np.minimum(np.searchsorted(old, r), len(old) - 1)
+        return np.where(old[at] == r, new[at], r)
+
+    wanted = index.nearby(x, block) | index.promising(x, np.full(len(x), floor, np.float32))
+    for b, queries, rows in index.visits(wanted):
+        theirs = roots.read(b, ["root"])["root"].to_numpy()[rows]
+        if (now(own[queries])[:, None][:1] == now(theirs)[None]).all() and len(np.unique(now(own[queries]))) == 1:
+            continue  # all of one component
+        other = index.vectors(b)[0][rows]
+        for s in range(0, len(queries), STEP):
+            part = queries[s : s + STEP]
+            for r in range(0, len(rows), 4 * STEP):
+                cos = x[part] @ other[r : r + 4 * STEP].T
+                mine, others = now(own[part]), now(theirs[r : r + 4 * STEP])
                 at, hit = np.nonzero((cos >= floor - BLUR) & (mine[:, None] != others[None]))
                 good = cos[at, hit] >= floor + BLUR
                 for c in np.array_split(np.flatnonzero(~good), len(at) // 16384 + 1):
-                    good[c] = products(part[at[c]], y[hit[c]]) >= floor
+                    good[c] = products(x[part[at[c]]], other[r + hit[c]]) >= floor
                 if good.any():
-                    u, v = np.concatenate([old, mine[at[good]]]), np.concatenate([new, others[hit[good]]])
-                    old, new = union_find(u, v)
-        less = old != new
-        return pa.table({"u": pa.array(old[less], pa.int64()), "v": pa.array(new[less], pa.int64())})
+                    old, new = union_find(np.concatenate([old, mine[at[good]]]), np.concatenate([new, others[hit[good]]]))
+    less = old != new
+    return pa.table({"u": pa.array(old[less], pa.int64()), "v": pa.array(new[less], pa.int64())})
 
-    pairs = sweep(vectors.join(labels, "vid").select("vid", "vec", "root"), rows, meet, "u bigint, v bigint", scratch, "swept")
-    groups = connected(pairs, Scratch(vectors.sparkSession, "p2-joined"))
-    scratch.drop("swept")
-    return scratch.put(skew_join(labels, groups.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left", rows=rows).select("vid", F.coalesce("next", "root").alias("root")), "joined")
 
+def communities(graph: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
+    """((v, community) of the vertices of the undirected ``graph`` (v, w, sim), modularity of that division).
 
-def clustered(df: DataFrame, scratch: Scratch, floor: float = 0.47, dim: int = 384) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(labels, communities, members, vectors) of the usable embeddings of ``df`` (image_id, embedding).
-
-    labels has (vid, root) of every vector, root being its cluster; communities (v, community, inside, degree) of the
-    vectors with a neighbour or copies, which count in both degrees; members (vid, image_id). Equal embeddings are one vector. Tables without a usable
-    embedding give empty results.
+    Half of the nodes, by hash, move in each round to the neighbouring community of highest gain in modularity (ties
+    to the smaller one), as long as two rounds gain GAIN; the best division so far counts. Then communities are the nodes of the next level,
+    until a level gains nothing. A graph without edges has modularity 0.
     """
-    vectors, members = usable(df, scratch, dim)
-    rows = vectors.count()
-    graph = graph_of(vectors, rows, floor, scratch, dim) if rows > 1 else vectors.sparkSession.createDataFrame([], "v bigint, w bigint, sim double")
-    copies = scratch.put(members.groupBy("vid").agg(F.count(F.lit(1)).alias("copies")), "copies")
-    found, links = communities(graph, copies, scratch)
-    label = found.select("v", "community")
-    quotient = skew_join(links.join(label, "v"), label.select(F.col("v").alias("w"), F.col("community").alias("other")), "w", rows=2 * NEIGHBOURS * rows).filter("community < other")
-    groups = connected(quotient.select(F.col("community").alias("u"), F.col("other").alias("v")).distinct(), Scratch(vectors.sparkSession, "p2-groups"))
-    root = skew_join(label, groups.select(F.col("v").alias("community"), "root"), "community", "left", rows=rows).select(F.col("v").alias("vid"), F.coalesce("root", "community").alias("root"))
-    labels = scratch.put(vectors.select("vid").join(root, "vid", "left").select("vid", F.coalesce("root", "vid").alias("root")), "clusters")
-    labels = joined(vectors, labels, rows, floor, scratch) if rows > 1 else labels
-    with_copies = lambda c: (F.coalesce(F.col(c), F.lit(0.0)) + F.col("copies") - 1).alias(c)
-    every = copies.withColumnRenamed("vid", "v").join(found, "v", "left").filter("community IS NOT NULL OR copies > 1")
-    found = every.select("v", F.coalesce("community", "v").alias("community"), with_copies("inside"), with_copies("degree"))
-    return labels, found, members, vectors
+    both = graph.unionByName(graph.select(F.col("w").alias("v"), F.col("v").alias("w"), "sim")).filter("v <> w")
+    links = scratch.put(both.groupBy("v", "w").agg(F.max("sim").alias("sim")), "level0")
+    total = links.agg(F.sum("sim")).first()[0]  # twice the weight of all edges
+    if not total:
+        return links.select("v", F.col("v").alias("community")), 0.0
+    labels, reached, level = scratch.put(links.select("v").distinct().select("v", F.col("v").alias("community")), "names0"), None, 0
+    while True:
+        nodes, value = moved(links, float(total), scratch, level)
+        if reached is not None and value < reached + GAIN:
+            return labels, reached
+        reached, level = value, level + 1
+        nodes = nodes.select(F.col("v").alias("community"), F.col("community").alias("next"))
+        labels = scratch.put(skew_join(labels, nodes, "community").select("v", F.col("next").alias("community")), f"names{level}")
+        scratch.drop(f"names{level - 1}")
+        ends = [nodes.select(F.col("community").alias(c), F.col("next").alias(f"to_{c}")) for c in ("v", "w")]
+        links = skew_join(skew_join(links, ends[0], "v"), ends[1], "w").groupBy(F.col("to_v").alias("v"), F.col("to_w").alias("w")).agg(F.sum("sim").alias("sim"))
+        links = scratch.put(links, f"level{level}")
+
+
+def moved(links: DataFrame, total: float, scratch: Scratch, level: int) -> tuple[DataFrame, float]:
+    """((v, community), modularity): the nodes of ``links`` (v, w, sim: both ways, a node's own weight as v = w) after rounds of moves."""
+    rows, loops = links.agg(F.count(F.lit(1)), F.sum(F.when(F.col("v") == F.col("w"), F.col("sim")).otherwise(0.0))).first()
+    other = links.filter("v <> w")
+    nodes = scratch.put(links.groupBy("v").agg(F.sum("sim").alias("degree")).select("v", F.col("v").alias("community"), "degree"), f"nodes{level}-0")
+    values: list[float] = []
+    kept = nodes
+    while len(values) < 3 or values[-1] > values[-3] + GAIN:
+        k = len(values)
+        sizes = nodes.groupBy("community").agg(F.sum("degree").alias("weight"))
+        near = skew_join(other, nodes.select(F.col("v").alias("w"), "community"), "w", rows=rows).select("v", "community", F.col("sim").alias("towards"))
+        near = near.unionByName(nodes.select("v", "community", F.lit(0.0).alias("towards"))).groupBy("v", "community").agg(F.sum("towards").alias("towards"))
+        near = skew_join(near, sizes, "community", rows=2 * rows).join(nodes.select("v", F.col("community").alias("own"), "degree"), "v")
+        mine = F.col("community") == F.col("own")
+        gain = F.round(F.col("towards") - F.col("degree") * (F.col("weight") - F.when(mine, F.col("degree")).otherwise(0.0)) / total, 9)
+        new = near.groupBy("v").agg(
+            F.min(F.struct((-gain).alias("g"), (~mine).alias("moves"), "community"))["community"].alias("to"), F.min("own").alias("own"), F.min("degree").alias("degree"), F.sum(F.when(mine, F.col("towards"))).alias("held")
+        )
+        moving = F.pmod(F.xxhash64("v", F.lit(k)), F.lit(2)) == 0
+        new = scratch.put(new.select("v", F.when(moving, F.col("to")).otherwise(F.col("own")).alias("community"), "degree", "held"), f"nodes{level}-{k + 1}")
+        # what the nodes were held by gives the modularity of where they were
+        squares = sizes.agg(F.sum(F.col("weight") * F.col("weight"))).first()[0]
+        values.append((new.agg(F.sum("held")).first()[0] + loops) / total - squares / total**2)
+        if values[-1] >= max(values):
+            kept = nodes
+        nodes = new
+    return kept.select("v", "community"), max(values)
+
+
+def degrees(graph: DataFrame, groups: DataFrame, copies: DataFrame) -> DataFrame:
+    """(v, grp, inside) of each vertex of ``groups`` (v, grp): its weighted degree within its group; each vector counts as often as ``copies`` (v, copies) has it."""
+    both = graph.unionByName(graph.select(F.col("w").alias("v"), F.col("v").alias("w"), "sim")).groupBy("v", "w").agg(F.max("sim").alias("sim"))
+    ends = groups.join(copies, "v").select(F.col("v").alias("w"), F.col("grp").alias("other"), "copies")
+    of = skew_join(skew_join(both, groups, "v"), ends, "w").filter("grp = other").groupBy("v").agg(F.sum(F.col("sim") * F.col("copies")).alias("inside"))
+    each = groups.join(copies, "v").join(of, "v", "left")
+    return each.select("v", "grp", (F.coalesce("inside", F.lit(0.0)) + F.col("copies") - 1).alias("inside"))
+
+
+class Graph:
+    """The neighbour graph of the usable embeddings of a table (image_id, embedding), by address, and who has which vector."""
+
+    def __init__(self, df: DataFrame, scratch: Scratch, floor: float = 0.47, dim: int = 384):
+        self.scratch, self.floor, self.spark = scratch, floor, df.sparkSession
+        vectors, named = usable(df, scratch, dim)
+        self.rows = vectors.count()
+        if self.rows:
+            self.index, self.table = indexed(vectors, self.rows, scratch)
+            scratch.drop("vectors")
+            self.edges = scratch.put(graph_of(self.index, self.spark, floor, scratch), "graph")
+            at = self.table.select("vid", F.col("at").alias("v"))
+            self.members = scratch.put(skew_join(named, at, "vid").select("v", "image_id"), "named")
+        else:
+            self.table, self.edges = self.spark.createDataFrame([], "at bigint, vid bigint"), self.spark.createDataFrame([], EDGE)
+            self.members = self.spark.createDataFrame([], "v bigint, image_id string")
+
+    def clusters(self) -> DataFrame:
+        """(v, grp) of every vector: its cluster."""
+        if not self.rows:
+            return self.spark.createDataFrame([], "v bigint, grp bigint")
+        return _labelled(self.index, self.spark, self.edges, self.table, self.scratch, self.floor).select(F.col("at").alias("v"), F.col("root").alias("grp"))
+
+    def communities(self) -> tuple[DataFrame, float]:
+        """((v, grp) of every vector: its community, one without an edge being its own; modularity)."""
+        found, value = communities(self.edges, self.scratch)
+        every = self.table.select(F.col("at").alias("v")).join(found, "v", "left")
+        return self.scratch.put(every.select("v", F.coalesce("community", "v").alias("grp")), "communities"), value
+
+    def described(self, groups: DataFrame, name: str) -> DataFrame:
+        """(``name``, size, typical) of each of ``groups`` (v, grp) of two images or more: its smallest image_id, its images, its three most typical.
+
+        Typical are those of highest weighted degree within the group, where images with equal vectors count as
+        often as they come, in the size too; they are named once, by the smallest.
+        """
+        counts = self.members.groupBy("v").agg(F.min("image_id").alias("image_id"), F.count(F.lit(1)).alias("copies"))
+        counts = self.scratch.put(counts, "counts")
+        rows = degrees(self.edges, groups, counts.select("v", "copies")).join(counts, "v")
+        sizes = rows.groupBy("grp").agg(F.sum("copies").alias("size"), F.min("image_id").alias(name)).filter("size > 1")
+        top = top_n(rows, ["grp"], [F.round("inside", 6).desc(), F.col("image_id")], 3, F.col("v"), "r")
+        typical = top.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("r", "image_id"))).alias("t"))
+        return sizes.join(typical, "grp").select(name, "size", F.col("t.image_id").alias("typical"))
+
+
+def _graph(spark: SparkSession, sf: str) -> Graph:
+    return Graph(spark.read.parquet(f"{sf}/image_vectors.parquet").select("image_id", "embedding"), Scratch(spark, "p2"))
+
+
+def named(graph: Graph) -> DataFrame:
+    """(image_id, cluster_id) of every image in a cluster of at least 5 images; cluster_id is its smallest image_id."""
+    rows = graph.scratch.put(skew_join(graph.members, graph.clusters(), "v").select("image_id", "grp"), "grouped")
+    clusters = rows.groupBy("grp").agg(F.min("image_id").alias("cluster_id"), F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    return skew_join(rows, clusters, "grp").select("image_id", "cluster_id")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every image in a cluster of at least 5 images, with the smallest image_id of the cluster."""
-    labels, _, members, _ = clustered(spark.read.parquet(f"{sf}/image_vectors.parquet").select("image_id", "embedding"), Scratch(spark, "p2"))
-    named = skew_join(members, labels, "vid")
-    clusters = named.groupBy("root").agg(F.min("image_id").alias("cluster_id"), F.count(F.lit(1)).alias("n")).filter("n >= 5")
-    return skew_join(named, clusters, "root").select("image_id", "cluster_id")
-
-
-def described(rows: DataFrame, members: DataFrame, group: str, degree: str, name: str) -> DataFrame:
-    """(``name``, size, typical) of each ``group`` of ``rows`` (vid) of two images or more: its smallest image_id, its images, its three most typical.
-
-    Typical are those of highest ``degree``; images with equal vectors count in size and are named once, by the smallest.
-    """
-    counts = members.groupBy("vid").agg(F.min("image_id").alias("image_id"), F.count(F.lit(1)).alias("copies"))
-    rows = rows.join(counts, "vid")
-    sizes = rows.groupBy(group).agg(F.sum("copies").alias("size"), F.min("image_id").alias(name)).filter("size > 1")
-    top = top_n(rows, [group], [F.round(degree, 6).desc(), F.col("image_id")], 3, F.col("vid"), "r")
-    typical = top.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("r", "image_id"))).alias("t"))
-    return sizes.join(typical, group).select(name, "size", F.col("t.image_id").alias("typical"))
+    return named(_graph(spark, sf))
 
 
 def p2_communities(spark: SparkSession, sf: str) -> DataFrame:
     """Every community of two images or more: its size and its three most typical members, by weighted degree within it."""
-    _, found, members, _ = clustered(spark.read.parquet(f"{sf}/image_vectors.parquet").select("image_id", "embedding"), Scratch(spark, "p2"))
-    return described(found.withColumnRenamed("v", "vid"), members, "community", "inside", "community_id")
+    graph = _graph(spark, sf)
+    return graph.described(graph.communities()[0], "community_id")
 
 
 def p2_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Every cluster of two images or more: its size and its three most typical members, by weighted degree within it."""
-    labels, found, members, _ = clustered(spark.read.parquet(f"{sf}/image_vectors.parquet").select("image_id", "embedding"), Scratch(spark, "p2"))
-    rows = labels.join(found.select(F.col("v").alias("vid"), "degree"), "vid", "left").na.fill(0.0, ["degree"])
-    return described(rows, members, "root", "degree", "cluster_id")
+    graph = _graph(spark, sf)
+    return graph.described(graph.clusters(), "cluster_id")
 
 
 QUERIES = {"p2_found": p2_found, "p2_communities": p2_communities, "p2_clusters": p2_clusters}

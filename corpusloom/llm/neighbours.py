@@ -1,211 +1,91 @@
 """Problem 4: the most similar vectors of every vector.
 
-Method: every pair is compared, blocks of vectors with chunks of the table; products of single precision
-choose what is scored exactly, and a vector's k-th best so far is the least that still counts. All
-queries use this, as an index loses neighbours in groups of near-copies however its caps are set.
-
-The index, ``neighbours``, is approximate and for callers whose tables are too large for all pairs. It is
-score-aware quantisation: rows lie in the bucket of their nearest pivot, vectors visit their
-nearest buckets. Rows are coded with four bits per four numbers; codebooks and codes minimise an
-anisotropic loss in which the part of the residual that is parallel to the vector, the one that spoils
-large inner products, weighs more. A query's inner products with all codes of a bucket are sums of
-table entries, a table of 256 per pair of codes; the best are then scored exactly.
+Method: score-aware quantisation. Every vector is coded with four bits a place under an anisotropic loss
+(``quantise``); a block of queries scans the codes of the pieces of the index that may hold something
+better, first those nearby, then, knowing its k-th best, whatever is not out of the question. Candidates
+are all rows whose estimate comes within MARGIN deviations of the query's k-th best, however many; they are
+scored exactly. So near-copies in one hot group are scanned whole, a picture like others visits a
+few pieces, and one unlike any other visits all codes, which are an eighth of the vectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.vectors import BLUR, STEP, UNIT_SQL, assigned, cut_of, cuts, matrix, pivots, products, sampled, sweep, usable
+from corpusloom.llm.vectors import STEP, UNIT_SQL, Candidates, Index, indexed, products, usable
 from corpusloom.operators.skew import skew_join, top_n
 from corpusloom.session import Scratch
 
-#: Numbers per code, codewords per codebook, vectors the codebooks are fitted on, sweeps of fitting and coding.
-WIDTH, WORDS, FIT_ROWS, SWEEPS = 4, 16, 8000, 3
-#: Inner product from which the loss counts: the parallel part weighs (dim - 1) * t^2 / (1 - t^2) times the rest.
-LOSS_FROM = 0.2
-#: Buckets a query visits, rows of a bucket that are scored exactly, and how far below the floor an estimate may be.
-PROBES, RESCORED, BELOW = 8, 64, 0.12
-
-
-def weight(dim: int) -> float:
-    """How much more the parallel residual weighs."""
-    return (dim - 1) * LOSS_FROM**2 / (1 - LOSS_FROM**2)
-
-
-def code(x: np.ndarray, books: np.ndarray, sweeps: int = 2) -> np.ndarray:
-    """The codes of the rows of ``x``: the nearest codewords, then improved one place after the other under the anisotropic loss."""
-    n, dim = x.shape
-    parts = x.reshape(n, -1, WIDTH)
-    eta = weight(dim) - 1
-    codes = np.empty((n, parts.shape[1]), np.uint8)
-    parallel = np.zeros((n, parts.shape[1]), np.float32)  # residual times vector, by place
-    for m in range(parts.shape[1]):
-        d = ((parts[:, m, None, :] - books[m][None]) ** 2).sum(2)
-        codes[:, m] = d.argmin(1)
-        parallel[:, m] = ((parts[:, m] - books[m][codes[:, m]]) * parts[:, m]).sum(1)
-    total = parallel.sum(1)
-    for _ in range(sweeps):
-        for m in range(parts.shape[1]):
-            residual = parts[:, m, None, :] - books[m][None]
-            along = (residual * parts[:, m, None, :]).sum(2)
-            rest = total - parallel[:, m]
-            best = ((residual**2).sum(2) + eta * (rest[:, None] + along) ** 2).argmin(1)
-            codes[:, m] = best
-            parallel[:, m] = np.take_along_axis(along, best[:, None], 1)[:, 0]
-            total = rest + parallel[:, m]
-    return codes
-
-
-def fit(x: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
-    """Codebooks (place, codeword, number) of the sample ``x``: codes and codewords are improved in turn."""
-    n, dim = x.shape
-    parts = x.reshape(n, -1, WIDTH)
-    places, eta = parts.shape[1], weight(dim) - 1
-    start = np.random.default_rng(7).permutation(n)[:WORDS]
-    books = np.stack([parts[np.resize(start, WORDS), m] for m in range(places)]).astype(np.float32)
-    books += np.random.default_rng(8).normal(0, 1e-4, books.shape).astype(np.float32)
-    for sweep in range(sweeps + 3):
-        codes = code(x, books, 0 if sweep < 3 else 1)
-        decoded = np.take_along_axis(books[None], codes.T[None, :, :, None].astype(np.int64), 2)[0].transpose(1, 0, 2)
-        along = ((parts - decoded) * parts).sum(2)
-        total = along.sum(1)
-        for m in range(places):
-            p, c = parts[:, m], codes[:, m]
-            rest = (total - along[:, m]) if sweep >= 3 else np.zeros(n)
-            pull = (eta if sweep >= 3 else 0.0) * (rest + (p * p).sum(1))
-            outer = np.zeros((WORDS, WIDTH, WIDTH))
-            right = np.zeros((WORDS, WIDTH))
-            np.add.at(right, c, p + pull[:, None] * p)
-            np.add.at(outer, c, p[:, :, None] * p[:, None, :])
-            count = np.bincount(c, minlength=WORDS)
-            left = count[:, None, None] * np.eye(WIDTH) + (eta if sweep >= 3 else 0.0) * outer
-            some = count > 0
-            books[m][some] = np.linalg.solve(left[some], right[some][..., None])[..., 0]
-    return books
-
-
-def scan(queries: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
-    """Estimated inner products (query, row): sums over pairs of places of tables with 256 entries."""
-    q = queries.reshape(len(queries), -1, WIDTH)
-    tables = np.einsum("qmd,mkd->qmk", q, books).astype(np.float32)
-    joint = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(q), -1, WORDS * WORDS)
-    packed = codes[:, 0::2].astype(np.intp) * WORDS + codes[:, 1::2]
-    out = np.zeros((len(q), len(codes)), np.float32)
-    for j in range(joint.shape[1]):
-        out += joint[:, j].take(packed[:, j], axis=1)
-    return out
-
-
-def neighbours(vectors: DataFrame, k: int, floor: float, scratch: Scratch) -> DataFrame:
-    """(q, x, cos) of different vectors (vid, vec): x is among the k nearest of q found, their cosine at least ``floor``; approximate.
-
-    The index is fitted on FIT_ROWS vectors and MANY pivots at most and holds every row. A query visits
-    PROBES buckets at most; a pair counts for both its ends, whichever found it. Ties go to the smaller vid.
+#: How many deviations of the estimates a candidate may lie below the k-th best estimate, which luck has raised, or below the floor.
+MARGIN = 4.0
+
+
+def scanned(index: Index, block: int, k: int, floor: float | None) -> pa.Table | None:
+    """(q, x, cos): the k nearest of each vector of the block that were found, by vid; cosines exact, at least ``floor`` if there is one."""
+    vecs, vids = index.vectors(block)
+    if not len(vecs):
+        return None
+    lowest = -2.0 if floor is None else floor
+    found = Candidates(len(vecs), k, lowest, MARGIN * index.blur)
+    own = np.int64(block) << 33
+
+    def visit(wanted: np.ndarray) -> None:
+        for b, queries, rows in index.visits(wanted):
+            codes, at = index.decoded(b)[rows], (np.int64(b) << 33) + rows
+            for s in range(0, len(queries), STEP):
+                some = queries[s : s + STEP]
+                for r in range(0, len(rows), 4 * STEP):
+                    guess = vecs[some] @ codes[r : r + 4 * STEP].T
+                    if b == block:
+                        guess[(own + some)[:, None] == at[None, r : r + 4 * STEP]] = -3  # itself
+                    found.add(some, at[r : r + 4 * STEP], guess)
+        found.settle()
+
+    first = index.nearby(vecs, block)
+    visit(first)
+    visit(index.promising(vecs, found.best - found.margin) & ~first)
+    q, at = found.q, found.at
+    x, cos = np.zeros(len(q), np.int64), np.full(len(q), -3.0)
+    for b in np.unique(at >> 33):
+        here = np.flatnonzero(at >> 33 == b)
+        other, names = index.vectors(int(b))
+        for s in range(0, len(here), 16384):
+            part = here[s : s + 16384]
+            row = at[part] - (b << 33)
+            x[part], cos[part] = names[row], products(vecs[q[part]], other[row])
+    good = cos >= lowest - 1e-7
+    q, x, cos = q[good], x[good], cos[good]
+    order = np.lexsort((x, -np.round(cos, 6), q))
+    q, x, cos = q[order], x[order], cos[order]
+    near = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return pa.table({"q": pa.array(vids[q[near]], pa.int64()), "x": pa.array(x[near], pa.int64()), "cos": pa.array(cos[near], pa.float64())})
+
+
+def neighbours(vectors: DataFrame, k: int, floor: float | None, scratch: Scratch) -> DataFrame:
+    """(q, x, cos) of different vectors (vid, vec): x is among the k nearest of q found, their cosine at least ``floor``, if there is one.
+
+    Every vector is a query and every vector is held by the index. Which pieces a query skips rests on the pieces' means
+    and spreads, so the result is approximate; cosines are exact. A pair counts for both its ends, whichever found it.
+    Cosines count to six digits, ties go to the smaller vid.
     """
-    n = vectors.count()
+    spark, n = vectors.sparkSession, vectors.count()
     schema = "q bigint, x bigint, cos double"
     if n < 2:
-        return vectors.sparkSession.createDataFrame([], schema)
-    centres, sample = pivots(vectors, n, 1), sampled(vectors, FIT_ROWS, n, 2)
-    dim = centres.shape[1]
-    books = vectors.sparkSession.sparkContext.broadcast(fit(sample))
-    placed = assigned(vectors, centres, PROBES, 0.1, scratch, "placed")
-    rows = placed.select(F.col("buckets")[0].alias("bucket"), "vid", "vec")
-    visits = placed.select(F.explode("buckets").alias("bucket"), "vid", "vec")
-    row_cuts, visit_cuts = cuts(rows, "bucket"), cuts(visits.select("bucket"), "bucket")
-    own = lambda parts: F.pmod(F.xxhash64("vid"), cut_of(parts, "bucket")).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), cut_of(parts, "bucket") - 1))
-    rows = rows.withColumn("i", own(row_cuts)).withColumn("j", every(visit_cuts)).withColumn("row", F.lit(True))
-    visits = visits.withColumn("j", own(visit_cuts)).withColumn("i", every(row_cuts)).withColumn("row", F.lit(False))
-
-    def search(table: pa.Table) -> pa.Table:
-        is_row = table["row"].to_numpy(zero_copy_only=False)
-        ids, vecs = table["vid"].to_numpy(), matrix(table["vec"], dim)
-        x_ids, x, q_ids, q = ids[is_row], vecs[is_row], ids[~is_row], vecs[~is_row]
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(x) and len(q):
-            codes = code(x, books.value)
-            for a in range(0, len(q), 128):
-                part = q[a : a + 128]
-                guess = scan(part, codes, books.value)
-                top = np.argpartition(-guess, RESCORED, axis=1)[:, :RESCORED] if len(x) > RESCORED else np.broadcast_to(np.arange(len(x)), guess.shape)
-                at, place = np.nonzero(np.take_along_axis(guess, top, 1) >= floor - BELOW)
-                hit = top[at, place]
-                cos = np.einsum("ij,ij->i", part[at].astype(np.float64), x[hit].astype(np.float64))
-                good = (cos >= floor - 1e-7) & (x_ids[hit] != q_ids[a + at])
-                found.append((q_ids[a + at[good]], x_ids[hit[good]], cos[good]))
-        q_, x_, c_ = (np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(3))
-        order = np.lexsort((x_, -c_, q_))
-        q_, x_, c_ = q_[order], x_[order], c_[order]
-        first = np.searchsorted(q_, q_)
-        near = np.arange(len(q_)) - first < k
-        return pa.table({"q": pa.array(q_[near].astype(np.int64)), "x": pa.array(x_[near].astype(np.int64)), "cos": pa.array(c_[near].astype(np.float64))})
-
-    found = rows.unionByName(visits).groupBy("bucket", "i", "j").applyInArrow(search, schema)
-    found = scratch.put(found, "found")
-    scratch.drop("placed")
-    both = found.unionByName(found.select(F.col("x").alias("q"), F.col("q").alias("x"), "cos")).groupBy("q", "x").agg(F.max("cos").alias("cos"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("cos", 6).desc(), "x"))
-    return scratch.put(both.withColumn("rank", rank).filter(F.col("rank") <= k).select("q", "x", "cos"), "nearest")
-
-
-def _nearer(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in q, x, cos) of different vectors: the k nearest of each q, and maybe more, of those that reach its ``least`` to six digits."""
-    guess = q @ x.T
-    near = (guess >= (least - BLUR)[:, None].astype(np.float32)) & (q_ids[:, None] != x_ids[None])
-    many = np.flatnonzero(near.sum(1) > 4 * k)
-    close = near[many]
-    near[many] = False
-    at, hit = np.nonzero(near)
-    cos = [products(q[at[a : a + 16384]], x[hit[a : a + 16384]]) for a in range(0, len(at), 16384)]
-    if len(many):
-        exact = q[many].astype(np.float64) @ x.T.astype(np.float64)
-        order = len(x) - 1 - np.argsort(np.argsort(x_ids))
-        key = np.where(close, np.rint(exact * 1e6).astype(np.int64) * len(x) + order, np.iinfo(np.int64).min)  # no two are equal
-        top = np.argpartition(key, len(x) - k, axis=1)[:, len(x) - k :]  # there are more than 4 k
-        at, hit = np.concatenate([at, np.repeat(many, k)]), np.concatenate([hit, top.ravel()])
-        cos.append(np.take_along_axis(exact, top, 1).ravel())
-    return at, x_ids[hit], np.concatenate(cos) if cos else np.zeros(0)
-
-
-def all_neighbours(vectors: DataFrame, k: int, floor: float | None, scratch: Scratch) -> DataFrame:
-    """(q, x, cos) of different vectors (vid, vec): x is one of the k nearest of q and their cosine at least ``floor``, if there is one.
-
-    Exact: every pair is compared. Cosines count to six digits, ties go to the smaller vid.
-    """
-    lowest = -2.0 if floor is None else floor - 1e-7
-
-    def meet(block: pa.Table, table: Iterator[pa.RecordBatch]) -> pa.Table:
-        ids, dim = block["vid"].to_numpy(), len(block["vec"][0].as_py()) // 4
-        vecs = matrix(block["vec"], dim)
-        least = np.full(len(ids), lowest)
-        q, x, cos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        for chunk in table:
-            x_ids, rows = chunk["vid"].to_numpy(), matrix(chunk["vec"], dim)
-            found = [(q, x, cos)]
-            for a in range(0, len(ids), STEP):
-                at, other, c = _nearer(ids[a : a + STEP], vecs[a : a + STEP], x_ids, rows, k, least[a : a + STEP])
-                good = c >= lowest
-                found.append((a + at[good], other[good], c[good]))
-            q, x, cos = (np.concatenate([f[i] for f in found]) for i in range(3))
-            order = np.lexsort((x, -np.round(cos, 6), q))
-            q, x, cos = q[order], x[order], cos[order]
-            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
-            q, x, cos = q[keep], x[keep], cos[keep]
-            count = np.bincount(q, minlength=len(ids))
-            full = count == k
-            least[full] = np.round(cos[np.cumsum(count)[full] - 1], 6)
-        return pa.table({"q": pa.array(ids[q], pa.int64()), "x": pa.array(x, pa.int64()), "cos": pa.array(cos, pa.float64())})
-
-    near = scratch.put(sweep(vectors, vectors.count(), meet, "q bigint, x bigint, cos double", scratch, "swept"), "nearest")
-    scratch.drop("swept")
-    return near
+        return spark.createDataFrame([], schema)
+    index, _ = indexed(vectors, n, scratch)
+    found = scratch.put(index.each_block(spark, lambda block: scanned(index, block, k, floor), schema), "found")
+    scratch.drop("index")
+    # what a vector's admirers found matters only if it comes up to the vector's own k-th
+    own = found.groupBy("q").agg(F.min("cos").alias("kth"), F.count(F.lit(1)).alias("n"))
+    worth = own.select(F.col("q").alias("x"), F.when(F.col("n") >= k, F.col("kth")).otherwise(-2.0).alias("kth"))
+    admired = skew_join(found, scratch.put(worth, "kth"), "x", "left", rows=n * k)
+    admired = admired.filter(F.round("cos", 6) >= F.round(F.coalesce("kth", F.lit(-2.0)), 6))
+    both = found.unionByName(admired.select(F.col("x").alias("q"), F.col("q").alias("x"), "cos")).groupBy("q", "x").agg(F.max("cos").alias("cos"))
+    best = top_n(both, ["q"], [F.round("cos", 6).desc(), F.col("x")], k, F.col("x"))
+    return scratch.put(best.select("q", "x", "cos"), "nearest")
 
 
 def nearest_images(df: DataFrame, scratch: Scratch, k: int = 10, floor: float | None = 0.80) -> DataFrame:
@@ -215,11 +95,11 @@ def nearest_images(df: DataFrame, scratch: Scratch, k: int = 10, floor: float |
     searched once: only their k + 1 smallest ids can be among anyone's k most similar.
     """
     vectors, members = usable(df, scratch)
-    near = all_neighbours(vectors, k + 1, floor, scratch)
+    near = neighbours(vectors, k + 1, floor, scratch)
     firsts = top_n(members, ["vid"], [F.col("image_id")], k + 1, F.col("image_id"))
-    firsts = scratch.put(firsts.select("vid", "image_id"), "first-ids")
-    own = firsts.select(F.col("vid").alias("q"), "image_id", F.lit(1.0).alias("cos"))
-    others = near.join(firsts.withColumnRenamed("vid", "x"), "x").select("q", "image_id", F.round("cos", 6).alias("cos"))
+    firsts = scratch.put(firsts.groupBy("vid").agg(F.collect_list("image_id").alias("ids")), "first-ids")  # k + 1 at most
+    own = firsts.select(F.col("vid").alias("q"), F.explode("ids").alias("image_id"), F.lit(1.0).alias("cos"))
+    others = skew_join(near, firsts.withColumnRenamed("vid", "x"), "x").select("q", F.explode("ids").alias("image_id"), F.round("cos", 6).alias("cos"))
     best = own.unionByName(others).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cos"), "image_id"))).filter(F.col("r") <= k + 1)
     lists = best.groupBy(F.col("q").alias("vid")).agg(F.sort_array(F.collect_list(F.struct("r", F.col("image_id").alias("id"), "cos"))).alias("best"))
     each = skew_join(members, scratch.put(lists, "lists"), "vid")

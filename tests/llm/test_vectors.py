@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from corpusloom.llm import clusters, neighbours, vectors
+from corpusloom.llm import clusters, neighbours, quantise, vectors
 from corpusloom.session import Scratch
 from tests.llm.conftest import linked
 
@@ -50,8 +50,7 @@ def test_usable(spark, scratch):
 
 def test_clusters(spark, scratch, monkeypatch):
     monkeypatch.setattr(vectors, "ROWS_A_PIVOT", 20)
-    monkeypatch.setattr(vectors, "TASK_ROWS", 60)
-    monkeypatch.setattr(clusters, "MEETING_ROWS", 32)
+    monkeypatch.setattr(vectors, "SMALL", 60)
     rows = made(3, [150, 40, 12, 7, 6, 5, 5, 3], 150)
     rows += [(f"copy-{k:02}", 0.25 * np.array(rows[0][1])) for k in range(30)] + [rows[1]]
     s = cosines(rows)
@@ -60,22 +59,30 @@ def test_clusters(spark, scratch, monkeypatch):
     sizes = {}
     for i, c in want.items():
         sizes.setdefault(c, set()).add(i)
-    labels, found, members, _ = clusters.clustered(table(spark, rows + BAD), scratch)
-    root = dict(map(tuple, labels.collect()))
+    graph = clusters.Graph(table(spark, rows + BAD), scratch)
+    root = dict(map(tuple, graph.clusters().collect()))
     got = {}
-    for r in members.collect():
-        got.setdefault(root[r.vid], set()).add(r.image_id)
+    for r in graph.members.collect():
+        got.setdefault(root[r.v], set()).add(r.image_id)
     got = {min(v): v for v in got.values() if len(v) >= 5}
     want = {c: v for c, v in sizes.items() if len(v) >= 5}
     assert sum(got.get(c) == v for c, v in want.items()) >= 0.9 * len(want)
-    assert found.filter("inside < 0").count() == 0
+    # lists are of the nearest, as brute force has them
+    at, names = {r.v: r.image_id for r in graph.members.orderBy("image_id", ascending=False).collect()}, {i: k for k, i in enumerate(ids)}
+    best = {}
+    for e in graph.edges.collect():
+        best.setdefault(at[e.v], []).append(e.sim)
+    alone = s.copy()
+    alone[s > 0.999999] = -1  # itself and its copies
+    hits = [len([x for x in best.get(i, []) if x >= np.sort(alone[names[i]])[-10] - 1e-6]) / min(10, (alone[names[i]] >= 0.47).sum()) for i in at.values() if (alone[names[i]] >= 0.47).any()]
+    assert np.mean(hits) >= 0.95
 
 
 @pytest.mark.parametrize("rows", [[], BAD, [("a", np.ones(DIM))], [("a", np.ones(DIM)), ("b", np.ones(DIM))]])
 def test_few_vectors(spark, rows):
     df = table(spark, rows)
-    labels, found, members, _ = clusters.clustered(df, Scratch(spark, "few"))
-    assert labels.count() == min(1, members.count())
+    graph = clusters.Graph(df, Scratch(spark, "few"))
+    assert graph.clusters().count() == graph.communities()[0].count() == min(1, graph.members.count())
     pairs = neighbours.similar_pairs(df, Scratch(spark, "few"))
     assert [tuple(r) for r in pairs.collect()] == ([("a", "b")] if len(rows) == 2 else [])
 
@@ -84,21 +91,25 @@ def test_codes():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 32)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    books = neighbours.fit(x)
-    codes = neighbours.code(x, books)
-    decoded = np.concatenate([books[m][codes[:, m]] for m in range(8)], axis=1)
-    guess = neighbours.scan(x[:7], codes, books)
+    books = quantise.fit(x)
+    codes = quantise.code(x, books)
+    decoded = np.concatenate([books[m][codes[:, m]] for m in range(len(books))], axis=1)
+    guess = quantise.scan(x[:7], codes, books)
     assert np.allclose(guess, x[:7] @ decoded.T, atol=1e-4)
+    assert codes.max() < 16 and (quantise.decode(quantise.pack(codes), books) == decoded).all()
+    # the sum of a query's table entries is the estimate
+    tables = np.einsum("md,mkd->mk", x[3].reshape(len(books), -1), books)
+    assert np.allclose([tables[np.arange(len(books)), c].sum() for c in codes[:20]], guess[3, :20], atol=1e-4)
     # the anisotropic codes keep a vector's product with itself better than the nearest codewords do
-    nearest = neighbours.code(x, books, 0)
-    plain = np.concatenate([books[m][nearest[:, m]] for m in range(8)], axis=1)
+    nearest = quantise.code(x, books, 0)
+    plain = np.concatenate([books[m][nearest[:, m]] for m in range(len(books))], axis=1)
     miss = lambda d: np.abs(1 - (d * x).sum(1)).mean()
     assert miss(decoded) < miss(plain)
 
 
 def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(vectors, "ROWS_A_PIVOT", 20)
-    monkeypatch.setattr(vectors, "TASK_ROWS", 100)
+    monkeypatch.setattr(vectors, "SMALL", 60)
     rng = np.random.default_rng(5)
     rows = made(6, [60, 20, 9], 150)
     for b in range(12):  # bursts
@@ -133,7 +144,6 @@ def test_nearest_are_ranked(spark):
 
 def test_nearest_of_every_picture(spark, monkeypatch):
     monkeypatch.setattr(vectors, "SMALL", 100)
-    monkeypatch.setattr(vectors, "CHUNK", 90)
     rows = made(8, [60, 20, 9], 250)
     rows += [(f"copy-{k:02}", rows[3][1]) for k in range(15)] + [(f"scaled-{k:02}", 0.3 * (k + 1) * np.array(rows[5][1])) for k in range(60)]
     s = np.round(cosines(rows), 6)
@@ -172,10 +182,10 @@ def test_one_link_between_dense_groups(spark, scratch, monkeypatch):
     ids = [i for i, _ in rows]
     want = linked([(ids[a], ids[b]) for a, b in zip(*np.nonzero(s >= 0.47)) if a < b])
     assert len(set(want.values())) == 8
-    labels, _, members, _ = clusters.clustered(table(spark, rows), scratch)
-    root, got = dict(map(tuple, labels.collect())), {}
-    for r in members.collect():
-        got.setdefault(root[r.vid], set()).add(r.image_id)
+    graph = clusters.Graph(table(spark, rows), scratch)
+    root, got = dict(map(tuple, graph.clusters().collect())), {}
+    for r in graph.members.collect():
+        got.setdefault(root[r.v], set()).add(r.image_id)
     assert sorted(map(sorted, got.values())) == sorted(sorted(i for i in ids if want[i] == c) for c in set(want.values()))
 
 
@@ -188,3 +198,38 @@ def test_copies_without_a_neighbour(spark, tmp_path):
         got = {r[0]: (r.size, r.typical) for r in query(spark, str(tmp_path)).collect()}
         assert got["lone-0000"] == (41, ["lone-0000"])
         assert got["c00-0000"][0] == 6 and len(got["c00-0000"][1]) == 3 and len(got) == 2
+
+
+def modularity(edges, of):
+    """Of the division ``of`` of the undirected weighted edges."""
+    total, inside, degree = 2 * sum(s for _, _, s in edges), 0.0, {}
+    for v, w, s in edges:
+        inside += 2 * s * (of[v] == of[w])
+        for x in (v, w):
+            degree[of[x]] = degree.get(of[x], 0.0) + s
+    return inside / total - sum(d * d for d in degree.values()) / total**2
+
+
+def test_communities(spark, scratch):
+    # four cliques of different sizes in a ring, and two vertices apart: the best division is known
+    sizes, edges, at = (5, 6, 7, 9), [], 0
+    for n in sizes:
+        edges += [(at + a, at + b, 0.9) for a in range(n) for b in range(a)]
+        edges.append((at, (at + n) % sum(sizes), 0.5))
+        at += n
+    edges.append((100, 101, 0.7))
+    found, value = clusters.communities(spark.createDataFrame(edges, "v bigint, w bigint, sim double"), scratch)
+    of = dict(map(tuple, found.collect()))
+    assert value == pytest.approx(modularity(edges, of))
+    cliques = [c for c, n in enumerate(sizes) for _ in range(n)]
+    best = dict(enumerate(cliques)) | {100: 9, 101: 9}
+    assert value == pytest.approx(modularity(edges, best)) and len(set(of.values())) == 5
+    # and no single move, nor joining two communities, gains anything
+    for x in of:
+        for c in set(of.values()):
+            assert modularity(edges, of | {x: c}) <= value + 1e-9
+    for a in set(of.values()):
+        for b in set(of.values()):
+            assert modularity(edges, {x: a if c == b else c for x, c in of.items()}) <= value + 1e-9
+    empty, none = clusters.communities(spark.createDataFrame([], "v bigint, w bigint, sim double"), scratch)
+    assert (empty.count(), none) == (0, 0.0)
