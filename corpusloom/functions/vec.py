@@ -5,6 +5,8 @@ A null vector gives null; vectors of different lengths give null sums and produc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
@@ -29,9 +31,14 @@ def length(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once a row, however often and in however many lambdas it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit(v: Column) -> Column:
     """The vector at length 1."""
-    return F.transform(v, lambda x: x / F.greatest(length(v), F.lit(EPSILON)))
+    return bound(F.greatest(length(v), F.lit(EPSILON)), lambda n: F.transform(v, lambda x: x / n))
 
 
 def minus(a: Column, b: Column) -> Column:

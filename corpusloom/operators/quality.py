@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.geometry import box_fault
+from corpusloom.operators.skew import skew_join
 
 
 def first_reason(error: Column, body: Column, head: Column, width: Column, height: Column) -> Column:
@@ -30,7 +31,7 @@ def mark_dropped(manifest: DataFrame, keepers: DataFrame) -> DataFrame:
     and name their keeper; a row that is not dropped names none.
     """
     keep = keepers.select("image_id", F.col("dup_keep_id").alias("__keep"))
-    joined = manifest.drop("dup_keep_id").join(keep, "image_id", "left")
+    joined = skew_join(manifest.drop("dup_keep_id"), keep, "image_id", "left")
     dropped = F.col("__keep").isNotNull()
     return joined.withColumns(
         {

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of a score range within which ranks are counted in parallel.
-BUCKETS = 4096
+#: Buckets of about equally many different scores, within which ranks are counted in parallel; and the accuracy of their bounds.
+BUCKETS, ACCURACY = 1024, 20_000
 
 
 def hit_rates(ranked: DataFrame) -> DataFrame:
@@ -27,16 +28,14 @@ def average_ranks(scores: DataFrame, score: str = "score") -> DataFrame:
     """(score, n, rank) of each different score: how often, and the average of the ranks it takes, from 1 ascending.
 
     Equal scores are counted first; what lies before is added up over buckets of the score's order and
-    within each, so no task sorts all rows. Null and NaN scores are left out.
+    within each, so no task sorts all rows, however the scores are spread. Null and NaN scores are left out.
     """
     each = scores.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    finite = F.when(F.abs("score") < float("inf"), F.col("score"))
-    low_high = each.agg(F.min(finite), F.max(finite)).first()
-    low, high = (low_high[0] or 0.0), (low_high[1] or 0.0)
-    width = (high - low) / BUCKETS or 1.0
-    inside = F.floor((finite - F.lit(low)) / F.lit(width)).cast("int")
-    cut = each.withColumn("b", F.coalesce(inside, F.when(F.col("score") < 0, -1).otherwise(BUCKETS + 1)))
-    earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS + 3 rows at most
+    each = each.withColumn("score", F.col("score").cast("double"))
+    cuts = each.agg(F.percentile_approx("score", [i / BUCKETS for i in range(1, BUCKETS)], ACCURACY)).first()[0] or []
+    splits = [float("-inf"), *sorted({c for c in cuts if abs(c) < float("inf")} or {0.0}), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="score", outputCol="b").transform(each)
+    earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most
     starts = cut.groupBy("b").agg(F.sum("n").alias("m")).select("b", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("start"))
     within = Window.partitionBy("b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vec
 from corpusloom.operators.skew import top_n
+from corpusloom.session import Scratch
 
 # Members of a class that count, and the share of least typical ones that is trimmed.
 CAP, TRIM = 50, 0.05
@@ -45,7 +46,7 @@ def build(df: DataFrame, cap: int = CAP, trim: float = TRIM) -> Prototypes:
     if not 0.0 <= trim < 1.0:
         raise ValueError("trim must be at least 0 and below 1")
     rows = df.filter("label IS NOT NULL AND embedding IS NOT NULL").select("key", "label", vec.unit(vec.doubles("embedding")).alias("u"))
-    rows = capped(rows, "label", "key", cap)
+    rows = Scratch(df.sparkSession, "prototypes").put(capped(rows, "label", "key", cap), "capped")  # the cap bounds it; read three times and more
     overall = rows.groupBy(F.lit(1)).agg(vec.mean(F.col("u")).alias("global_mean")).select("global_mean")  # no row for no rows
     first = rows.groupBy("label").agg(vec.unit(vec.mean(F.col("u"))).alias("centroid"), F.count(F.lit(1)).alias("n"))
     scored = rows.join(first, "label").withColumn("cos", vec.dot(F.col("u"), F.col("centroid")))

@@ -6,6 +6,7 @@ row-local: no shuffle, no window.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.vec import bound
 from corpusloom.plans.prototype import Prototypes
 
 # Rejection threshold, classes reported, temperature, and the least share reported as "Other".
@@ -74,14 +76,14 @@ def best_score() -> Column:
 
 def probabilities(temperature: float = TEMPERATURE) -> Column:
     """Softmax of the scores over all classes, by temperature."""
-    logits = F.transform("scores", lambda s: F.exp((s - F.array_max("scores")) / F.lit(temperature)))
-    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(logits, lambda x: x / total)
+    logits = bound(F.array_max("scores"), lambda top: F.transform("scores", lambda s: F.exp((s - top) / F.lit(temperature))))
+    share = lambda own: bound(F.aggregate(own, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(own, lambda x: x / total))
+    return bound(logits, share)
 
 
 def label_array(scorer: Scorer) -> Column:
-    """The labels in the order of the scores."""
-    return F.array(*map(F.lit, scorer.labels)) if scorer.labels else F.array().cast("array<string>")
+    """The labels in the order of the scores, as one literal however many there are."""
+    return F.from_json(F.lit(json.dumps(scorer.labels)), "array<string>")
 
 
 def predict(queries: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, top_k: int = TOP_K, temperature: float = TEMPERATURE) -> DataFrame:
@@ -95,9 +97,10 @@ def predict(queries: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, to
     if temperature <= 0:
         raise ValueError("temperature must be positive")
     scored = with_scores(queries, scorer).withColumn("max_sim", best_score())
-    both = F.arrays_zip(F.col("scores").alias("s"), probabilities(temperature).alias("p"), label_array(scorer).alias("l"))
-    ranked = F.array_sort(F.transform(both, lambda b: F.struct((-F.round(b["s"], 12)).alias("s"), b["l"].alias("label"), (b["p"] * 100).alias("pct"))))
-    top = F.transform(F.slice(ranked, 1, top_k), lambda b: F.struct(b["label"].alias("label"), b["pct"].alias("pct")))
+    both = F.arrays_zip(F.col("scores").alias("s"), probabilities(temperature).alias("p"))
+    # labels are sorted, so places order equal scores as labels do; only the best places become labels
+    ranked = F.array_sort(F.transform(both, lambda b, i: F.struct((-F.round(b["s"], 12)).alias("s"), i.alias("i"), (b["p"] * 100).alias("pct"))))
+    top = bound(label_array(scorer), lambda labels: F.transform(F.slice(ranked, 1, top_k), lambda b: F.struct(F.get(labels, b["i"]).alias("label"), b["pct"].alias("pct"))))
     unknown = F.col("max_sim") < F.lit(threshold)
     none = F.array().cast("array<struct<label:string,pct:double>>")
     return scored.withColumn("unknown", unknown).withColumn("topk", F.when(~unknown, top).otherwise(none)).drop("scores")
@@ -111,6 +114,9 @@ def other_share() -> Column:
 
 def rank_of(label: Column, scorer: Scorer) -> Column:
     """The rank of ``label`` among the scores, from 1; of equal scores the larger label comes first. Null if it is no class."""
-    own = F.try_element_at("scores", F.array_position(label_array(scorer), label).cast("int"))
-    ahead = F.filter(F.arrays_zip(F.col("scores").alias("s"), label_array(scorer).alias("l")), lambda b: (b["s"] > own) | ((b["s"] == own) & (b["l"] > label)))
-    return F.when(F.array_contains(label_array(scorer), label), F.size(ahead) + 1)
+
+    def at(place: Column) -> Column:
+        ahead = lambda own: F.size(F.filter("scores", lambda s, i: (s > own) | ((s == own) & (i >= place)))) + 1
+        return F.when(place > 0, bound(F.get("scores", place - 1), ahead))
+
+    return bound(F.array_position(label_array(scorer), label).cast("int"), at)

@@ -1,13 +1,16 @@
 """Operators against plain versions of themselves, and their edge cases."""
 
+import os
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import geometry, names, vec
-from corpusloom.operators import dedup, detections, quality, split, taxonomy
+from corpusloom.operators import components as grid
+from corpusloom.operators import dedup, detections, quality, skew, split, taxonomy
 from corpusloom.operators.components import components
 from corpusloom.operators.hamming import hamming_pairs, hash_classes, representatives
 from corpusloom.operators.skew import ranked, skew_join, top_n
@@ -29,11 +32,12 @@ def groups_of(edges):
     return {x: find(x) for x in parent}
 
 
-def test_skew_join_is_a_join(spark):
+def test_skew_join_is_a_join(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SHARE", 75)
     left = spark.createDataFrame([("hot", i) for i in range(300)] + [("cold", 1), (None, 2), ("lone", 3)], "k string, x int")
     right = spark.createDataFrame([("hot", "h"), ("cold", "c"), (None, "n")], "k string, y string")
     for how in ("inner", "left", "left_semi"):
-        got = skew_join(left, right, "k", how, at_least=100, fanout=4)
+        got = skew_join(left, right, "k", how, at_least=100)
         want = left.join(right, "k", how)
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
         assert skew_join(left.limit(0), right, "k", how).count() == 0
@@ -66,6 +70,33 @@ def test_components(spark, shape):
     assert got == groups_of([(a, b) for a, b in edges if a != b])
 
 
+def test_a_third_of_the_rows_on_one_key(spark):
+    rows = spark.range(90_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5000)).alias("k"), "id")
+    right = rows.groupBy("k").agg(F.min("id").alias("least"))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(skew, "SHARE", 2000)
+        joined = skew_join(rows, right, "k", at_least=10_000)
+        sizes = joined.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.when(F.col("k") == "hot", 1).otherwise(0)).alias("n")).collect()
+    assert joined.count() == 90_000
+    # the hot key's rows are on every reducer (four here), none with most of them
+    assert len(sizes) == 4 and max(r.n for r in sizes) < 15_000 if len(sizes) > 1 else True
+
+
+def chain_rounds(spark, ids):
+    own = Scratch(spark, "chain")
+    found = grid.connected(spark.createDataFrame(list(zip(ids, ids[1:])), "u bigint, v bigint"), own)
+    assert {r.root for r in found.collect()} == {min(ids)} and found.count() == len(ids)
+    return len([f for f in os.listdir(own.root.removeprefix("file:").replace("//", "/")) if f.startswith("met")])
+
+
+def test_ordered_chains_take_no_more_rounds(spark, monkeypatch):
+    monkeypatch.setattr(grid, "CELL_EDGES", 60)
+    shuffled = list(range(3000))
+    random.Random(3).shuffle(shuffled)
+    ordered, permuted = chain_rounds(spark, list(range(3000))), chain_rounds(spark, shuffled)
+    assert ordered <= permuted + 1 <= 12
+
+
 def test_hamming_equals_brute_force(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(40)] + [0, (1 << 64) - 1, 1 << 63]
@@ -214,3 +245,16 @@ def test_detections(spark):
     assert [r.image_id for r in detections.accepted(pseudo).collect()] == ["a"]
     with pytest.raises(KeyError):
         detections.strict_join(pseudo, images.filter("image_id <> 'a'"), "image_id")
+
+
+def test_unit_takes_linear_time(spark):
+    def seconds(width):
+        df = spark.range(0, 1500, 1, 4).select(F.transform(F.sequence(F.lit(1), F.lit(width)), lambda x: x * F.lit(1.0)).alias("v"))
+        took = []
+        for _ in range(3):
+            start = time.time()
+            df.select(F.sum(vec.unit(F.col("v"))[0])).collect()
+            took.append(time.time() - start)
+        return min(took)
+
+    assert seconds(1536) < 10 * seconds(384) + 1  # the square would be 16 times, 45 s

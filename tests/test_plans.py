@@ -126,3 +126,27 @@ def test_infinite_scores(spark):
     df = spark.createDataFrame([(float("-inf"),), (float("inf"),), (1.0,), (1.0,), (float("nan"),), (None,)], "score double")
     got = {r.score: (r.n, r["rank"]) for r in evaluation.average_ranks(df).collect()}
     assert got == {float("-inf"): (1, 1.0), 1.0: (2, 2.5), float("inf"): (1, 4.0)}
+
+
+def test_thousands_of_classes(spark):
+    n = 3000
+    labels = [f"c{i:04}" for i in range(n)]
+    angles = np.linspace(0, np.pi, n)
+    many = scoring.Scorer(labels, np.stack([np.cos(angles), np.sin(angles)], 1), np.zeros(2))
+    df = spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))], labels[i]) for i, a in enumerate(angles) if i % 100 == 7], "key int, embedding array<double>, label string")
+    out = scoring.predict(df, many, threshold=0.1).collect()
+    assert all(r.topk[0].label == r.label and not r.unknown for r in out)
+    x = np.exp((np.cos(angles[7] - angles) - 1) / scoring.TEMPERATURE)
+    first = next(r for r in out if r.key == 7)
+    assert first.topk[0].pct == pytest.approx(100 / x.sum())
+    scored = scoring.with_scores(df, many)
+    assert {r[0] for r in scored.select(scoring.rank_of(F.col("label"), many)).collect()} == {1}
+
+
+def test_average_ranks_of_scores_with_an_outlier(spark):
+    scores = [1e300, float("inf"), float("-inf"), -1e300] + [i / 7 for i in range(5000)] + [1.0] * 9
+    got = {r.score: r["rank"] for r in evaluation.average_ranks(spark.createDataFrame([(s,) for s in scores], "score double")).collect()}
+    ordered = np.sort(scores)
+    for s in (1e300, float("inf"), float("-inf"), 1.0, 3 / 7, 4999 / 7):
+        low, high = np.searchsorted(ordered, s, "left"), np.searchsorted(ordered, s, "right")
+        assert got[s] == (low + 1 + high) / 2
