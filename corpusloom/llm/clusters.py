@@ -20,8 +20,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.groups import connected, union_find
 from corpusloom.llm.vectors import BLUR, STEP, UNIT_SQL, Candidates, Files, Index, block_of, indexed, products, usable
+from corpusloom.operators.components import connected, union_find
 from corpusloom.operators.skew import skew_join, top_n
 from corpusloom.session import Scratch
 

@@ -4,24 +4,17 @@ Method: a two-dimensional grid. Vertices are hashed into B blocks and an edge li
 two blocks; a task runs union-find over one cell. A vertex then meets the representatives it got in
 the cells of its row and column (2B - 1 at most, however many links it has), takes the smallest as
 its parent, and the representatives that met are the edges of the next, much smaller, grid. That is
-repeated until no two representatives meet. B grows with the edges, so that a cell stays within
-``CELL_EDGES`` on average; a hub's links are spread over a whole row of cells.
+repeated until no two representatives meet (``operators.components.connected``). Here ids are brought to one spelling and numbered.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.components import connected
 from corpusloom.operators.skew import skew_join
-from corpusloom.session import Scratch, let_workers_import
-
-#: Edges of a cell, on average; the grid of the first round has FIRST_BLOCKS blocks at least.
-CELL_EDGES, FIRST_BLOCKS = 500_000, 4
+from corpusloom.session import Scratch
 
 
 def image_key(column: str | Column) -> Column:
@@ -32,63 +25,6 @@ def image_key(column: str | Column) -> Column:
     return F.lower(F.regexp_replace(c, r"(?i)^(\./|/|data/raw/)+", ""))
 
 
-def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The vertices of the edges (u, v), sorted, and the smallest vertex that each is linked with."""
-    vertices, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = at[: len(u)], at[len(u) :]
-    parent = np.arange(len(vertices))
-    while True:
-        ra, rb = parent[a], parent[b]
-        open_ = ra != rb
-        if not open_.any():
-            return vertices, vertices[parent]
-        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
-        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
-
-
-def _cell(table: pa.Table) -> pa.Table:
-    v, rep = union_find(table["u"].to_numpy(), table["v"].to_numpy())
-    return pa.table({"v": pa.array(v, pa.int64()), "rep": pa.array(rep, pa.int64())})
-
-
-def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(v, root) of each vertex of ``edges`` (u, v: bigint); root is the smallest vertex linked with v.
-
-    Null ends and loops link nothing; repeated and reversed edges count once; without edges the result is empty.
-    """
-    let_workers_import(edges.sparkSession)
-    pair = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
-    clean = edges.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(*pair).distinct()
-    now = scratch.put(clean, "edges0")
-    rounds: list[DataFrame] = []
-    first = 0
-    while n := now.count():
-        first = first or n
-        k = len(rounds)
-        blocks = max(math.ceil(math.sqrt(2 * n / CELL_EDGES)), 1 if k else FIRST_BLOCKS)
-        block = lambda c: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(blocks))  # noqa: E731, B023
-        cells = now.withColumns({"r": F.least(block("u"), block("v")), "c": F.greatest(block("u"), block("v"))})
-        met = cells.groupBy("r", "c").applyInArrow(_cell, "v bigint, rep bigint")
-        met = met.groupBy("v").agg(F.min("rep").alias("m"), F.collect_set("rep").alias("reps"))
-        met = scratch.put(met, f"met{k}")
-        rounds.append(met.select("v", "m"))
-        links = met.filter("size(reps) > 1").select(F.col("m").alias("u"), F.explode("reps").alias("v")).filter("u <> v")
-        scratch.drop(f"edges{k}")
-        now = scratch.put(links.distinct(), f"edges{k + 1}")
-    if not rounds:
-        return now.select("v", F.col("u").alias("root"))
-    labels = rounds[-1].select("v", F.col("m").alias("root"))
-    for parents in reversed(rounds[:-1]):
-        later = labels.select(F.col("v").alias("m"), "root")
-        labels = skew_join(parents, later, "m", "left", rows=2 * first).select("v", F.coalesce("root", "m").alias("root"))
-    return labels
-
-
 def consolidate(pairs: DataFrame, known: DataFrame, scratch: Scratch, low: int = 0, high: int = 10) -> DataFrame:
     """(image_id, group_id) of each image of ``known`` with a link in ``pairs``.
 
@@ -102,8 +38,8 @@ def consolidate(pairs: DataFrame, known: DataFrame, scratch: Scratch, low: int =
     ends = ends.filter("ka <> kb").select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
     ends = scratch.put(ends, "ends")
     named = ends.select(F.explode(F.array("ka", "kb")).alias("key")).distinct()
-    images = known.select("image_id", image_key("image_id").alias("key")).join(named, "key", "left_semi")
-    images = images.groupBy("key").agg(F.min("image_id").alias("image_id"))
+    images = known.select("image_id", image_key("image_id").alias("key")).groupBy("key").agg(F.min("image_id").alias("image_id"))
+    images = images.join(named, "key", "left_semi")  # a row a key on either side
     # sorted by image_id, so that the smallest number of a group is its smallest id
     images = scratch.put(images.orderBy("image_id").withColumn("vid", F.monotonically_increasing_id()), "images")
     n = ends.count()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.dirty import breed_name, group_name, split_name
-from corpusloom.llm.groups import connected
+from corpusloom.operators.components import connected
 from corpusloom.operators.skew import ranked, skew_join
 from corpusloom.session import Scratch, let_workers_import
 

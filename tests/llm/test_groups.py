@@ -3,8 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from corpusloom.llm import groups
-from corpusloom.llm.groups import connected, consolidate, union_find
+from corpusloom.llm.groups import consolidate
+from corpusloom.operators import components
+from corpusloom.operators.components import connected, union_find
 from tests.llm.conftest import linked
 
 
@@ -18,7 +19,7 @@ def test_union_find():
 
 @pytest.mark.parametrize("shape", ["random", "chain", "hub", "empty"])
 def test_connected(spark, scratch, monkeypatch, shape):
-    monkeypatch.setattr(groups, "CELL_EDGES", 40)  # many cells, several rounds
+    monkeypatch.setattr(components, "CELL_EDGES", 40)  # many cells, several rounds
     rng = random.Random(2)
     edges = {
         "random": [(rng.randrange(400), rng.randrange(400)) for _ in range(300)],
