@@ -2,7 +2,9 @@
 
 Method: values are mapped to plain look-alikes (column expressions in the JVM), grouped in SQL under
 Spark's accent-sensitive UNICODE collation, which takes canonically equivalent sequences as equal and
-skips what is invisible; each class gets a deterministic canonical member, which is joined back.
+skips what is invisible; each class gets a deterministic canonical member, which is joined back. Equal plain
+forms are folded by digest, and only forms that share their skeleton, which is the form without marks, with another
+one are collated, as only these can be equal; all else is digests.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators.skew import skew_join
 from corpusloom.session import Scratch
 
-# Letters and marks drawn alike, each with the plain one.
+# Letters and marks drawn alike, each with the plain one, after the confusables of Unicode Technical Standard 39.
 LOOK_ALIKES = {
     # Cyrillic
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
@@ -24,6 +26,10 @@ LOOK_ALIKES = {
     # Greek
     "α": "a", "ϲ": "c", "ϳ": "j", "ο": "o", "ρ": "p", "ν": "v",
     "Α": "A", "Β": "B", "Ϲ": "C", "Ε": "E", "Η": "H", "Ι": "I", "Ϳ": "J", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ζ": "Z",
+    # Armenian
+    "զ": "q", "հ": "h", "ո": "n", "ս": "u", "ց": "g", "օ": "o", "Տ": "S", "Ս": "U", "Օ": "O",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
     # Marks
     "․": ".", "‐": "-", "‑": "-", "ʼ": "’", " ": "\n", " ": "\n", "\u0085": "\n",
 }
@@ -31,12 +37,19 @@ LOOK_ALIKES = {
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ſt", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij"}
 
 
+@cache
+def ligatures() -> dict[str, str]:
+    """What is drawn as several letters: the ligatures, and by rule the Roman numerals."""
+    romans = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in range(0x2160, 0x2180)}
+    return LIGATURES | {c: letters for c, letters in romans.items() if len(letters) > 1}
+
+
 @cache
 def character_map() -> tuple[str, str]:
     """(from, to) for ``translate``; what has no counterpart in ``to`` is deleted.
 
-    By rule: full-width and half-width forms become ordinary ones, every kind of space the plain one,
-    a marked letter over a look-alike the marked plain letter, and format and control characters nothing.
+    By rule: full-width and half-width forms, letters in another font and Roman numerals become ordinary ones, every
+    kind of space the plain one, a marked letter over a look-alike the marked plain letter, and format and control characters nothing.
     """
     table, gone = dict(LOOK_ALIKES), []
     for code in range(0x20000):
@@ -51,6 +64,9 @@ def character_map() -> tuple[str, str]:
             gone.append(c)
         elif parts[:1] in (["<wide>"], ["<narrow>"]):
             table[c] = chr(int(parts[1], 16))
+        elif len(parts) == 2 and (parts[0] == "<font>" or 0x2160 <= code < 0x2180):
+            letter = chr(int(parts[1], 16))
+            table[c] = LOOK_ALIKES.get(letter, letter)
         elif 0x370 <= code <= 0x52F or 0x1F00 <= code <= 0x1FFF:
             plain = unicodedata.normalize("NFC", "".join(LOOK_ALIKES.get(x, x) for x in unicodedata.normalize("NFD", c)))
             if len(plain) == 1 and plain != c and plain.isascii() is False and "LATIN" in unicodedata.name(plain, ""):
@@ -61,11 +77,27 @@ def character_map() -> tuple[str, str]:
 def plain_form(text: Column) -> Column:
     """``text`` with every look-alike mapped and everything invisible removed."""
     out = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    for ligature, letters in LIGATURES.items():
+    for ligature, letters in ligatures().items():
         out = F.replace(out, F.lit(ligature), F.lit(letters))
     return F.translate(out, *character_map())
 
 
+@cache
+def bases() -> tuple[str, str]:
+    """(from, to) for ``translate``: each character with a canonical decomposition, and what it begins with."""
+    table = {}
+    for code in range(0x80, 0x30000):
+        c = chr(code)
+        if not 0xAC00 <= code <= 0xD7A3 and unicodedata.category(c) not in ("Cs", "Cn", "Co") and (base := unicodedata.normalize("NFD", c)[0]) != c:
+            table[c] = base
+    return "".join(table), "".join(table.values())
+
+
+def skeleton(plain: Column) -> Column:
+    """``plain`` without marks and Hangul: canonically equivalent texts have one skeleton, however they are composed."""
+    return F.regexp_replace(F.translate(plain, *bases()), r"[\p{M}\p{IsHangul}]+", "")
+
+
 def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(texts, members) of ``docs`` (doc_id, text).
 
@@ -75,30 +107,37 @@ def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     are in neither; null doc_ids are left out; repeated rows count once. Two texts are one if their SHA-256 is.
     """
     spark = docs.sparkSession
+    sha = lambda c: F.unhex(F.sha2(c, 256))
     seen = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", plain_form(F.col("text")).alias("plain"))
-    seen = seen.filter(F.col("plain").rlike(r"[^\s\p{Z}\p{C}]")).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), "plain", (F.col("text") != F.col("plain")).alias("changed"))
-    distinct = seen.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("plain").alias("plain"), F.first("changed").alias("changed"))
-    distinct = scratch.put(distinct, "texts")
+    seen = seen.filter(F.col("plain").rlike(r"[^\s\p{Z}\p{C}]")).withColumn("bones", skeleton(F.col("plain")))
+    slim = seen.select("doc_id", sha("text").alias("digest"), sha("plain").alias("form"), sha("bones").alias("bones"), (F.col("text") != F.col("plain")).alias("changed"))
+    slim = scratch.put(slim, "digests")
+    texts = slim.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("form", "bones", "changed")])
+    texts = scratch.put(texts, "texts")
+    shared = scratch.put(texts.groupBy("bones").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).filter("lo <> hi").select("bones"), "shared")
+    forms = skew_join(seen.select(sha("bones").alias("bones"), sha("plain").alias("form"), "plain"), shared, "bones", "left_semi")
+    forms = scratch.put(forms.groupBy("form").agg(F.any_value("plain").alias("plain")), "forms")
     spark_sql = """
-        SELECT t.digest, t.doc_id, c.class_id, c.canonical, c.variants
-        FROM {texts} t JOIN (
-            SELECT plain COLLATE UNICODE AS form, min(doc_id) AS class_id, min(struct(changed, doc_id)).doc_id AS canonical, count(*) AS variants
-            FROM {texts} GROUP BY plain COLLATE UNICODE) c
-        ON t.plain COLLATE UNICODE = c.form"""
-    return spark.sql(spark_sql, texts=distinct), seen.select("doc_id", "digest")
+        SELECT t.form, c.class
+        FROM {forms} t JOIN (SELECT plain COLLATE UNICODE AS collated, min(form) AS class FROM {forms} GROUP BY plain COLLATE UNICODE) c
+        ON t.plain COLLATE UNICODE = c.collated"""
+    classed = scratch.put(spark.sql(spark_sql, forms=forms), "classed")
+    texts = scratch.put(skew_join(texts, classed, "form", "left").withColumn("class", F.coalesce("class", "form")), "by-class")
+    of = texts.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("changed", "doc_id"))["doc_id"].alias("canonical"), F.count(F.lit(1)).alias("variants"))
+    return scratch.put(skew_join(texts, of, "class").select("digest", "doc_id", "class_id", "canonical", "variants"), "classes"), slim.select("doc_id", "digest")
 
 
 def same_looking(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_a, doc_b) of documents whose texts look the same but differ; doc_a < doc_b. Copies of one text are no pair."""
     texts, members = classes(docs, scratch)
     several = scratch.put(texts.filter("variants > 1").select("digest", "class_id"), "several")
-    rows = scratch.put(members.join(several.select("digest"), "digest", "left_semi").distinct(), "members")
+    rows = scratch.put(skew_join(members, several.select("digest"), "digest", "left_semi").distinct(), "members")
     # different texts of a class are paired before their documents are, so copies never meet each other
     a = several.select("class_id", F.col("digest").alias("da"))
     b = several.select("class_id", F.col("digest").alias("db"))
-    partners = a.join(b, "class_id").filter("da < db").groupBy("da").agg(F.collect_list("db").alias("others"))
-    own = skew_join(rows.select(F.col("digest").alias("da"), F.col("doc_id").alias("x")), partners, "da").select("x", F.explode("others").alias("db"))
-    both = own.join(rows.select(F.col("digest").alias("db"), F.col("doc_id").alias("y")), "db").filter("x <> y")
+    pairs = scratch.put(skew_join(a, b, "class_id").filter("da < db").select("da", "db"), "pairs")
+    own = skew_join(rows.select(F.col("digest").alias("da"), F.col("doc_id").alias("x")), pairs, "da").select("x", "db")
+    both = skew_join(own, rows.select(F.col("digest").alias("db"), F.col("doc_id").alias("y")), "db").filter("x <> y")
     return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
@@ -108,15 +147,27 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_forms(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document with a visible text: the document whose text is its class's one form, and whether that differs from its own."""
-    texts, members = classes(spark.read.parquet(f"{sf}/documents.parquet"), scratch := Scratch(spark, "p9"))
-    texts = scratch.put(texts, "classes")
-    own = texts.filter("doc_id = canonical").select("canonical", F.col("digest").alias("form"))
-    out = members.join(texts.select("digest", "canonical"), "digest").join(own, "canonical")
-    return out.select("doc_id", F.col("canonical").alias("form_id"), (F.col("digest") != F.col("form")).alias("changed"))
+    """Every document with a visible text in its class's one form: whose text that is (form_id), whether it differs from its own, and the text."""
+    docs, scratch = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), Scratch(spark, "p9")
+    texts, members = classes(docs, scratch)
+    own = skew_join(members, texts.select("digest", F.col("doc_id").alias("first"), "canonical"), "digest")
+    out = own.select("doc_id", F.col("canonical").alias("form_id"), (F.col("first") != F.col("canonical")).alias("changed")).distinct()
+    out = scratch.put(out, "form-ids")
+    wanted = out.filter("changed").select("form_id").distinct()
+    changed = docs.join(wanted.withColumnRenamed("form_id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("form_id"), F.col("text").alias("form"))
+    changed = scratch.put(changed.distinct(), "changed")
+    kept = docs.filter("doc_id IS NOT NULL").distinct().join(out.filter("NOT changed"), "doc_id").select("doc_id", "form_id", "changed", F.col("text").alias("form"))
+    return kept.unionByName(skew_join(out.filter("changed"), changed, "form_id").select("doc_id", "form_id", "changed", "form"))
+
 
+def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every class of several texts that look the same: its smallest document, the one whose text is the form, its different texts and its documents."""
+    texts, members = classes(spark.read.parquet(f"{sf}/documents.parquet"), Scratch(spark, "p9"))
+    rows = skew_join(members.distinct(), texts.filter("variants > 1").select("digest", "class_id", "canonical", "variants"), "digest")
+    return rows.groupBy("class_id", F.col("canonical").alias("form_id"), "variants").agg(F.count(F.lit(1)).alias("documents"))
 
-QUERIES = {"p9_found": p9_found, "p9_forms": p9_forms}
+
+QUERIES = {"p9_found": p9_found, "p9_forms": p9_forms, "p9_classes": p9_classes}
 
 
 def _quoted(text: str) -> str:
@@ -127,15 +178,20 @@ def _oracle() -> str:
     source, target = character_map()
     kept = [(a, b) for a, b in zip(source, target)]
     plain = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
-    for ligature, letters in LIGATURES.items():
+    for ligature, letters in ligatures().items():
         plain = f"replace({plain}, '{ligature}', '{letters}')"
     gone = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in source[len(target) :]) + "]"
     plain = f"regexp_replace({plain}, {_quoted(gone)}, '', 'g')"
     plain = f"translate({plain}, {_quoted(''.join(a for a, _ in kept))}, {_quoted(''.join(b for _, b in kept))})"
-    return f"""
-WITH t AS MATERIALIZED (SELECT doc_id, text, nfc_normalize({plain}) AS form FROM documents WHERE text IS NOT NULL)
-SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM t a JOIN t b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text
-WHERE regexp_matches(a.form, '[^\\s\\p{{Z}}\\p{{C}}]')"""
-
-
-ORACLES = {"p9_found": _oracle()}
+    return f"""t AS MATERIALIZED (
+  SELECT * FROM (SELECT doc_id, text, text <> {plain} AS changed, nfc_normalize({plain}) AS form FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(form, '[^\\s\\p{{Z}}\\p{{C}}]'))"""
+
+
+ORACLES = {
+    "p9_found": f"WITH {_oracle()} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM t a JOIN t b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
+    "p9_classes": f"""WITH {_oracle()}
+SELECT min(doc_id) AS class_id, min(struct_pack(c := changed, d := doc_id)).d AS form_id, count(DISTINCT text) AS variants, count(*) AS documents FROM t GROUP BY form HAVING count(DISTINCT text) > 1""",
+    "p9_forms": f"""WITH {_oracle()},
+c AS (SELECT form, min(struct_pack(c := changed, d := doc_id)).d AS form_id FROM t GROUP BY form)
+SELECT t.doc_id, c.form_id, t.text <> o.text AS changed, o.text AS form FROM t JOIN c USING (form) JOIN t o ON o.doc_id = c.form_id""",
+}

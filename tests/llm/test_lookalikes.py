@@ -6,9 +6,9 @@ from corpusloom.llm.lookalikes import character_map, classes, plain_form, same_l
 
 ALIKE = [
     ["The Kuwoaxvilk fluffy café", "Тhе Kuwоахvіlk fluffу саfé", "Ｔｈｅ Ｋｕｗｏａｘｖｉｌｋ ｆｌｕｆｆｙ ｃａｆé", "The K​uwoax­vilk fl‍luffy café".replace("fl‍l", "fl‍"), "The Kuwoaxvilk ﬂuﬀy　café", "The Kuwoaxvilk fluffy café"],
-    ["вошёл", unicodedata.normalize("NFD", "вошёл")], ["털이 짙게", unicodedata.normalize("NFD", "털이 짙게")], ["end.", "end․"], ["a\nb", "a\r\nb"], ["o", "ο", "о"],
+    ["вошёл", unicodedata.normalize("NFD", "вошёл")], ["털이 짙게", unicodedata.normalize("NFD", "털이 짙게")], ["end.", "end․"], ["a\nb", "a\r\nb"], ["o", "ο", "о", "օ", "𝐨", "𝚘"], ["Heft VIII", "Heft Ⅷ", "Неft VІІІ"], ["Ḗ", "\u0112\u0301", "E\u0304\u0301"], ["각", "\u1100\u1161\u11a8", "\uac00\u11a8"],
 ]
-APART = ["Cafe", "cafe", "café", "qibreś", "qibres", "paboskpłam", "paboskplam", "møde", "mode", "5⁰", "50", "a b", "ab", "a  b", "rn", "m", "l", "I", "1", "0", "O", "ß", "ss", "”", "\"", "😀", "😃"]
+APART = ["Cafe", "cafe", "café", "qibreś", "qibres", "paboskpłam", "paboskplam", "møde", "mode", "5⁰", "50", "a b", "ab", "a  b", "rn", "m", "l", "I", "1", "0", "O", "ß", "ss", "”", "\"", "😀", "😃", "Ⓐ", "A", "٠", "०", "0٠", "각", "간"]
 BLANK = ["", " ", "​‍ ", "　", "﻿", "\n\t", "\xa0"]
 
 
@@ -50,3 +50,11 @@ def test_map(spark):
     assert len(set(source)) == len(source) > len(target) > 300
     assert all(unicodedata.category(c) in ("Cf", "Cc", "Mn") for c in source[len(target) :])
     assert spark.range(1).select(plain_form(F.lit("Ａ​ё ﬁ")).alias("x")).first().x == "Aë fi"
+
+
+def test_a_third_of_the_documents_in_one_class(spark, scratch):
+    texts = ["pug", "рug", "pug\u200b"] * 40 + [f"dog {k}" for k in range(200)]
+    classed, _ = classes(table(spark, texts), scratch)
+    assert sorted(r.variants for r in classed.collect()) == [1] * 200 + [3] * 3
+    got = same_looking(table(spark, texts), scratch).collect()
+    assert len(got) == len(set(map(tuple, got))) == 3 * 40 * 40
