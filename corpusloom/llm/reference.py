@@ -14,6 +14,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,23 @@ from corpusloom.session import Scratch, let_workers_import
 
 #: The reference list is read to the driver; a longer one is refused.
 MAX_ENTRIES = 20_000
-# Words that decorate a breed, words that join two, digits written for letters.
-DECORATION = frozenset("a adult breed dog dogs f female image img kind m male my of old photo pic picture pup puppies puppy pure purebred sic small some the type yr yrs year years young".split())
-JOINING = frozenset("and cross crossed half mix mixed or plus vs with x".split())
-DIGITS = str.maketrans("01568", "olsbb")
+
+
+@dataclass(frozen=True)
+class Words:
+    """What the values of one field may have about an entry: words that decorate it, words that join two, digits written for letters."""
+
+    decoration: frozenset[str] = frozenset()
+    joining: frozenset[str] = frozenset()
+    digits: tuple[str, str] = ("", "")
+
+
+# The words of breed labels, the default of what follows.
+BREEDS = Words(
+    frozenset("a adult breed dog dogs f female image img kind m male my of old photo pic picture pup puppies puppy pure purebred sic small some the type yr yrs year years young".split()),
+    frozenset("and cross crossed half mix mixed or plus vs with x".split()),
+    ("01568", "olsbb"),
+)
 OTHER = -1
 
 
@@ -43,19 +57,19 @@ def simplified(value: str) -> str:
     return "".join(LOOK_ALIKES.get(c, c) for c in text).replace("&", " and ").replace("+", " and ").lower()
 
 
-def readings(value: str) -> list[tuple[str, int]]:
+def readings(value: str, about: Words = BREEDS) -> list[tuple[str, int]]:
     """The letters that a typed value may mean, without decoration, each with the errors it may have.
 
     What seems to join several breeds may only be a breed with a blank too many, so it must fit exactly.
     """
     spaced = re.sub(r"(?<![^\W_])([^\W\d_](?:[\W_]+[^\W\d_](?![^\W_])){2,})", lambda m: re.sub(r"[\W_]", "", m[1]), simplified(value))
     words = [w for w in re.split(r"[\W_]+", spaced) if w]
-    words = [w.translate(DIGITS) if sum(c.isalpha() for c in w) > 2 else w for w in words if not re.fullmatch(r"n?\d+", w)]
+    words = [w.translate(str.maketrans(*about.digits)) if sum(c.isalpha() for c in w) > 2 else w for w in words if not re.fullmatch(r"n?\d+", w)]
     letters = lambda ws: "".join(c for c in "".join(ws) if c.isalpha())
-    if JOINING & set(words):
+    if about.joining & set(words):
         return [(letters(words), 0)]
-    plain = [w for w in words if w not in DECORATION]
-    kept = [w for w in words if w not in DECORATION or w in ("dog", "dogs")]
+    plain = [w for w in words if w not in about.decoration]
+    kept = [w for w in words if w not in about.decoration or w in ("dog", "dogs")]
     return [(w, 2) for w in dict.fromkeys((letters(plain), letters(kept))) if w]
 
 
@@ -73,7 +87,8 @@ def shortened(word: str) -> set[str]:
 class Trie:
     """Nodes are dicts from letter to node; "" holds the forms that end there, as (entry, allowed errors)."""
 
-    def __init__(self, entries: Iterable[tuple[int, str, list[str]]]):
+    def __init__(self, entries: Iterable[tuple[int, str, list[str]]], about: Words = BREEDS):
+        self.about = about
         entries = [(i, simplified(n), [simplified(a) for a in aliases or [] if a]) for i, n, aliases in entries]
         split = lambda s: [w for w in re.split(r"[\W_]+", s) if w]
         names = [(i, split(n)) for i, n, _ in entries if split(n)]
@@ -129,9 +144,7 @@ class Trie:
         ends[entry] = max(errors, ends.get(entry, 0))
 
     def search(self, word: str, most: int = 2) -> list[tuple[int, int]]:
-        """All (errors, entry) of forms within their allowed distance of ``word``."""
-        if ends := self.forms.get(word):
-            return [(0, e) for e in ends]
+        """All (errors, entry) of forms within their allowed distance of ``word``; an entry comes once for each of its forms."""
         most = min(most, allowed(len(word) + most))
         size = len(word)
         masks: dict[str, int] = {}
@@ -170,8 +183,11 @@ class Trie:
         if value is None:
             return None, None
         best: list[tuple[int, int]] = []
-        for letters, most in readings(value):
-            best += self.search(letters, most)
+        for letters, most in readings(value, self.about):
+            if ends := self.forms.get(letters):  # nothing is nearer
+                best += [(0, e) for e in ends]
+            else:
+                best += self.search(letters, most)
         if not best:
             return None, None
         errors = min(e for e, _ in best)
@@ -180,40 +196,68 @@ class Trie:
         return (None if entry == OTHER else entry), errors
 
 
-_TRIES: dict[str, Trie] = {}
+    def within(self, value: str | None) -> dict[int, int]:
+        """Every entry within the distance of what ``value`` may read, with its fewest errors."""
+        found: dict[int, int] = {}
+        for letters, most in readings(value, self.about) if value is not None else []:
+            for errors, entry in self.search(letters, most):
+                if entry != OTHER:
+                    found[entry] = min(errors, found.get(entry, errors))
+        return found
 
 
-def _trie(entries: str) -> Trie:
-    if entries not in _TRIES:
-        _TRIES.clear()
-        _TRIES[entries] = Trie(map(tuple, json.loads(entries)))
-    return _TRIES[entries]
+_TRIES: dict[tuple[str, Words], Trie] = {}
 
 
-def resolve(values: DataFrame, column: str, reference: DataFrame, scratch: Scratch) -> DataFrame:
-    """(column, breed_id, errors) of each different non-null value of ``column``.
+def _trie(entries: str, about: Words) -> Trie:
+    if (entries, about) not in _TRIES:
+        _TRIES.clear()
+        _TRIES[entries, about] = Trie(map(tuple, json.loads(entries)), about)
+    return _TRIES[entries, about]
 
-    breed_id is null where the value means no entry of ``reference`` (breed_id, canonical_label, aliases),
-    errors null where nothing is near. Empty and very long values mean none; entries without id or name are left out.
-    """
+
+def _searched(values: DataFrame, column: str, reference: DataFrame) -> tuple[DataFrame, str]:
+    """(the different non-null values, spread over tasks, and the entries of ``reference`` as JSON)."""
     let_workers_import(values.sparkSession)
     rows = reference.select("breed_id", "canonical_label", "aliases").limit(MAX_ENTRIES + 1).collect()
     if len(rows) > MAX_ENTRIES:
         raise ValueError(f"the reference list has more than {MAX_ENTRIES} entries")
     entries = json.dumps(sorted([r[0], r[1], sorted(a for a in r[2] or [] if a)] for r in rows if r[0] is not None and r[1]))
+    different = values.filter(F.col(column).isNotNull()).select(column).distinct()
+    # the search is what takes time, so the values are spread whatever their bytes
+    return different.repartition(max(values.sparkSession.sparkContext.defaultParallelism, 8)), entries
+
+
+def candidates(values: DataFrame, column: str, reference: DataFrame, scratch: Scratch, about: Words = BREEDS) -> DataFrame:
+    """(column, breed_id, errors) of each different non-null value of ``column`` with EVERY entry within the distance, by its nearest form."""
+    different, entries = _searched(values, column, reference)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = _trie(entries)
+        trie = _trie(entries, about)
+        for frame in frames:
+            found = [(v, entry, errors) for v in frame[column] for entry, errors in sorted(trie.within(v).items())]
+            yield pd.DataFrame(found, columns=[column, "breed_id", "errors"]).astype({"breed_id": "int32", "errors": "int32"})
+
+    return scratch.put(different.mapInPandas(run, f"`{column}` string, breed_id int, errors int"), f"candidates-{column}")
+
+
+def resolve(values: DataFrame, column: str, reference: DataFrame, scratch: Scratch, about: Words = BREEDS) -> DataFrame:
+    """(column, breed_id, errors) of each different non-null value of ``column``.
+
+    breed_id is null where the value means no entry of ``reference`` (breed_id, canonical_label, aliases),
+    errors null where nothing is near. Empty and very long values mean none; entries without id or name are left out.
+    """
+    different, entries = _searched(values, column, reference)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trie = _trie(entries, about)
         for frame in frames:
             found = [trie.meaning(v) for v in frame[column]]
             frame["breed_id"] = pd.array([f[0] for f in found], dtype="Int32")
             frame["errors"] = pd.array([f[1] for f in found], dtype="Int32")
             yield frame
 
-    different = values.filter(F.col(column).isNotNull()).select(column).distinct()
-    # the search is what takes time, so the values are spread whatever their bytes
-    spread = different.repartition(max(values.sparkSession.sparkContext.defaultParallelism, 8))
-    return scratch.put(spread.mapInPandas(run, f"`{column}` string, breed_id int, errors int"), f"resolved-{column}")
+    return scratch.put(different.mapInPandas(run, f"`{column}` string, breed_id int, errors int"), f"resolved-{column}")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,4 +278,19 @@ def p3_values(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("original_breed", "rows", "breed_id", "canonical_label", "errors", F.when(F.col("breed_id").isNull(), "unmatched").otherwise("matched").alias("status"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_values": p3_values}
+def p3_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Every different original_label of the taxonomy with its labels and entry; without entry it is reported as unmatched."""
+    labels = spark.read.parquet(f"{sf}/taxonomy.parquet").select("label_id", "original_label").distinct()
+    counts = (scratch := Scratch(spark, "p3")).put(labels.groupBy("original_label").agg(F.count("label_id").alias("labels")), "counts")
+    meant = resolve(counts, "original_label", spark.read.parquet(f"{sf}/breed_list.parquet"), scratch)
+    out = counts.join(meant, "original_label", "left")
+    return out.select("original_label", "labels", "breed_id", "errors", F.when(F.col("breed_id").isNull(), "unmatched").otherwise("matched").alias("status"))
+
+
+def p3_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every entry within the distance of each different original_label, with its errors."""
+    taxonomy = spark.read.parquet(f"{sf}/taxonomy.parquet").select("original_label")
+    return candidates(taxonomy, "original_label", spark.read.parquet(f"{sf}/breed_list.parquet"), Scratch(spark, "p3"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_values": p3_values, "p3_labels": p3_labels, "p3_candidates": p3_candidates}

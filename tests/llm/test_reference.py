@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from corpusloom.llm.reference import Trie, allowed, readings, resolve
+from corpusloom.llm.reference import Trie, Words, allowed, candidates, readings, resolve
 from corpusloom.session import Scratch
 
 ENTRIES = [
@@ -64,8 +64,6 @@ def test_automaton_equals_distances(trie):
             elif 0 < at < len(word):
                 word[at - 1], word[at] = word[at], word[at - 1]
         word = "".join(word)
-        if word in trie.forms:
-            continue
         want = {(distance(f, word), e) for f in forms if abs(len(f) - len(word)) <= 2 for e, k in trie.forms[f].items() if distance(f, word) <= min(k, 2)}
         assert set(trie.search(word)) == want
 
@@ -83,3 +81,19 @@ def test_resolve(spark):
     assert got == {"Balafau Terrier": 3, "": None, "terrier": None}
     assert resolve(values.limit(0), "v", entries, Scratch(spark, "r")).count() == 0
     assert resolve(values, "v", entries.limit(0), Scratch(spark, "r")).filter("breed_id IS NOT NULL").count() == 0
+
+
+def test_all_entries_within_the_distance(spark, trie):
+    entries = spark.createDataFrame([*ENTRIES, (20, "zobrudaut_schnauzer", [])], "breed_id int, canonical_label string, aliases array<string>")
+    values = spark.createDataFrame([("Zobrudaul Schnauzer",), ("zobrudauk schnauzer",), ("qqqqqqq",), ("",), (None,)], "v string")
+    got = {tuple(r) for r in candidates(values, "v", entries, Scratch(spark, "r")).collect()}
+    assert got == {("Zobrudaul Schnauzer", 0, 0), ("Zobrudaul Schnauzer", 20, 1), ("zobrudauk schnauzer", 0, 1), ("zobrudauk schnauzer", 20, 1)}
+    # equally near to two: none is meant
+    meant = {r.v: r.breed_id for r in resolve(values, "v", entries, Scratch(spark, "r")).collect()}
+    assert meant["Zobrudaul Schnauzer"] == 0 and meant["zobrudauk schnauzer"] is None
+
+
+def test_words_are_a_parameter():
+    cities = Trie([(1, "new york", ["big apple"]), (2, "los angeles", [])], Words(decoration=frozenset({"city"}), joining=frozenset({"to"})))
+    assert cities.meaning("New York City")[0] == 1 and cities.meaning("Los Angelse")[0] == 2
+    assert cities.meaning("new york to los angeles")[0] is None and cities.meaning("my new york")[0] is None and cities.meaning("the big, old new york")[0] is None
