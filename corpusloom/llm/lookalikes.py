@@ -15,6 +15,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.vec import bound
 from corpusloom.operators.skew import skew_join
 from corpusloom.session import Scratch
 
@@ -77,9 +78,11 @@ def character_map() -> tuple[str, str]:
 def plain_form(text: Column) -> Column:
     """``text`` with every look-alike mapped and everything invisible removed."""
     out = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    apart = out
     for ligature, letters in ligatures().items():
-        out = F.replace(out, F.lit(ligature), F.lit(letters))
-    return F.translate(out, *character_map())
+        apart = F.replace(apart, F.lit(ligature), F.lit(letters))
+    out = F.when(text.rlike(r"[\x{132}\x{133}\x{FB00}-\x{FB06}\x{2160}-\x{217F}]"), apart).otherwise(out)
+    return F.when(text.rlike(r"[^\t\n\x20-\x7e]"), F.translate(out, *character_map())).otherwise(text)
 
 
 @cache
@@ -95,7 +98,8 @@ def bases() -> tuple[str, str]:
 
 def skeleton(plain: Column) -> Column:
     """``plain`` without marks and Hangul: canonically equivalent texts have one skeleton, however they are composed."""
-    return F.regexp_replace(F.translate(plain, *bases()), r"[\p{M}\p{IsHangul}]+", "")
+    bare = F.regexp_replace(F.translate(plain, *bases()), r"[\p{M}\p{IsHangul}]+", "")
+    return F.when(plain.rlike(r"[^\x00-\x7f]"), bare).otherwise(plain)
 
 
 def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -108,15 +112,18 @@ def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     sha = lambda c: F.unhex(F.sha2(c, 256))
-    seen = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", plain_form(F.col("text")).alias("plain"))
-    seen = seen.filter(F.col("plain").rlike(r"[^\s\p{Z}\p{C}]")).withColumn("bones", skeleton(F.col("plain")))
-    slim = seen.select("doc_id", sha("text").alias("digest"), sha("plain").alias("form"), sha("bones").alias("bones"), (F.col("text") != F.col("plain")).alias("changed"))
-    slim = scratch.put(slim, "digests")
+    there = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", sha(F.col("text")).alias("digest"))
+    # in a lambda, so that the plain form is made once a row
+    of = lambda p: F.struct(sha(p).alias("form"), sha(skeleton(p)).alias("bones"), (F.col("text") != p).alias("changed"), p.rlike(r"[^\s\p{Z}\p{C}]").alias("visible"))
+    slim = there.select("doc_id", "digest", bound(plain_form(F.col("text")), of).alias("p"))
+    # filtered only once it is written, as the filter would make the plain form again
+    slim = scratch.put(slim, "digests").filter("p.visible").select("doc_id", "digest", "p.form", "p.bones", "p.changed")
     texts = slim.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("form", "bones", "changed")])
     texts = scratch.put(texts, "texts")
     shared = scratch.put(texts.groupBy("bones").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).filter("lo <> hi").select("bones"), "shared")
-    forms = skew_join(seen.select(sha("bones").alias("bones"), sha("plain").alias("form"), "plain"), shared, "bones", "left_semi")
-    forms = scratch.put(forms.groupBy("form").agg(F.any_value("plain").alias("plain")), "forms")
+    wanted = scratch.put(skew_join(texts.select("digest", "form", "bones"), shared, "bones", "left_semi").groupBy("form").agg(F.min("digest").alias("digest")), "wanted")
+    forms = skew_join(there, wanted, "digest").groupBy("form").agg(F.any_value("text").alias("text"))
+    forms = scratch.put(forms.select("form", plain_form(F.col("text")).alias("plain")), "forms")
     spark_sql = """
         SELECT t.form, c.class
         FROM {forms} t JOIN (SELECT plain COLLATE UNICODE AS collated, min(form) AS class FROM {forms} GROUP BY plain COLLATE UNICODE) c
