@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,3 +72,19 @@ def crop(box: Column, width: Column, height: Column, expand: float = EXPAND) ->
     )
     finite = F.forall(box, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.when(box.isNotNull() & (F.size(box) == 4) & finite, made)
+
+
+def crop_window(box: list[float], width: int, height: int, expand: float = EXPAND) -> dict[str, int] | None:
+    """``crop`` of one box in a Python worker that has the pixels at hand."""
+    if len(box) != 4 or not all(math.isfinite(x) for x in box):
+        return None
+    x1, y1, x2, y2 = box
+    bw, bh = x2 - x1, y2 - y1
+    left, top, right, bottom = x1 - bw * expand, y1 - bh * expand, x2 + bw * expand, y2 + bh * expand
+    half = max(right - left, bottom - top) / 2
+    cx, cy = (left + right) / 2, (top + bottom) / 2
+    ix1, iy1 = max(0, round(cx - half)), max(0, round(cy - half))
+    ix2, iy2 = min(width, round(cx + half)), min(height, round(cy + half))
+    cw, ch = ix2 - ix1, iy2 - iy1
+    side = max(cw, ch)
+    return {"ix1": ix1, "iy1": iy1, "ix2": ix2, "iy2": iy2, "side_px": side, "off_x": (side - cw) // 2, "off_y": (side - ch) // 2}

@@ -13,10 +13,9 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from corpusloom.functions.geometry import CROP_SIZE, PADDING, crop
-from corpusloom.operators.detections import CONFIDENCE, DOG_CLASS, best, wanted
+from corpusloom.functions.geometry import CROP_SIZE, PADDING, crop_window
+from corpusloom.operators.detections import CONFIDENCE, DOG_CLASS
 
 # Images of a batch, the patch size that an input must be a multiple of, and the colour means and deviations.
 BATCH, PATCH = 32, 14
@@ -34,11 +33,11 @@ class Encoder(Protocol):
     """Turns images into vectors."""
 
     def encode_batch(self, images: list[np.ndarray]) -> np.ndarray:
-        """A row of length 1 per image."""
+        """A row of length 1 per image. With an attribute ``takes_prepared`` that is true, images come as ``prepared``."""
 
 
 def resize(image: np.ndarray, size: int) -> np.ndarray:
-    """Bilinear, with pixel centres at half positions and edges repeated; float64."""
+    """Bilinear between the nearest pixels, with pixel centres at half positions and edges repeated, as encoders take their input; float64."""
     out = image.astype(float)
     for axis in (0, 1):
         n = out.shape[axis]
@@ -49,6 +48,41 @@ def resize(image: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _weights(kernel: Callable[[np.ndarray], np.ndarray], support: float, n: int, size: int) -> np.ndarray:
+    """(output, input): whole-numbered weights of a filter that widens as the image shrinks, in units of 2 ** -22."""
+    scale = n / size
+    wide = max(scale, 1.0)
+    centre = (np.arange(size) + 0.5) * scale
+    first, last = np.maximum((centre - support * wide + 0.5).astype(int), 0), np.minimum((centre + support * wide + 0.5).astype(int), n)
+    at = np.arange(n)[None]
+    w = np.where((at >= first[:, None]) & (at < last[:, None]), kernel((at + 0.5 - centre[:, None]) / wide), 0.0)
+    w = w / w.sum(1, keepdims=True) * (1 << 22)
+    return np.where(w < 0, np.ceil(w - 0.5), np.floor(w + 0.5))
+
+
+def triangle(x: np.ndarray) -> np.ndarray:
+    """The bilinear kernel."""
+    return np.maximum(1.0 - np.abs(x), 0.0)
+
+
+def lanczos(x: np.ndarray) -> np.ndarray:
+    """The windowed sinc kernel of three lobes."""
+    return np.where(np.abs(x) < 3.0, np.sinc(x) * np.sinc(x / 3), 0.0)
+
+
+def filtered(image: np.ndarray, size: int, kernel: Callable[[np.ndarray], np.ndarray] = triangle, support: float = 1.0) -> np.ndarray:
+    """Bytes resized as image libraries do: the filter covers all pixels that an output pixel stands for, across first, then down, rounded after each."""
+    out = image
+    for axis in (1, 0):
+        if out.shape[axis] == size:
+            continue
+        w = _weights(kernel, support, out.shape[axis], size)
+        sums = np.tensordot(w, out.astype(float), ([1], [axis]))  # whole numbers below 2 ** 53
+        out = np.clip(np.floor((sums + (1 << 21)) / (1 << 22)), 0, 255).astype(np.uint8)
+        out = np.moveaxis(out, 0, axis)
+    return out
+
+
 def prepared(image: np.ndarray, size: int = CROP_SIZE) -> np.ndarray:
     """An encoder's input: resized, as shares of 255, without mean and deviation; channels first."""
     if size % PATCH:
@@ -61,48 +95,84 @@ def cut_out(image: np.ndarray, window: dict, size: int = CROP_SIZE) -> np.ndarra
     part = image[window["iy1"] : window["iy2"], window["ix1"] : window["ix2"]]
     square = np.full((window["side_px"], window["side_px"], 3), PADDING, np.uint8)
     square[window["off_y"] : window["off_y"] + part.shape[0], window["off_x"] : window["off_x"] + part.shape[1]] = part
-    return np.clip(np.rint(resize(square, size)), 0, 255).astype(np.uint8)
+    return filtered(square, size)
 
 
-def _image(row: pd.Series) -> np.ndarray:
+def _image(row: dict) -> np.ndarray:
     return np.frombuffer(row["rgb"], np.uint8).reshape(int(row["height"]), int(row["width"]), 3)
 
 
+def _best(found: list, confidence: float) -> tuple[float, list[float]] | None:
+    """The confidence and box of the most confident object of the class, the first of equals."""
+    own = [(-conf, i, box) for i, (c, conf, box) in enumerate(found) if c == DOG_CLASS and conf >= confidence]
+    return (-min(own)[0], [float(x) for x in min(own)[2]]) if own else None
+
+
+def _encoded(own: Encoder, images: list[np.ndarray], size: int, dim: int | None) -> list[np.ndarray]:
+    """The vectors of some images, BATCH at a time; ValueError unless there is one of length 1 (and ``dim`` numbers) for each."""
+    if getattr(own, "takes_prepared", False):
+        images = [prepared(i, size) for i in images]
+    out: list[np.ndarray] = []
+    for at in range(0, len(images), BATCH):
+        part = np.asarray(own.encode_batch(images[at : at + BATCH]), np.float32)
+        if part.ndim != 2 or len(part) != len(images[at : at + BATCH]) or (dim is not None and part.shape[1] != dim):
+            raise ValueError(f"the encoder gave {part.shape} for {len(images[at : at + BATCH])} images")
+        if not np.allclose(np.linalg.norm(part, axis=1), 1, atol=1e-3):
+            raise ValueError("the encoder's vectors are not of length 1")
+        out += list(part)
+    return out
+
+
 def detect(images: DataFrame, model: Callable[[], Detector]) -> DataFrame:
     """(path, class_id, idx, conf, bbox): a row per object of ``images`` (path, height, width, rgb); undecoded images have none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = model()
         for frame in frames:
-            rows = [(r["path"], c, i, conf, list(box)) for _, r in frame.iterrows() if r["rgb"] is not None for i, (c, conf, box) in enumerate(own.detect(_image(r)))]
+            there = frame[frame["rgb"].notna()].to_dict("records")
+            rows = [(r["path"], c, i, conf, list(box)) for r in there for i, (c, conf, box) in enumerate(own.detect(_image(r)))]
             yield pd.DataFrame(rows, columns=["path", "class_id", "idx", "conf", "bbox"])
 
     return images.select("path", "height", "width", "rgb").mapInPandas(run, "path string, class_id int, idx int, conf double, bbox array<double>")
 
 
-def encode(images: DataFrame, model: Callable[[], Encoder], size: int = CROP_SIZE) -> DataFrame:
-    """``images`` (path, height, width, rgb[, crop]) as (path, embedding); with a crop column, of the crop. Undecoded ones are left out."""
+def encode(images: DataFrame, model: Callable[[], Encoder], size: int = CROP_SIZE, dim: int | None = None) -> DataFrame:
+    """``images`` (path, height, width, rgb[, crop]) as (path, embedding); with a crop column, of the crop. Undecoded ones are left out.
+
+    An encoder that gives anything but a vector of length 1 (and of ``dim`` numbers) for each image ends in a ValueError.
+    """
     cropped = "crop" in images.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = model()
         for frame in frames:
-            frame = frame[frame["rgb"].notna() & (frame["crop"].notna() if cropped else True)]
-            for at in range(0, len(frame), BATCH):
-                part = frame.iloc[at : at + BATCH]
-                images_ = [cut_out(_image(r), r["crop"], size) if cropped else _image(r) for _, r in part.iterrows()]
-                yield pd.DataFrame({"path": part["path"].to_numpy(), "embedding": [v.astype(np.float32) for v in own.encode_batch(images_)]})
+            rows = frame[frame["rgb"].notna() & (frame["crop"].notna() if cropped else True)].to_dict("records")
+            images_ = [cut_out(_image(r), r["crop"], size) if cropped else _image(r) for r in rows]
+            yield pd.DataFrame({"path": [r["path"] for r in rows], "embedding": _encoded(own, images_, size, dim)})
 
     columns = ["path", "height", "width", "rgb", *(["crop"] if cropped else [])]
     return images.select(*columns).mapInPandas(run, "path string, embedding array<float>")
 
 
-def embed_best(images: DataFrame, detector: Callable[[], Detector], encoder: Callable[[], Encoder], confidence: float = CONFIDENCE, size: int = CROP_SIZE) -> DataFrame:
-    """(path, conf, embedding) of every image: of the crop around its most confident object of the class; null where there is none."""
-    found = best(wanted(detect(images, detector), confidence).withColumnRenamed("path", "image_id")).withColumnRenamed("image_id", "path")
-    crops = images.join(found, "path").withColumn("crop", crop(F.col("bbox"), F.col("width"), F.col("height")))
-    vectors = encode(crops, encoder, size)
-    return images.select("path").join(found.select("path", "conf"), "path", "left").join(vectors, "path", "left")
+def embed_best(
+    images: DataFrame, detector: Callable[[], Detector], encoder: Callable[[], Encoder], confidence: float = CONFIDENCE, size: int = CROP_SIZE, dim: int | None = None
+) -> DataFrame:
+    """(path, conf, embedding) of every image: of the crop around its most confident object of the class; null where there is none.
+
+    One pass: an image's pixels are detected in, cut and encoded by the task that decoded them, and go nowhere else.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finds, encodes = detector(), encoder()
+        for frame in frames:
+            rows = frame.to_dict("records")
+            found = [None if r["rgb"] is None else _best(finds.detect(_image(r)), confidence) for r in rows]
+            windows = [None if f is None else crop_window(f[1], int(r["width"]), int(r["height"])) for r, f in zip(rows, found)]
+            there = [i for i, w in enumerate(windows) if w is not None and w["side_px"] > 0]
+            vectors = dict(zip(there, _encoded(encodes, [cut_out(_image(rows[i]), windows[i], size) for i in there], size, dim)))
+            yield pd.DataFrame({"path": [r["path"] for r in rows], "conf": [None if f is None else f[0] for f in found], "embedding": [vectors.get(i) for i in range(len(rows))]})
+
+    return images.select("path", "height", "width", "rgb").mapInPandas(run, "path string, conf double, embedding array<float>")
 
 
 class HashDetector:
@@ -125,7 +195,8 @@ class MeanEncoder:
 
 def perceptual_hash(image: np.ndarray) -> str:
     """64 bits as hex: which of the 8 x 8 lowest cosine coefficients of the 32 x 32 grey image exceed their median."""
-    grey = resize((image.astype(float) @ np.array([0.299, 0.587, 0.114]))[..., None], 32)[..., 0]
+    grey = (image.astype(np.int64) @ np.array([19595, 38470, 7471]) + 0x8000) >> 16
+    grey = filtered(grey.astype(np.uint8), 32, lanczos, 3.0).astype(float)
     k = np.arange(32)
     basis = np.cos(np.pi * (2 * k[None] + 1) * k[:, None] / 64)
     low = (basis @ grey @ basis.T)[:8, :8]
@@ -138,7 +209,7 @@ def with_hashes(images: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            hashes = [perceptual_hash(_image(r)) if r["rgb"] is not None else None for _, r in frame.iterrows()]
+            hashes = [perceptual_hash(_image(r)) if r["rgb"] is not None else None for r in frame.to_dict("records")]
             yield pd.DataFrame({"path": frame["path"], "phash_hex": hashes})
 
     return images.select("path", "height", "width", "rgb").mapInPandas(run, "path string, phash_hex string")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 #: Buckets of about equally many different scores, within which ranks are counted in parallel; and the accuracy of their bounds.
@@ -55,3 +55,11 @@ def auroc(positives: DataFrame, negatives: DataFrame, score: str = "score") -> D
     u = F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2
     value = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.try_divide(u, F.col("n_pos") * F.col("n_neg")))
     return sums.select("n_pos", "n_neg", value.alias("auroc"))
+
+
+def some(row: Row, *counts: str) -> Row:
+    """``row``; ValueError if one of its counts is 0, as rates of nothing mean nothing."""
+    for name in counts:
+        if not row[name]:
+            raise ValueError(f"nothing to evaluate: {name} is 0")
+    return row

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.geometry import crop, label_line
+from corpusloom.functions.geometry import crop, label_line, xywh_to_xyxy
 from corpusloom.functions.names import CAT_LABEL, before_last_underscore, file_name, folder_name, stem
+from corpusloom.operators.detections import accepted, plain_annotations, strict_join
 from corpusloom.operators.quality import listed_rows
 
 # Splits of the detection export by corpus folder.
@@ -28,13 +29,47 @@ def cat_copies(manifest: DataFrame) -> DataFrame:
     return rows.select("image_id", "image_path", F.concat_ws("/", F.lit("ood"), "split", F.lit("cat"), file_name(F.col("image_path"))).alias("target"))
 
 
+def _labelled(rows: DataFrame, lines: Column, folder: Column) -> DataFrame:
+    """(image_id, image_path, target, rel_path, text): where the image and the label file of each row with a line go in the labelled tree."""
+    name = file_name(F.col("image_path"))
+    rows = rows.withColumn("lines", lines).filter(F.size("lines") > 0)
+    target = F.concat_ws("/", "source", F.lit("images"), folder, name).alias("target")
+    path = F.concat_ws("/", "source", F.lit("labels"), folder, F.concat(stem(name), F.lit(".txt"))).alias("rel_path")
+    return rows.select("image_id", "image_path", target, path, F.array_join("lines", "\n").alias("text"))
+
+
+def _line(kind: int, box: str) -> Column:
+    return F.when(F.size(box) == 4, label_line(kind, F.col(box), F.col("width"), F.col("height")))
+
+
 def label_files(manifest: DataFrame) -> DataFrame:
-    """(image_id, rel_path, text): the label file of each usable row with a box, a line per box, body first."""
-    line = lambda kind, c: F.when(F.size(c) == 4, label_line(kind, F.col(c), F.col("width"), F.col("height")))
-    lines = F.array_compact(F.array(line(0, "body_bbox"), line(1, "head_bbox")))
-    path = F.concat_ws("/", "source", F.lit("labels"), folder_name(F.col("image_path")), F.concat(stem(file_name(F.col("image_path"))), F.lit(".txt")))
-    rows = manifest.filter("usable").withColumn("lines", lines).filter(F.size("lines") > 0)
-    return rows.select("image_id", path.alias("rel_path"), F.array_join("lines", "\n").alias("text"))
+    """(image_id, image_path, target, rel_path, text): image and label file of each usable row with a box, a line per box, body first.
+
+    Oxford's rows have heads only; their bodies come from ``pseudo_label_files``.
+    """
+    rows = manifest.filter(F.col("usable") & ~F.col("source").eqNullSafe("oxford"))
+    return _labelled(rows, F.array_compact(F.array(_line(0, "body_bbox"), _line(1, "head_bbox"))), folder_name(F.col("image_path")))
+
+
+def pseudo_label_files(manifest: DataFrame, pseudo: DataFrame) -> DataFrame:
+    """The same of Oxford's rows, whose body is the pseudo box where that needs no review; the folder is the breed in the file's name. KeyError for a box of no such row."""
+    rows = manifest.filter(F.col("usable") & (F.col("source") == "oxford"))
+    rows = strict_join(accepted(pseudo).select("image_id", "pseudo_body_bbox"), rows, "image_id")
+    lines = F.array_compact(F.array(_line(0, "pseudo_body_bbox"), _line(1, "head_bbox")))
+    return _labelled(rows, lines, before_last_underscore(file_name(F.col("image_path"))))
+
+
+def annotation_label_files(images: DataFrame, annotations: DataFrame, corpus: str, present: DataFrame | None = None) -> DataFrame:
+    """(image_path, target, rel_path, text) of ``images`` (id, file_name, width, height) with plain ``annotations``, a line per box in their order.
+
+    ``present`` (file_name), if given, are the files there are; others are left out. KeyError for an annotation of no image.
+    """
+    boxes = strict_join(plain_annotations(annotations).withColumnRenamed("image_id", "id"), images, "id").withColumn("box", xywh_to_xyxy(F.col("bbox")))
+    if present is not None:
+        boxes = boxes.join(present.select("file_name").distinct(), "file_name", "left_semi")
+    lines = boxes.groupBy("id", "file_name").agg(F.sort_array(F.collect_list(F.struct("idx", _line(0, "box").alias("line")))).alias("lines"))  # the boxes of one image
+    target, path = F.concat_ws("/", F.lit(corpus), F.lit("images"), "file_name"), F.concat_ws("/", F.lit(corpus), F.lit("labels"), F.concat(stem(F.col("file_name")), F.lit(".txt")))
+    return lines.select(F.concat(F.lit("data/"), "file_name").alias("image_path"), target.alias("target"), path.alias("rel_path"), F.array_join(F.array_compact(F.col("lines.line")), "\n").alias("text"))
 
 
 def removals(dropped: DataFrame) -> DataFrame:

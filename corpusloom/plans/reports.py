@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.names import source_of
+from corpusloom.functions.names import CAT_LABEL, source_of
 
 
 def inventory(manifest: DataFrame) -> DataFrame:
@@ -66,3 +66,22 @@ def markdown(rows: DataFrame, limit: int = 1000) -> str:
     """A small table as Markdown, ``limit`` rows at most."""
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.limit(limit).collect()])
+
+
+def inventory_report(manifest: DataFrame) -> str:
+    """What the corpora hold, why rows are excluded, and the largest breeds."""
+    parts = ["# Inventory", markdown(inventory(manifest).orderBy("source")), "## Exclusions", markdown(exclusions(manifest).orderBy("source", "exclusion_reason")), "## Largest breeds", markdown(top_breeds(manifest))]
+    return "\n\n".join(parts) + "\n"
+
+
+def dedup_report(groups: DataFrame, dropped: DataFrame, removed: int | None = None) -> str:
+    """How many groups of duplicates (image_id, component) there are, what was dropped (image_id, dup_keep_id), by corpus, and how many files were removed."""
+    by_source = dropped.groupBy(source_of(F.col("image_id")).alias("source")).agg(F.count(F.lit(1)).alias("dropped")).orderBy(F.desc("dropped"), "source")
+    counts = [f"groups: {groups.select('component').distinct().count()}", f"dropped images: {dropped.count()}"] + ([] if removed is None else [f"removed files: {removed}"])
+    return "\n\n".join(["# Duplicates", "\n".join(f"- {c}" for c in counts), "## Dropped by source", markdown(by_source)]) + "\n"
+
+
+def split_report(manifest: DataFrame) -> str:
+    """The rows of the frozen set by breed and split, and the cats."""
+    listed = manifest.agg(F.count(F.when(F.col("in_mvp25"), True)).alias("listed"), F.count(F.when(F.col("canonical_breed") == CAT_LABEL, True)).alias("cats")).first()
+    return "\n\n".join(["# Splits", f"- images: {listed['listed']}\n- cats: {listed['cats']}", markdown(split_table(manifest).orderBy("canonical_breed"))]) + "\n"

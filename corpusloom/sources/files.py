@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import os
+import re
 import struct
 import xml.etree.ElementTree as ET
+import zlib
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,9 +38,12 @@ def binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def relative(path: Column, root: str) -> Column:
-    """The path below ``root``."""
-    name = root.rstrip("/").rsplit("/", 1)[-1]
-    return F.regexp_replace(path, f"^.*?/{name}/", "") if root else path
+    """The path below ``root``, whatever folders further up are called; scheme and host may be spelled on either side."""
+    bare = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root)
+    if bare == root:
+        bare = os.path.abspath(root)
+    inner = "/+".join(re.escape(p) for p in bare.split("/") if p)
+    return F.regexp_replace(path, rf"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?/*{inner}/+", "") if root else path
 
 
 def class_folders(spark: SparkSession, root: str) -> DataFrame:
@@ -47,10 +56,27 @@ def class_folders(spark: SparkSession, root: str) -> DataFrame:
     return files.filter((F.size(F.split("rel", "/")) == 2) & kind.isin(*EXTENSIONS)).select("path", F.split("rel", "/")[0].alias("label"), "content")
 
 
+def _verify_chunks(data: bytes) -> None:
+    """Every chunk of a PNG file up to its end is there and has its checksum."""
+    at = 8
+    while True:
+        if at + 12 > len(data):
+            raise OSError("truncated")
+        size = struct.unpack(">I", data[at : at + 4])[0]
+        if data[at + 4 : at + 8] == b"IEND":
+            return
+        if at + 12 + size > len(data):
+            raise OSError("truncated")
+        if zlib.crc32(data[at + 4 : at + 8 + size]) != struct.unpack(">I", data[at + 8 + size : at + 12 + size])[0]:
+            raise SyntaxError("wrong checksum")
+        at += 12 + size
+
+
 def _size(data: bytes | None) -> tuple[int, int]:
     if not data:
         raise EOFError
     if data[:8] == b"\x89PNG\r\n\x1a\n":
+        _verify_chunks(data)
         return struct.unpack(">II", data[16:24])
     if data[:2] == b"BM":
         w, h = struct.unpack("<ii", data[18:26])
@@ -91,7 +117,7 @@ _BOXES = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Stru
 
 @F.pandas_udf(_SIZE)
 def image_size(content: pd.Series) -> pd.DataFrame:
-    """Width and height from the file's header; 0, 0 and corrupt_image:<fault> if it can't be read."""
+    """Width and height from the file's header; 0, 0 and corrupt_image:<fault> if it can't be read. PNG files are verified to their end, as they carry checksums."""
     rows = []
     for data in content:
         try:
@@ -186,21 +212,26 @@ def scan_folders_by_count(spark: SparkSession, images: str, notes: str, source:
 
 
 def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(images, annotations) of a labels document; flags that no annotation has come out null."""
+    """(images, annotations) of a labels document, annotations with their place (idx) in it; flags that no annotation has come out null."""
     note = "struct<image_id:bigint,bbox:array<double>,IsGroupOf:string,IsDepiction:string>"
     doc = spark.read.schema(f"images array<struct<id:bigint,file_name:string,width:int,height:int>>, annotations array<{note}>").json(path, multiLine=True)
-    return doc.select(F.inline("images")), doc.select(F.inline("annotations"))
+    return doc.select(F.inline("images")), doc.select(F.posexplode("annotations").alias("idx", "a")).select("a.*", "idx")
 
 
-def orientation(data: bytes | None) -> int:
-    """The orientation tag of a JPEG, 1 to 8; 1 where there is none."""
-    if not data or data[:2] != b"\xff\xd8":
+def orientation(data: bytes | BinaryIO | None) -> int:
+    """The orientation tag of a JPEG, 1 to 8; 1 where there is none. Of an open file only the segments' heads and the tags are read."""
+    source = io.BytesIO(data or b"") if data is None or isinstance(data, (bytes, bytearray)) else data
+    if source.read(2) != b"\xff\xd8":
         return 1
     at = 2
-    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
-        size = struct.unpack(">H", data[at + 2 : at + 4])[0]
-        if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
-            tags = data[at + 10 : at + 2 + size]
+    while True:
+        source.seek(at)
+        head = source.read(10)
+        if len(head) < 4 or head[0] != 0xFF or head[1] == 0xDA:
+            return 1
+        size = struct.unpack(">H", head[2:4])[0]
+        if head[1] == 0xE1 and head[4:10] == b"Exif\0\0":
+            tags = source.read(max(size - 8, 0))
             order = "<" if tags[:2] == b"II" else ">"
             try:
                 first = struct.unpack(f"{order}I", tags[4:8])[0]
@@ -212,7 +243,6 @@ def orientation(data: bytes | None) -> int:
             except struct.error:
                 return 1
         at += 2 + size
-    return 1
 
 
 def upright(image: np.ndarray, tag: int) -> np.ndarray:
@@ -225,28 +255,56 @@ def upright(image: np.ndarray, tag: int) -> np.ndarray:
 _PIXELS = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("rgb", T.BinaryType())])
 
 
+def _opened(path: str) -> BinaryIO:
+    """A file of the shared storage, for reading here and there."""
+    source, at = pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "file:///", path)))
+    return source.open_input_file(at)
+
+
 @F.pandas_udf(_PIXELS)
-def _decoded(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series, tag: pd.Series) -> pd.DataFrame:
+def _decoded(path: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
     rows = []
-    for h, w, n, raw, turn in zip(height, width, channels, data, tag):
+    for at, h, w, n, raw in zip(path, height, width, channels, data):
         if n not in (1, 3, 4) or not raw:
             rows.append((None, None, None))
             continue
+        with _opened(at) as source:
+            turn = orientation(source)
         x = np.frombuffer(raw, np.uint8).reshape(h, w, n)
-        x = upright(np.repeat(x, 3, 2) if n == 1 else x[:, :, 2::-1], int(turn or 1))
+        x = upright(np.repeat(x, 3, 2) if n == 1 else x[:, :, 2::-1], turn)
         rows.append((x.shape[0], x.shape[1], np.ascontiguousarray(x).tobytes()))
     return pd.DataFrame(rows, columns=["height", "width", "rgb"])
 
 
-@F.pandas_udf(T.IntegerType())
-def _orientations(head: pd.Series) -> pd.Series:
-    return head.map(orientation)
-
+def pixels(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """(path, height, width, rgb): decoded images, upright, channels in the order red, green, blue; nulls where an image can't be decoded.
 
-def pixels(spark: SparkSession, root: str) -> DataFrame:
-    """(path, height, width, rgb): decoded images, upright, channels in the order red, green, blue; nulls where an image can't be decoded."""
-    path = lambda c: F.regexp_replace(c, "^file:/+", "file:/").alias("path")  # noqa: E731  # as the other readers spell it
-    rows = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(root).select("image.*")
-    heads = binary(spark, root).select(path("path"), _orientations(F.substring("content", 1, 1 << 17)).alias("tag"))
-    rows = rows.select(path("origin"), "height", "width", "nChannels", "data").join(heads, "path", "left")
-    return rows.select("path", _decoded("height", "width", "nChannels", "data", "tag").alias("p")).select("path", "p.*")
+    ``paths``, if given, are the only files that are read. Files are decoded once; of each only the segments' heads are read again, for the
+    orientation, by the task that has its pixels: nothing is joined or shuffled.
+    """
+    reader = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false")
+    rows = reader.load(root if paths is None else paths).select("image.*")
+    rows = rows.select(F.regexp_replace("origin", "^file:/+", "file:/").alias("path"), "height", "width", "nChannels", "data")  # as the other readers spell it
+    return rows.select("path", _decoded("path", "height", "width", "nChannels", "data").alias("p")).select("path", "p.*")
+
+
+def low_folder(spark: SparkSession, root: str) -> str:
+    """The first folder below ``root`` whose name begins with "low", in any case, and has no "annot" in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    names = sorted(f.getPath().getName() for f in found if f.isDirectory())
+    for name in names:
+        if name.lower().startswith("low") and "annot" not in name.lower():
+            return f"{root.rstrip('/')}/{name}"
+    raise FileNotFoundError(f"no folder of small images in {root}")
+
+
+def scan_all(spark: SparkSession, raw: str) -> DataFrame:
+    """One manifest of the three corpora below ``raw``, each laid out as its publishers do."""
+    low = low_folder(spark, f"{raw}/tsinghua")
+    parts = [
+        scan_folders_by_id(spark, f"{raw}/stanford/Images", f"{raw}/stanford/Annotation"),
+        scan_flat(spark, f"{raw}/oxford/images", f"{raw}/oxford/annotations/xmls"),
+        scan_folders_by_count(spark, low, f"{raw}/tsinghua/annotations/Low-Annotations"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

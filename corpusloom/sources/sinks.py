@@ -58,6 +58,13 @@ def write_files(files: DataFrame, root: str) -> None:
     files.select("rel_path", "text").filter("rel_path IS NOT NULL AND text IS NOT NULL").foreachPartition(write)
 
 
+def write_report(text: str, path: str) -> None:
+    """A report as a file of the driver's."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+
+
 def link_files(files: DataFrame, source: str, root: str) -> int:
     """Link (image_path, target) below ``source`` to below ``root``, by hard link or, between file systems, by copy; how many were there.
 

@@ -202,3 +202,143 @@ def test_arrays_links_and_crops(spark, tmp_path):
     assert sinks.write_crops(crops.unionByName(broken), f"{root}/crops", 28) == (1, 1)
     row = files.pixels(spark, f"{root}/crops").first()
     assert (row.height, row.width) == (28, 28) and bytes(row.rgb[14 * 28 * 3 + 42 : 14 * 28 * 3 + 45]) == bytes((200, 10, 10))
+
+
+def test_root_named_like_a_folder_above(spark, tmp_path):
+    root = str(tmp_path / "train" / "a.b (c)" / "train")
+    put(f"{root}/pug/1.jpg", "x")
+    put(f"{root}/train/2.jpg", "x")
+    for spelled in (root, f"file:{root}", f"file://{root}/"):
+        assert sorted(r.label for r in files.class_folders(spark, spelled).select("label").collect()) == ["pug", "train"]
+
+
+def test_whole_images_are_verified(spark, tmp_path):
+    png(f"{tmp_path}/a.png", 30, 20, (1, 2, 3))
+    whole = open(f"{tmp_path}/a.png", "rb").read()
+    broken = bytearray(whole)
+    broken[45] ^= 1
+    df = spark.createDataFrame([(0, bytearray(whole)), (1, bytearray(whole[:-20])), (2, broken)], "i int, c binary").select("i", files.image_size("c").alias("s"))
+    assert [tuple(r.s) for r in df.orderBy("i").collect()] == [(30, 20, None), (0, 0, "corrupt_image:OSError"), (0, 0, "corrupt_image:SyntaxError")]
+
+
+def test_orientation_far_into_a_file(spark, tmp_path):
+    tags = b"Exif\0\0" + b"II*\0" + struct.pack("<IHHHIHH", 8, 1, 0x0112, 3, 1, 6, 0)
+    filler = b"\xff\xe2\xff\xff" + b"\0" * 65533
+    jpeg = b"\xff\xd8" + filler * 5 + b"\xff\xe1" + struct.pack(">H", len(tags) + 2) + tags + b"\xff\xda"
+    with open(tmp_path / "x.jpg", "wb") as f:
+        f.write(jpeg)
+    assert files.orientation(jpeg) == 6
+    with open(tmp_path / "x.jpg", "rb") as f:
+        assert files.orientation(f) == 6
+
+
+def test_filtered_resizing():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 256, (40, 40, 3)).astype(np.uint8)
+    assert (inference.filtered(x, 40) == x).all() and (inference.filtered(np.full((90, 70, 3), 7, np.uint8), 30) == 7).all()
+    # to a half, the widened triangle weighs the four nearest 1, 3, 3, 1
+    row = np.tile(np.arange(0, 80, 2, dtype=np.uint8)[None, :, None], (40, 1, 3))
+    row[:, 20] = 200
+    half = inference.filtered(row, 20)[5, :, 0].astype(int)
+    line = row[0, :, 0].astype(float)
+    want = [np.floor((line[2 * k - 1] + 3 * line[2 * k] + 3 * line[2 * k + 1] + line[2 * k + 2]) / 8 + 0.5) for k in range(1, 19)]
+    assert np.abs(half[1:19] - want).max() <= 1
+    # to the double, it is the ordinary bilinear
+    assert np.abs(inference.filtered(x, 80).astype(int) - np.rint(inference.resize(x, 80))).max() <= 1
+
+
+def test_crop_windows_agree(spark):
+    from corpusloom.functions import geometry
+
+    rng = np.random.default_rng(2)
+    boxes = [[float(v) for v in np.round(rng.uniform(-20, 120, 4) * 2) / 2] for _ in range(200)] + [[1.0, 2.0, float("nan"), 3.0], [1.0, 2.0]]
+    df = spark.createDataFrame([(i, b, 100, 80) for i, b in enumerate(boxes)], "i int, b array<double>, w int, h int")
+    for r in df.select("i", geometry.crop(F.col("b"), F.col("w"), F.col("h")).alias("c")).collect():
+        assert (r.c.asDict() if r.c else None) == geometry.crop_window(boxes[r.i], 100, 80)
+
+
+class Poor:
+    def __init__(self, scale=1.0):
+        self.scale = scale
+
+    def encode_batch(self, images):
+        return np.ones((len(images), 4)) * self.scale
+
+
+def test_encoders_are_checked():
+    images = [np.zeros((4, 4, 3), np.uint8)] * 40
+    assert len(inference._encoded(Poor(0.5), images, 28, 4)) == 40 and inference._encoded(Poor(0.5), [], 28, 4) == []
+    for model, dim in ((Poor(1.0), 4), (Poor(0.5), 384)):
+        with pytest.raises(ValueError):
+            inference._encoded(model, images, 28, dim)
+    seen = []
+    model = Poor(0.5)
+    model.takes_prepared = True
+    model.encode_batch = lambda x: seen.append(x[0].shape) or np.full((len(x), 4), 0.5)
+    inference._encoded(model, images[:1], 28, 4)
+    assert seen == [(3, 28, 28)]
+
+
+def test_curation_commands(spark, tmp_path, capsys):
+    raw, out = str(tmp_path / "raw"), str(tmp_path)
+    for k in range(8):
+        png(f"{raw}/stanford/Images/n1-pug/{k}.jpg", 40 + k, 40, (30 * k, 9, 9))
+        put(f"{raw}/stanford/Annotation/n1-pug/{k}", voc("bndbox", (5, 5, 20, 20)))
+    png(f"{raw}/oxford/images/pug_1.jpg", 44, 40, (200, 9, 90))
+    png(f"{raw}/oxford/images/Bengal_2.jpg", 30, 30, (1, 99, 90))
+    png(f"{raw}/oxford/images/Bengal_3.jpg", 31, 30, (1, 99, 9))
+    put(f"{raw}/oxford/annotations/xmls/pug_1.xml", voc("bndbox", (1, 1, 9, 9)))
+    png(f"{raw}/tsinghua/Low-Annotations/x/y.jpg", 3, 3, (1, 1, 1))
+    png(f"{raw}/tsinghua/low-resolution/9-n1-pug/z.jpg", 40, 40, (0, 9, 9))  # a copy of stanford's first
+    put(f"{raw}/tsinghua/annotations/Low-Annotations/9-n1-pug/z.jpg.xml", voc("bodybndbox", (5, 5, 20, 20)))
+    cli.main(["inventory", "--raw", raw, "--out", f"{out}/m1", "--report", f"{out}/r/inventory.md"])
+    manifest = spark.read.parquet(f"{out}/m1")
+    assert manifest.count() == 12 and manifest.filter("usable").count() == 10
+    assert "| tsinghua | 1 |" in open(f"{out}/r/inventory.md").read()
+    cli.main(["pairs", "--manifest", f"{out}/m1", "--raw", raw, "--out", f"{out}/p"])
+    none = spark.createDataFrame([], "id_a string, id_b string, hamming int")
+    none.write.parquet(f"{out}/none")
+    cli.main(["dedup", "--manifest", f"{out}/m1", "--pairs", f"{out}/none", "--out", f"{out}/m2", "--report", f"{out}/r/dedup.md"])
+    assert "dropped images: 1" in open(f"{out}/r/dedup.md").read()
+    gone = spark.read.parquet(f"{out}/m2").filter("exclusion_reason = 'exact_duplicate'").first()
+    assert (gone.image_id, gone.dup_keep_id) == ("tsinghua/9-n1-pug/z.jpg", "stanford/n1-pug/0.jpg")
+    cli.main(["taxonomy", "--manifest", f"{out}/m2", "--out", f"{out}/m3", "--csv", f"{out}/tax"])
+    cli.main(["split", "--manifest", f"{out}/m3", "--pairs", f"{out}/none", "--out", f"{out}/m4", "--splits", f"{out}/s", "--report", f"{out}/r/split.md"])
+    made = spark.read.parquet(f"{out}/m4")
+    assert made.filter("in_mvp25 AND split IS NULL").count() == 0 and {r.split for r in made.filter("canonical_breed = '__CAT_OOD__'").collect()} == {"val", "test"}
+    assert "| pug |" in open(f"{out}/r/split.md").read()
+    spark.createDataFrame([("oxford/pug_1.jpg", [2.0, 2.0, 22.0, 22.0], 0.9, 1, False)], "image_id string, pseudo_body_bbox array<double>, conf double, n_det int, needs_review boolean").write.parquet(f"{out}/pseudo")
+    plain = made.withColumn("image_path", F.regexp_replace("image_path", "^file:/+", "/"))
+    plain.write.parquet(f"{out}/m5")
+    cli.main(["label", "--manifest", f"{out}/m5", "--pseudo", f"{out}/pseudo", "--tree", f"{out}/tree"])
+    assert open(f"{out}/tree/oxford/labels/pug/pug_1.txt").read().splitlines()[0].startswith("0 0.272727") and len(open(f"{out}/tree/oxford/labels/pug/pug_1.txt").read().splitlines()) == 2
+    assert os.path.exists(f"{out}/tree/stanford/images/n1-pug/3.jpg") and os.path.exists(f"{out}/tree/stanford/labels/n1-pug/3.txt")
+    cli.main(["export", "--manifest", f"{out}/m4", "--raw", raw, "--out", f"{out}/crops"])
+    said = capsys.readouterr().out
+    assert "9 crops, 0 failed" in said
+    with pytest.raises(KeyError):
+        exports.pseudo_label_files(made, spark.read.parquet(f"{out}/pseudo").withColumn("image_id", F.lit("oxford/none.jpg")))
+
+
+def test_labels_from_annotations(spark, tmp_path):
+    base = str(tmp_path / "base")
+    doc = {
+        "images": [{"id": 1, "file_name": "a.jpg", "width": 10, "height": 20}, {"id": 2, "file_name": "b.jpg", "width": 10, "height": 10}, {"id": 3, "file_name": "gone.jpg", "width": 9, "height": 9}],
+        "annotations": [{"image_id": 1, "bbox": [5, 10, 5, 10]}, {"image_id": 2, "bbox": [0, 0, 5, 5], "IsGroupOf": True}, {"image_id": 1, "bbox": [0, 0, 5, 10]}, {"image_id": 3, "bbox": [0, 0, 5, 5]}],
+    }
+    put(f"{base}/labels.json", json.dumps(doc))
+    png(f"{base}/data/a.jpg", 10, 20, (1, 2, 3))
+    png(f"{base}/data/b.jpg", 10, 10, (1, 2, 3))
+    cli.main(["label-coco", "--base", base, "--corpus", "open_images/train", "--tree", f"{tmp_path}/tree"])
+    assert open(f"{tmp_path}/tree/open_images/train/labels/a.txt").read() == "0 0.750000 0.750000 0.500000 0.500000\n0 0.250000 0.250000 0.500000 0.500000"
+    assert os.listdir(f"{tmp_path}/tree/open_images/train/labels") == ["a.txt"] and os.path.exists(f"{tmp_path}/tree/open_images/train/images/a.jpg")
+
+
+def test_nothing_to_evaluate(spark, tmp_path):
+    from corpusloom.plans import evaluation
+
+    none = spark.createDataFrame([], "rank int, score double")
+    with pytest.raises(ValueError):
+        evaluation.some(evaluation.hit_rates(none).first(), "n")
+    with pytest.raises(ValueError):
+        evaluation.some(evaluation.auroc(none, spark.createDataFrame([(0.5,)], "score double")).first(), "n_pos", "n_neg")
