@@ -20,20 +20,21 @@ from corpusloom.llm.tokens import TOKENIZERS, count_tokens
 from corpusloom.operators.skew import ranked, skew_join
 from corpusloom.session import Scratch
 
-#: Newton iterations at most, relative error at which they end, and roundings that are tried.
-ROUNDS, CLOSE, OFFSETS = 60, 1e-9, 64
+#: Newton iterations beyond which something is wrong, relative error at which they end, and roundings that are tried.
+ROUNDS, CLOSE, OFFSETS = 300, 1e-9, 64
 #: Most sources that a mix may have.
 MAX_SOURCES = 10_000
 
 
-def _by_source(values: dict[str, float]) -> Column:
-    """The value of the row's source."""
-    table = F.create_map(*[x for s, v in values.items() for x in (F.lit(s), F.lit(float(v)))])
-    return F.element_at(table, F.col("source"))
+def _known(df: DataFrame, name: str, values: dict[str, float]) -> DataFrame:
+    """``df`` with the value of the row's source in ``name``; rows of other sources are left out. MAX_SOURCES bounds what is broadcast."""
+    table = df.sparkSession.createDataFrame([(s, float(v)) for s, v in values.items()], f"source string, `{name}` double")
+    return df.join(F.broadcast(table), "source")
 
 
-def _rate(tilt: dict[str, float], mean: dict[str, float], most: dict[str, float]) -> Column:
-    return F.least(_by_source(most), F.exp(F.least(F.lit(700.0), _by_source(tilt) * F.col("n_tokens") / _by_source(mean))))
+def _rate() -> Column:
+    """The rate of a row with tilt, mean and most."""
+    return F.least("most", F.exp(F.least(F.lit(700.0), F.col("tilt") * F.col("n_tokens") / F.col("mean"))))
 
 
 def budgets(have: dict[str, float], targets: dict[str, tuple[float, int]], total: float | None) -> dict[str, float]:
@@ -57,16 +58,17 @@ def tilts(sizes: DataFrame, want: dict[str, float], have: dict[str, float], mean
     done = {s for s in want if want[s] >= have[s] * most[s] * (1 - 1e-12)}
     tilt |= dict.fromkeys(done, math.inf)
     low, high = dict.fromkeys(want, -math.inf), dict.fromkeys(want, math.inf)
+    sizes = _known(_known(sizes, "mean", mean), "most", most)
     for _ in range(ROUNDS):
-        open_ = [s for s in want if s not in done]
+        open_ = {s: tilt[s] for s in want if s not in done}
         if not open_:
-            break
-        rate, x = _rate({s: tilt[s] for s in open_}, mean, most), F.col("n_tokens") / _by_source(mean)
-        tokens = F.col("documents") * F.col("n_tokens") * rate
-        sums = sizes.filter(F.col("source").isin(open_)).groupBy("source").agg(F.sum(tokens), F.sum(F.when(rate < _by_source(most), tokens * x).otherwise(0.0)))
+            return tilt
+        tokens = F.col("documents") * F.col("n_tokens") * F.col("rate")
+        rated = _known(sizes, "tilt", open_).withColumn("rate", _rate())
+        sums = rated.groupBy("source").agg(F.sum(tokens), F.sum(F.when(F.col("rate") < F.col("most"), tokens * F.col("n_tokens") / F.col("mean")).otherwise(0.0)))
         for s, got, slope in sums.collect():
             miss = got - want[s]
-            if abs(miss) <= CLOSE * want[s]:
+            if abs(miss) <= CLOSE * want[s] or high[s] - low[s] <= 1e-14 * abs(tilt[s]):  # or as near as numbers are
                 done.add(s)
                 continue
             if miss > 0:
@@ -78,7 +80,7 @@ def tilts(sizes: DataFrame, want: dict[str, float], have: dict[str, float], mean
             if not low[s] < step < high[s]:
                 step = (low[s] + high[s]) / 2 if math.isfinite(low[s]) and math.isfinite(high[s]) else (high[s] - max(1.0, abs(high[s])) if miss > 0 else low[s] + max(1.0, abs(low[s])))
             tilt[s] = step
-    return tilt
+    raise ArithmeticError(f"no rates after {ROUNDS} iterations for {sorted(set(want) - done)}")
 
 
 def mix(docs: DataFrame, targets: dict[str, tuple[float, int]], scratch: Scratch, total: float | None = None) -> DataFrame:
@@ -99,16 +101,16 @@ def mix(docs: DataFrame, targets: dict[str, tuple[float, int]], scratch: Scratch
         return used.withColumn("copies", F.lit(0).cast("bigint")).limit(0)
     most = {s: float(targets[s][1]) for s in want}
     tilt = tilts(sizes, want, have, mean, most)
-    rated = sizes.filter(F.col("source").isin(list(want))).withColumn("uses", F.col("documents") * _rate(tilt, mean, most))
+    rated = _known(_known(_known(_known(sizes, "want", want), "tilt", tilt), "mean", mean), "most", most).withColumn("uses", F.col("documents") * _rate())
     upto = F.sum("uses").over(Window.partitionBy("source").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, 0))
-    rated = scratch.put(rated.withColumn("upto", F.round(upto, 9)).withColumn("from", F.coalesce(F.lag("upto").over(Window.partitionBy("source").orderBy("n_tokens")), F.lit(0.0))), "rated")
+    rated = rated.withColumn("upto", F.round(upto, 9)).withColumn("from", F.coalesce(F.lag("upto").over(Window.partitionBy("source").orderBy("n_tokens")), F.lit(0.0)))
+    rated = scratch.put(rated.select("source", "n_tokens", "documents", "want", "upto", "from"), "rated")
     share = lambda o: F.floor(F.col("upto") + o) - F.floor(F.col("from") + o)
     tried = rated.withColumn("offset", F.explode(F.array(*[F.lit((k + 0.5) / OFFSETS) for k in range(OFFSETS)])))
-    tried = tried.groupBy("source", "offset").agg(F.sum(F.col("n_tokens") * share(F.col("offset"))).alias("tokens"))
-    best = tried.groupBy("source").agg(F.min(F.struct(F.abs(F.col("tokens") - _by_source(want)).alias("miss"), "offset"))["offset"].alias("offset"))
-    offsets = dict(map(tuple, best.collect()))
+    tried = tried.groupBy("source", "offset", "want").agg(F.sum(F.col("n_tokens") * share(F.col("offset"))).alias("tokens"))
+    best = tried.groupBy("source").agg(F.min(F.struct(F.abs(F.col("tokens") - F.col("want")).alias("miss"), "offset"))["offset"].alias("offset"))
     cell = F.concat_ws(" ", "source", "n_tokens").alias("cell")
-    whole = rated.withColumn("whole", share(_by_source(offsets))).select(cell, "documents", "whole")
+    whole = rated.join(best, "source").withColumn("whole", share(F.col("offset"))).select(cell, "documents", "whole")  # a row a source
     drawn = skew_join(ranked(used.withColumn("cell", cell), ["cell"], F.col("doc_id")), whole, "cell")
     each, rest = F.expr("whole div documents"), F.expr("whole % documents")
     copies = (each + (F.col("rank") < rest).cast("int")).cast("bigint").alias("copies")
@@ -147,4 +149,20 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("share", F.round(F.try_divide("tokens", F.sum("tokens").over(Window.partitionBy(F.lit(1)))), 6))
 
 
-QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares}
+def p8_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """What the mix must keep, counted: documents used too often or not at all, sources without a target, and sources that can, but miss their share by more than a thousandth and one document."""
+    docs, targets, mixed = _mixed(spark, sf)
+    used = mixed.join(targets, "source", "left")
+    got = mixed.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"), F.max("n_tokens").alias("largest"))
+    able = targets.filter("target_share > 0 AND max_repeat >= 1").join(docs.filter("n_tokens > 0").select("source").distinct(), "source", "left_semi").join(got, "source", "left")
+    every = Window.partitionBy(F.lit(1))  # a row a source
+    total = F.sum("tokens").over(every)
+    miss = F.abs(F.coalesce("tokens", F.lit(0)) / total - F.col("target_share") / F.sum("target_share").over(every))
+    off = able.withColumn("off", miss > 0.001 + F.coalesce("largest", F.lit(0)) / total).agg(F.count(F.when(F.col("off"), True)).alias("off"))
+    counted = used.agg(F.count(F.when(F.col("copies") > F.col("max_repeat"), True)).alias("too_often"), F.count(F.when(F.col("copies") < 1, True)).alias("unused"), F.count(F.when(F.col("target_share").isNull(), True)).alias("untargeted"))
+    return counted.crossJoin(off)  # one row each
+
+
+QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p8_kept": p8_kept}
+
+ORACLES = {"p8_kept": "SELECT 0::BIGINT AS too_often, 0::BIGINT AS unused, 0::BIGINT AS untargeted, 0::BIGINT AS off"}

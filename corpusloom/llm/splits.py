@@ -200,9 +200,24 @@ def p5_shares(spark: SparkSession, sf: str) -> DataFrame:
     return both.withColumn("share", F.round(F.col("rows") / of, 6))
 
 
-QUERIES = {"p5_found": p5_found, "p5_splits": p5_splits, "p5_shares": p5_shares}
+def p5_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """What the new splits must keep, counted: rows, rows without one of the target splits, groups and images in more than one split, and splits that miss their overall share by a hundredth."""
+    new, targets = p5_splits(spark, sf), _targets(spark, sf)
+    manifest = spark.read.parquet(f"{sf}/master_manifest.parquet").select("rec_id", "image_id", group_name(F.col("dedup_group")).alias("group")).distinct()
+    new = Scratch(spark, "p5-kept").put(new, "new")
+    rows = skew_join(manifest, new.groupBy("rec_id").agg(F.min("split").alias("lo"), F.max("split").alias("hi")), "rec_id")
+    torn = lambda key: rows.filter(f"`{key}` IS NOT NULL").groupBy(key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").agg(F.count(F.lit(1)).alias(f"torn_{key}s"))
+    total = F.count(F.lit(1))
+    whole = sum(w for _, w in targets)
+    off = sum((F.abs(F.count(F.when(F.col("split") == s, True)) / total - w / whole) > 0.01).cast("bigint") for s, w in targets)
+    counts = new.agg(total.alias("rows"), F.count(F.when(~F.coalesce(F.col("split").isin([s for s, _ in targets]), F.lit(False)), True)).alias("unassigned"), off.alias("off"))
+    return counts.crossJoin(torn("group")).crossJoin(torn("image_id"))  # one row each
+
+
+QUERIES = {"p5_found": p5_found, "p5_splits": p5_splits, "p5_shares": p5_shares, "p5_kept": p5_kept}
 
 ORACLES = {
+    "p5_kept": "SELECT count(*) AS rows, 0::BIGINT AS unassigned, 0::BIGINT AS off, 0::BIGINT AS torn_groups, 0::BIGINT AS torn_image_ids FROM master_manifest",
     "p5_found": r"""
 WITH r AS (
   SELECT upper(regexp_replace(dedup_group, '^\s+|\s+$', '', 'g')) AS g, lower(regexp_replace(split, '^\s+|\s+$', '', 'g')) AS s FROM master_manifest),

@@ -191,7 +191,8 @@ class Encoder:
             short = [w for w in new if len(w) <= KEEP_BYTES]
             known |= self.learn(short)
             if len(short) < len(new):
-                known = known | self.learn(w for w in new if len(w) > KEEP_BYTES)  # long words aren't kept
+                long = self.learn(w for w in new if len(w) > KEEP_BYTES)  # these aren't kept
+                return [list(chain.from_iterable(known[w] if w in known else long[w] for w in words)) for words in split]
         return [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
 
 

@@ -17,6 +17,10 @@ COLUMNS = {
 }
 
 
+# Rows of p5_splits repeat with the rows of the manifest, and a scan's record may have no breed.
+REPEATS, NULLS = {"p5_splits"}, set()
+
+
 @pytest.mark.parametrize("name", list(llm.queries()))
 def test_query(spark, sf, duck, name):
     df = llm.queries()[name](spark, sf)
@@ -25,7 +29,9 @@ def test_query(spark, sf, duck, name):
     if name in llm.oracles():
         same_rows(df, duck, llm.oracles()[name])
     else:
-        assert df.count() > 0
+        rows = df.collect()
+        assert rows and len(set(map(repr, rows))) == len(rows) or name in REPEATS
+        assert all(any(r[c] is not None for r in rows) for c in df.columns if c not in NULLS)
 
 
 def test_every_problem_has_a_query():
