@@ -1,16 +1,20 @@
 """All pairs of 64-bit hashes within a Hamming distance, by multi-index hashing.
 
-The hashes are cut into blocks; two hashes within distance r agree in some block to r // blocks bits. Both
-sides are looked up under the block's variants of half that many bits, rounded up and down, which meet exactly if the
+The hashes are cut into m blocks, each with a radius of its own such that two hashes within the distance are
+within the radius of at least one block: the radii plus one sum to more than the distance. Both sides are looked up
+under the block's variants of half its radius, rounded up and down, which meet exactly if the
 blocks are near enough; a pair counts where it first meets, so no distinct is needed, and the full distance is then
-tested. Variants of half the radius are far fewer than those of the radius on one side.
+tested. Variants of half the radius are far fewer than those of the radius on one side. How many blocks there are follows from
+the number of hashes: fewer and wider blocks have more variants each, but fewer chance meetings, whose number grows with the square.
 """
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
+from math import comb
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.names import hash_bits
@@ -38,34 +42,64 @@ def hash_classes(hashes: DataFrame) -> DataFrame:
     return skew_join(_numbers(hashes).distinct(), representatives(hashes), "bits").select("image_id", "bits", "representative")
 
 
-def hamming_pairs(hashes: DataFrame, radius: int = 10, blocks: int = 4) -> DataFrame:
+#: What a looked-up row costs against a joined one, as it is shuffled and sorted.
+LOOKED_UP = 3
+
+
+def layout(blocks: int, radius: int) -> list[tuple[int, int, int]]:
+    """(lowest bit, width, radius) of each block; widths differ by one bit at most, and wider blocks come last."""
+    widths = [64 // blocks + (i >= blocks - 64 % blocks) for i in range(blocks)]
+    near = [radius // blocks - (i >= radius % blocks + 1) for i in range(blocks)]
+    return [(sum(widths[:i]), widths[i], near[i]) for i in range(blocks)]
+
+
+def cost(blocks: int, radius: int, rows: int) -> float:
+    """Rows that are looked up, weighed, and rows that meet by chance, among ``rows`` different hashes."""
+    balls = [[sum(comb(w, k) for k in range(r + 1)) for r in ((near + 1) // 2, near // 2)] for _, w, near in layout(blocks, radius) if near >= 0]
+    widths = [w for _, w, near in layout(blocks, radius) if near >= 0]
+    return LOOKED_UP * rows * sum(map(sum, balls)) + rows * rows * sum(a * b / 2**w for (a, b), w in zip(balls, widths))
+
+
+def hamming_pairs(hashes: DataFrame, radius: int = 10, blocks: int | None = None) -> DataFrame:
     """(id_a, id_b, hamming) between the rows of ``hashes`` (bits, representative; ``representatives``), id_a < id_b, distance 1 to ``radius``.
 
-    Images of equal hashes are one class (``hash_classes``), so copies are never expanded into pairs.
+    Images of equal hashes are one class (``hash_classes``), so copies are never expanded into pairs. Without
+    ``blocks``, their number is the cheapest for this many hashes.
     """
-    width, near = 64 // blocks, radius // blocks
-    mask = (1 << width) - 1
-    block = lambda x, i: F.shiftrightunsigned(x, i * width).bitwiseAND(F.lit(mask))
+    if blocks is None:
+        rows = hashes.count()
+        blocks = min(range(2, 7), key=lambda m: cost(m, radius, rows))
+    parts = [(i, *b) for i, b in enumerate(layout(blocks, radius)) if b[2] >= 0]
     own = hashes.select("representative", "bits")
+    block = lambda x, low, width: F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << width) - 1))
 
-    def looked_up(radius_: int, name: str) -> DataFrame:
+    def looked_up(name: str, up: int) -> DataFrame:
         # the key holds the block's number above its bits
-        keys = [(block("bits", i).bitwiseXOR(F.lit(v)) + F.lit(i << width)) for i in range(blocks) for v in _variants(width, radius_)]
-        return own.select(F.col("representative").alias(f"id_{name}"), F.col("bits").alias(f"bits_{name}"), F.explode(F.array(*keys)).alias("key"))
+        variants = [F.from_json(F.lit(json.dumps(_variants(width, (near + up) // 2))), "array<bigint>") for _, _, width, near in parts]  # literals
+        key = lambda i, own: lambda v: own.bitwiseXOR(v) + F.lit(i << 34)
+        keys = [F.transform(v, key(i, block("bits", low, width))) for v, (i, low, width, _) in zip(variants, parts)]
+        return own.select(F.col("representative").alias(f"id_{name}"), F.col("bits").alias(f"bits_{name}"), F.explode(F.concat(*keys)).alias("key"))
 
     x = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
-    differ = lambda i: F.bit_count(block(x, i))
-    first = F.coalesce(*[F.when(differ(i) <= near, F.lit(i)) for i in range(blocks)])
-    number, value = F.shiftrightunsigned("key", width), F.col("key").bitwiseAND(F.lit(mask))
-    # of the variants that both have, the one that takes the lowest bits from the left side
-    flips = F.coalesce(*[F.when(number == i, block(x, i)) for i in range(blocks)])
-    given = F.coalesce(*[F.when(number == i, block("bits_a", i)) for i in range(blocks)])
-    taken, rest = F.lit(0), flips
-    for k in range((near + 1) // 2):
-        low = rest.bitwiseAND(-rest)
-        taken = taken + F.when(F.bit_count(flips) > near // 2 + k, low).otherwise(F.lit(0))
-        rest = rest - low
-    met = looked_up((near + 1) // 2, "a").join(looked_up(near // 2, "b"), "key")
-    met = met.filter((F.bit_count(x) <= radius) & (F.col("id_a") != F.col("id_b")) & (number == first) & (value == given.bitwiseXOR(taken)))
+    first = F.coalesce(*[F.when(F.bit_count(block(x, low, width)) <= near, F.lit(i)) for i, low, width, near in parts])
+    number, value = F.shiftrightunsigned("key", 34), F.col("key").bitwiseAND(F.lit((1 << 34) - 1))
+
+    def of_block(make) -> Column:  # noqa: ANN001
+        return F.coalesce(*[F.when(number == i, make(low, width, near)) for i, low, width, near in parts])
+
+    def taken(low: int, width: int, near: int) -> Column:
+        # of the variants that both sides have, the one that takes the lowest differing bits from the left side
+        flips = block(x, low, width)
+        count = F.bit_count(flips)
+        out, rest = F.lit(0).cast("bigint"), flips
+        for k in range((near + 1) // 2):
+            bit = rest.bitwiseAND(-rest)
+            out = out + F.when(count > near // 2 + k, bit).otherwise(F.lit(0))
+            rest = rest - bit
+        return out
+
+    met = looked_up("a", 1).join(looked_up("b", 0), "key")
+    given = of_block(lambda low, width, near: block("bits_a", low, width).bitwiseXOR(taken(low, width, near)))
+    met = met.filter((F.bit_count(x) <= radius) & (F.col("id_a") != F.col("id_b")) & (number == first)).filter(value == given)
     # sides are looked up differently, so a pair meets both ways round
     return met.filter("id_a < id_b").select("id_a", "id_b", F.bit_count(x).cast("int").alias("hamming"))

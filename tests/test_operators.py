@@ -12,7 +12,7 @@ from corpusloom.functions import geometry, names, vec
 from corpusloom.operators import components as grid
 from corpusloom.operators import dedup, detections, quality, skew, split, taxonomy
 from corpusloom.operators.components import components
-from corpusloom.operators.hamming import hamming_pairs, hash_classes, representatives
+from corpusloom.operators.hamming import cost, hamming_pairs, hash_classes, layout, representatives
 from corpusloom.operators.skew import ranked, skew_join, top_n
 from corpusloom.session import Scratch
 
@@ -71,16 +71,21 @@ def test_components(spark, shape):
     assert got == groups_of([(a, b) for a, b in edges if a != b])
 
 
-def test_a_third_of_the_rows_on_one_key(spark):
+def test_a_third_of_the_rows_on_one_key(spark, monkeypatch):
     rows = spark.range(90_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5000)).alias("k"), "id")
     right = rows.groupBy("k").agg(F.min("id").alias("least"))
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(skew, "SHARE", 2000)
+    monkeypatch.setattr(skew, "SHARE", 1000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
         joined = skew_join(rows, right, "k", at_least=10_000)
-        sizes = joined.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.when(F.col("k") == "hot", 1).otherwise(0)).alias("n")).collect()
-    assert joined.count() == 90_000
-    # the hot key's rows are on every reducer (four here), none with most of them
-    assert len(sizes) == 4 and max(r.n for r in sizes) < 15_000 if len(sizes) > 1 else True
+        sizes = [r.n for r in joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        plain = [r.n for r in rows.join(right, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 90_000 and max(plain) > 2 * sorted(plain)[len(plain) // 2]
+    assert max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]  # no task has over twice the median
 
 
 def chain_rounds(spark, ids):
@@ -124,6 +129,20 @@ def test_hamming_equals_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert {tuple(r) for r in hamming_pairs(own, 5).collect()} == {w for w in want if w[2] <= 5}
     assert hamming_pairs(own.limit(0)).count() == 0
+    for blocks in (2, 3, 5, 6):
+        few = own.filter(F.col("bits") % 3 == 0) if blocks == 2 else own
+        kept = {r.representative for r in few.collect()}
+        assert sorted(map(tuple, hamming_pairs(few, 10, blocks).collect())) == sorted(w for w in want if w[0] in kept and w[1] in kept)
+
+
+def test_hamming_blocks_cover_the_distance():
+    for radius in (0, 3, 5, 10, 16):
+        for blocks in range(2, 7):
+            parts = layout(blocks, radius)
+            assert sum(near + 1 for _, _, near in parts) == radius + 1 and sum(width for _, width, _ in parts) == 64
+    # joined rows grow less than with the square of the hashes once wider blocks pay
+    cheapest = lambda n: min(cost(m, 10, n) for m in range(2, 7))
+    assert cheapest(36_000_000) < 3000 * cheapest(360_000)
 
 
 def test_greedy_equals_one_by_one():
