@@ -26,9 +26,11 @@ ROUNDS, CLOSE, OFFSETS = 300, 1e-9, 64
 MAX_SOURCES = 10_000
 
 
-def _known(df: DataFrame, name: str, values: dict[str, float]) -> DataFrame:
-    """``df`` with the value of the row's source in ``name``; rows of other sources are left out. MAX_SOURCES bounds what is broadcast."""
-    table = df.sparkSession.createDataFrame([(s, float(v)) for s, v in values.items()], f"source string, `{name}` double")
+def _known(df: DataFrame, **values: dict[str, float]) -> DataFrame:
+    """``df`` with the values of the row's source, a column each; rows of sources without all of them are left out. MAX_SOURCES bounds what is broadcast."""
+    sources = set.intersection(*map(set, values.values()))
+    rows = [(s, *(float(v[s]) for v in values.values())) for s in sorted(sources)]
+    table = df.sparkSession.createDataFrame(rows, ", ".join(["source string", *[f"`{n}` double" for n in values]]))
     return df.join(F.broadcast(table), "source")
 
 
@@ -58,13 +60,12 @@ def tilts(sizes: DataFrame, want: dict[str, float], have: dict[str, float], mean
     done = {s for s in want if want[s] >= have[s] * most[s] * (1 - 1e-12)}
     tilt |= dict.fromkeys(done, math.inf)
     low, high = dict.fromkeys(want, -math.inf), dict.fromkeys(want, math.inf)
-    sizes = _known(_known(sizes, "mean", mean), "most", most)
     for _ in range(ROUNDS):
         open_ = {s: tilt[s] for s in want if s not in done}
         if not open_:
             return tilt
         tokens = F.col("documents") * F.col("n_tokens") * F.col("rate")
-        rated = _known(sizes, "tilt", open_).withColumn("rate", _rate())
+        rated = _known(sizes, tilt=open_, mean=mean, most=most).withColumn("rate", _rate())
         sums = rated.groupBy("source").agg(F.sum(tokens), F.sum(F.when(F.col("rate") < F.col("most"), tokens * F.col("n_tokens") / F.col("mean")).otherwise(0.0)))
         for s, got, slope in sums.collect():
             miss = got - want[s]
@@ -101,7 +102,7 @@ def mix(docs: DataFrame, targets: dict[str, tuple[float, int]], scratch: Scratch
         return used.withColumn("copies", F.lit(0).cast("bigint")).limit(0)
     most = {s: float(targets[s][1]) for s in want}
     tilt = tilts(sizes, want, have, mean, most)
-    rated = _known(_known(_known(_known(sizes, "want", want), "tilt", tilt), "mean", mean), "most", most).withColumn("uses", F.col("documents") * _rate())
+    rated = _known(sizes, want=want, tilt=tilt, mean=mean, most=most).withColumn("uses", F.col("documents") * _rate())
     upto = F.sum("uses").over(Window.partitionBy("source").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, 0))
     rated = rated.withColumn("upto", F.round(upto, 9)).withColumn("from", F.coalesce(F.lag("upto").over(Window.partitionBy("source").orderBy("n_tokens")), F.lit(0.0)))
     rated = scratch.put(rated.select("source", "n_tokens", "documents", "want", "upto", "from"), "rated")
