@@ -7,6 +7,9 @@ confidence). The table's cosines are low, so rejection is shown at 0.15 besides
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from corpusloom.operators.components import components
 from corpusloom.plans import evaluation, exports, reports, scoring
 from corpusloom.plans.prototype import CAP, Prototypes, build, capped
 from corpusloom.session import Scratch
+from corpusloom.sources import files, sinks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -291,7 +295,8 @@ def listed_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CANON = "coalesce(m.name, translate(lower({0}), '- ', '__'))"
-_RENAMED = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in names.RENAMED.items()) + ") AS m(label, name)"
+_RENAMED = """(VALUES ('toy_poodle', 'poodle'), ('miniature_poodle', 'poodle'), ('standard_poodle', 'poodle'), ('teddy', 'poodle'), ('shiba_dog', 'shiba_inu'), ('cardigan', 'corgi'), ('pembroke', 'corgi'),
+  ('staffordshire_bull_terrier', 'staffordshire_bullterrier'), ('basset_hound', 'basset'), ('shih-tzu', 'shih_tzu'), ('maltese', 'maltese_dog'), ('chinese_rural_dog', '__DROP__'), ('english_cocker_spaniel', '__NOT_MVP__')) AS m(label, name)"""
 _NUMBERS = "(VALUES " + ", ".join(f"('{n}', {i})" for i, n in enumerate(names.CANONICAL)) + ") AS k(name, id)"
 _LABELLED = f"""
 x AS (SELECT t.*, CASE WHEN starts_with(original_breed, 'CAT_') THEN '__CAT_OOD__' ELSE {_CANON.format("original_breed")} END AS canonical
@@ -574,6 +579,100 @@ def half_split(spark: SparkSession, sf: str) -> DataFrame:
     return split.half_split(_read(spark, sf, "master_manifest"))
 
 
+@query(
+    f"""WITH RECURSIVE {_GROUPS},
+o AS (SELECT breed, n, row_number() OVER (PARTITION BY breed ORDER BY n DESC, dedup_group) AS k, CAST(sum(n) OVER (PARTITION BY breed) AS BIGINT) AS total FROM gt),
+f AS (
+  SELECT DISTINCT breed, 0::BIGINT AS k, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, 0::BIGINT AS n, '' AS split FROM gt
+  UNION ALL
+  SELECT breed, k, a + CASE split WHEN 'train' THEN n ELSE 0 END, b + CASE split WHEN 'val' THEN n ELSE 0 END, c + CASE split WHEN 'test' THEN n ELSE 0 END, n, split
+  FROM (SELECT o.breed, o.k, f.a, f.b, f.c, o.n, CASE WHEN 14 * total - 20 * a >= 3 * total - 20 * b AND 14 * total - 20 * a >= 3 * total - 20 * c THEN 'train' WHEN b <= c THEN 'val' ELSE 'test' END AS split
+        FROM f JOIN o ON o.breed IS NOT DISTINCT FROM f.breed AND o.k = f.k + 1))
+SELECT breed, n, split, count(*) AS groups FROM f WHERE k > 0 GROUP BY ALL"""
+)
+def group_split_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """How many groups of each breed and size went to each split, which the fold fixes; which ones is drawn."""
+    groups = split.group_table(_read(spark, sf, "master_manifest"))
+    return groups.join(split.group_split(groups), "dedup_group").groupBy("breed", "n", "split").agg(F.count(F.lit(1)).alias("groups"))
+
+
+@query(
+    """WITH c AS (SELECT count(DISTINCT image_id) AS n FROM master_manifest WHERE canonical_breed = '__CAT_OOD__')
+SELECT * FROM (SELECT 'val' AS split, n // 2 AS images FROM c UNION ALL SELECT 'test', n - n // 2 FROM c) WHERE images > 0"""
+)
+def half_split_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Cats of either half."""
+    return split.half_split(_read(spark, sf, "master_manifest")).groupBy("split").agg(F.count(F.lit(1)).alias("images"))
+
+
+# ---------------------------------------------------------------- files (a few, written to the shared folder and read back)
+
+
+def _tree(spark: SparkSession) -> str:
+    """A folder of three tiny corpora, a class folder and an annotation document."""
+    scratch = Scratch(spark, "files")
+    box = lambda kind, *corners: f"<object><{kind}>" + "".join(f"<{n}>{v}</{n}>" for n, v in zip(("xmin", "ymin", "xmax", "ymax"), corners)) + f"</{kind}></object>"
+    note = lambda *boxes: f"<annotation>{''.join(boxes)}</annotation>".encode()
+    image = lambda w, h: sinks.png(np.zeros((h, w, 3), np.uint8))
+    coco = {
+        "images": [{"id": 1, "file_name": "a.jpg", "width": 10, "height": 20}, {"id": 2, "file_name": "b.jpg", "width": 10, "height": 10}],
+        "annotations": [{"image_id": 1, "bbox": [5, 10, 5, 10]}, {"image_id": 2, "bbox": [0, 0, 5, 5], "IsGroupOf": 1}, {"image_id": 1, "bbox": [0, 0, 5, 10], "IsDepiction": 0}],
+    }
+    files = {
+        "raw/stanford/Images/n1-Great-Dane/a.jpg": image(40, 30), "raw/stanford/Annotation/n1-Great-Dane/a": note(box("bndbox", 4, 3, 20, 21), box("bndbox", 0, 0, 5, 5)),
+        "raw/stanford/Images/n1-Great-Dane/b.jpg": image(40, 30), "raw/stanford/Annotation/n1-Great-Dane/b": note(box("bndbox", 9, 2, 5, 20)),
+        "raw/stanford/Images/n1-Great-Dane/c.jpg": b"broken", "raw/stanford/Images/n1-Great-Dane/d.jpg": image(40, 30)[:-30], "raw/stanford/Images/n1-Great-Dane/e.jpg": image(40, 31),
+        "raw/oxford/images/Bengal_cat_1.jpg": image(10, 10), "raw/oxford/images/shiba_inu_2.jpg": image(10, 12), "raw/oxford/annotations/xmls/shiba_inu_2.xml": note(box("bndbox", 1, 2, 5, 8)),
+        "raw/tsinghua/Low-Annotations/none.txt": b"", "raw/tsinghua/low-resolution/9-n1-shiba-inu/x.jpg": image(100, 100),
+        "raw/tsinghua/annotations/Low-Annotations/9-n1-shiba-inu/x.jpg.xml": note(box("bodybndbox", 0, 0, 50, 50), box("headbndbox", 10, 10, 20, 30)),
+        "split/pug/1.PNG": b"x", "split/pug/split/2.png": b"x", "split/beagle/3.webp": b"x", "split/beagle/4.txt": b"x", "labels.json": json.dumps(coco).encode(),
+    }
+    for name, data in files.items():
+        sinks.put_file(spark, f"{scratch.root}/{name}", data)
+    return scratch.root
+
+
+_SCANNED = """('stanford/n1-Great-Dane/a.jpg', 'stanford', 'Great-Dane', 40, 30, '4.0 3.0 20.0 21.0', NULL, 2, NULL), ('stanford/n1-Great-Dane/b.jpg', 'stanford', 'Great-Dane', 40, 30, '9.0 2.0 5.0 20.0', NULL, 1, 'invalid_bbox_order'),
+  ('stanford/n1-Great-Dane/c.jpg', 'stanford', 'Great-Dane', 0, 0, NULL, NULL, 0, 'corrupt_image:UnidentifiedImageError'), ('stanford/n1-Great-Dane/d.jpg', 'stanford', 'Great-Dane', 0, 0, NULL, NULL, 0, 'corrupt_image:OSError'),
+  ('stanford/n1-Great-Dane/e.jpg', 'stanford', 'Great-Dane', 40, 31, NULL, NULL, 0, 'missing_annotation'), ('oxford/Bengal_cat_1.jpg', 'oxford', 'CAT_Bengal_cat', 10, 10, NULL, NULL, 0, 'cat_ood_only'),
+  ('oxford/shiba_inu_2.jpg', 'oxford', 'shiba_inu', 10, 12, NULL, '1.0 2.0 5.0 8.0', 1, NULL), ('tsinghua/9-n1-shiba-inu/x.jpg', 'tsinghua', 'shiba-inu', 100, 100, '0.0 0.0 50.0 50.0', '10.0 10.0 20.0 30.0', 1, NULL)"""
+
+
+@query(f"SELECT *, reason IS NULL AS usable, true AS hashed FROM (VALUES {_SCANNED}) AS t(image_id, source, breed, width, height, body, head, n_dogs, reason)")
+def scanned_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """The manifest of three small corpora on disk."""
+    rows = files.scan_all(spark, f"{_tree(spark)}/raw")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    return rows.select(
+        "image_id", "source", F.col("original_breed").alias("breed"), "width", "height", text("body_bbox").alias("body"), text("head_bbox").alias("head"), "n_dogs",
+        F.col("exclusion_reason").alias("reason"), "usable", F.col("md5").rlike("^[0-9a-f]{32}$").alias("hashed"),
+    )
+
+
+@query("SELECT * FROM (VALUES ('pug', '1.PNG'), ('beagle', '3.webp')) AS t(label, name)")
+def class_folder_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Images right below a class folder."""
+    found = files.class_folders(spark, f"{_tree(spark)}/split")
+    return found.select("label", names.file_name(F.col("path")).alias("name"))
+
+
+_LABEL_FILES = """('stanford/labels/n1-Great-Dane/a.txt', 'stanford/images/n1-Great-Dane/a.jpg', '0 0.300000 0.400000 0.400000 0.600000'),
+  ('tsinghua/labels/9-n1-shiba-inu/x.txt', 'tsinghua/images/9-n1-shiba-inu/x.jpg', '0 0.250000 0.250000 0.500000 0.500000' || chr(10) || '1 0.150000 0.200000 0.100000 0.200000'),
+  ('oxford/labels/shiba_inu/shiba_inu_2.txt', 'oxford/images/shiba_inu/shiba_inu_2.jpg', '0 0.500000 0.500000 1.000000 1.000000' || chr(10) || '1 0.300000 0.416667 0.400000 0.500000'),
+  ('coco/validation/labels/a.txt', 'coco/validation/images/a.jpg', '0 0.750000 0.750000 0.500000 0.500000' || chr(10) || '0 0.250000 0.250000 0.500000 0.500000')"""
+
+
+@query(f"SELECT * FROM (VALUES {_LABEL_FILES}) AS t(rel_path, target, text)")
+def label_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Label files from manifest boxes, pseudo boxes and annotations of those corpora."""
+    root = _tree(spark)
+    manifest = files.scan_all(spark, f"{root}/raw")
+    pseudo = spark.createDataFrame([("oxford/shiba_inu_2.jpg", [-1.0, 0.0, 10.0, 12.5], False)], "image_id string, pseudo_body_bbox array<double>, needs_review boolean")
+    trees = [exports.label_files(manifest), exports.pseudo_label_files(manifest, pseudo), exports.annotation_label_files(*files.coco(spark, f"{root}/labels.json"), "coco/validation")]
+    columns = ["rel_path", "target", "text"]
+    return trees[0].select(columns).unionByName(trees[1].select(columns)).unionByName(trees[2].select(columns))
+
+
 # ---------------------------------------------------------------- detections and annotations (events)
 
 
@@ -619,10 +718,10 @@ def _pseudo(spark: SparkSession, sf: str) -> DataFrame:
     return detections.pseudo_boxes(found.select("image_id"), found)
 
 
-@query(f"WITH {_PSEUDO} SELECT image_id, conf, n_det, needs_review, len(pseudo_body_bbox) AS numbers FROM ps")
+@query(f"WITH {_PSEUDO} SELECT image_id, conf, n_det, needs_review, pseudo_body_bbox FROM ps")
 def pseudo_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Pseudo boxes of every image and whether they need review."""
-    return _pseudo(spark, sf).select("image_id", "conf", "n_det", "needs_review", F.when(F.col("pseudo_body_bbox").isNotNull(), F.size("pseudo_body_bbox")).alias("numbers"))
+    return _pseudo(spark, sf).select("image_id", "conf", "n_det", "needs_review", "pseudo_body_bbox")
 
 
 @query(

@@ -58,6 +58,16 @@ def write_files(files: DataFrame, root: str) -> None:
     files.select("rel_path", "text").filter("rel_path IS NOT NULL AND text IS NOT NULL").foreachPartition(write)
 
 
+def put_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file from the driver, on whatever storage ``path`` names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def write_report(text: str, path: str) -> None:
     """A report as a file of the driver's."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
