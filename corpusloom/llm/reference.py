@@ -84,67 +84,100 @@ def shortened(word: str) -> set[str]:
     return {w for w in out if len(w) >= 3 and w != word}
 
 
+def _tree(forms: Iterable[tuple[str, list]]) -> dict:
+    """A trie of (form, what ends there)."""
+    root: dict = {}
+    for form, ends in forms:
+        node = root
+        for c in form:
+            node = node.setdefault(c, {})
+        node[""] = ends
+    return root
+
+
 class Trie:
-    """Nodes are dicts from letter to node; "" holds the forms that end there, as (entry, allowed errors)."""
+    """The forms of all entries, factored: a trie of the words that precede a kind, one of the kinds, and one of whole forms.
+
+    The automaton crosses from the end of a first word to the kinds and from the end of a kind to the first words, so that
+    their combinations, which are as many as entries times kinds, are never stored. Nodes are dicts from letter to node; ""
+    holds what ends there.
+    """
 
     def __init__(self, entries: Iterable[tuple[int, str, list[str]]], about: Words = BREEDS):
         self.about = about
         entries = [(i, simplified(n), [simplified(a) for a in aliases or [] if a]) for i, n, aliases in entries]
         split = lambda s: [w for w in re.split(r"[\W_]+", s) if w]
         names = [(i, split(n)) for i, n, _ in entries if split(n)]
-        aliases = [(i, split(a)) for i, _, own in entries for a in own if split(a)]
+        every = names + [(i, split(a)) for i, _, own in entries for a in own if split(a)]
         kinds = {w[-1] for _, w in names if len(w) > 1}
-        listed = {("".join(w[:-1]), w[-1]) for _, w in names + aliases}
-        firsts: dict[str, set[int]] = {}
+        self.listed: dict[tuple[str, str], set[int]] = {}  # the entries called by a first word and a kind
+        self.outright: dict[str, set[int]] = {}  # what an entry is called outright beats every short form
+        self.whole: dict[str, dict[int, int]] = {}  # form, entry, errors it may have
+        alone: dict[str, set[int]] = {}
         for i, w in names:
-            firsts.setdefault(w[0], set()).add(i)
-        self.forms: dict[str, dict[int, int]] = {}
-        kind_forms = {k: shortened(k) for k in kinds}
-        for i, words in names + aliases:
+            alone.setdefault(w[0], set()).add(i)
+        for i, words in every:
             first, last = "".join(words[:-1]), words[-1]
-            self._add("".join(words), i)
-            if len(words) == 1:
-                continue
-            self._add(last + first, i)
-            if last in kinds:
-                for short in kind_forms[last]:
-                    self._add(first + short, i, 1 if len(short) > 3 and len(first) > 5 else 0)
-                    self._add(short + first, i, 0)
-                for k in range(4, len(first)):
-                    for kind in (last, *kind_forms[last]):
-                        self._add(first[:k] + kind, i, 0)
-                        self._add(kind + first[:k], i, 0)
-                for kind in kinds:
-                    if (first, kind) in listed:
-                        continue
-                    for other in (kind, *kind_forms[kind]):
-                        self._add(first + other, OTHER, None if other == kind else 0)
-                    self._add(kind + first, OTHER)
+            self.outright.setdefault(first + last, set()).add(i)
+            self._add(first + last, i)
+            if first and last in kinds:
+                self.listed.setdefault((first, last), set()).add(i)
+            elif first:
+                self._add(last + first, i)
         for i, words in names:
             if len(words) > 1:
-                self._add(words[0], i if len(firsts[words[0]]) == 1 else OTHER)
-        for kind in kinds:
-            for form in (kind, *kind_forms[kind]):
+                self._add(words[0], i if len(alone[words[0]]) == 1 else OTHER)
+        self.kinds: dict[str, list[tuple[str, bool]]] = {}  # form, the kinds it stands for, whether in full
+        for kind in sorted(kinds):
+            for form in (kind, *sorted(shortened(kind))):
+                self.kinds.setdefault(form, []).append((kind, form == kind))
                 self._add(form, OTHER, None if form == kind else 0)
-        outright: dict[str, set[int]] = {}
-        for i, words in names + aliases:
-            outright.setdefault("".join(words), set()).add(i)
-        for form, own in outright.items():  # what an entry is called outright beats every short form
-            self.forms[form] = dict.fromkeys(own, allowed(len(form)))
-        self.root: dict = {}
-        for form, ends in self.forms.items():
-            node = self.root
-            for c in form:
-                node = node.setdefault(c, {})
-            node[""] = list(ends.items())
+        self.beginnings: dict[str, list[str]] = {}  # of first words
+        self.firsts = {first for first, _ in self.listed}
+        # first words with a kind that isn't theirs name another breed, also those of names whose own last word is no kind
+        self.firsts |= {"".join(w[:-1]) for _, w in every if len(w) > 1 and w[-1] in kinds}
+        for first in sorted(self.firsts):
+            for k in range(4, len(first)):
+                self.beginnings.setdefault(first[:k], []).append(first)
+        for form, own in self.outright.items():
+            self.whole[form] = dict.fromkeys(own, allowed(len(form)))
+        self.roots = [_tree((f, list(ends.items())) for f, ends in self.whole.items()), _tree((f, [f]) for f in self.firsts), _tree((f, [(kind, full, f) for kind, full in of]) for f, of in self.kinds.items())]
 
     def _add(self, form: str, entry: int, errors: int | None = None) -> None:
         errors = allowed(len(form)) if errors is None else min(errors, allowed(len(form)))
-        ends = self.forms.setdefault(form, {})
+        ends = self.whole.setdefault(form, {})
         ends[entry] = max(errors, ends.get(entry, 0))
 
+    def _joined(self, first: str, form: str, kind: str, full: bool, kind_first: bool) -> list[tuple[int, int]]:
+        """(entry, allowed errors) of a first word and a form of a kind, in this order or the other."""
+        whole = form + first if kind_first else first + form
+        if whole in self.outright:
+            return []  # found as a whole
+        most, own = allowed(len(whole)), self.listed.get((first, kind))
+        if own:
+            errors = most if full else min(most, 1) if not kind_first and len(form) > 3 and len(first) > 5 else 0
+            return [(i, errors) for i in own]
+        if kind_first and not full:
+            return []
+        return [(OTHER, most if full else 0)]
+
+    def exactly(self, word: str) -> set[int]:
+        """The entries of the forms that are ``word``."""
+        if word in self.outright:
+            return self.outright[word]
+        found = set(self.whole.get(word, ()))
+        for p in range(1, len(word)):
+            for first, form, kind_first in ((word[:p], word[p:], False), (word[p:], word[:p], True)):
+                for kind, full in self.kinds.get(form, ()):
+                    if first in self.firsts:
+                        found |= {e for e, _ in self._joined(first, form, kind, full, kind_first)}
+                    for whole in self.beginnings.get(first, ()):
+                        found |= self.listed.get((whole, kind), set())
+        return found
+
     def search(self, word: str, most: int = 2) -> list[tuple[int, int]]:
         """All (errors, entry) of forms within their allowed distance of ``word``; an entry comes once for each of its forms."""
+        found = [(0, e) for e in self.exactly(word)]
         most = min(most, allowed(len(word) + most))
         size = len(word)
         masks: dict[str, int] = {}
@@ -153,16 +186,27 @@ class Trie:
         accept, full = 1 << size, (1 << size + 1) - 1
         # bit p of state e: the form so far reads the first p letters of the word with e errors
         start = [(1 << e + 1) - 1 & full for e in range(most + 1)]
-        found: list[tuple[int, int]] = []
-        stack = [(self.root, start, None, 0)]
+        stack: list[tuple] = [(root, start, None, 0, kind, None) for kind, root in enumerate(self.roots)]
         while stack:
-            node, state, before, last = stack.pop()
+            node, state, before, last, tree, joined = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    for e, bits in enumerate(state):
-                        if bits & accept:
-                            found += [(e, entry) for entry, errors in child if e <= errors]
-                            break
+                    if joined is None and tree == 1:
+                        stack += [(self.roots[2], state, before, last, 2, first) for first in child]
+                    elif joined is None and tree == 2:
+                        stack.append((self.roots[1], state, before, last, 1, child))
+                    errors = next((e for e, bits in enumerate(state) if bits & accept), None)
+                    if errors is None:
+                        continue
+                    if tree == 0:
+                        ends = child
+                    elif joined is None:
+                        continue
+                    elif tree == 2:
+                        ends = [x for kind, whole, form in child for x in self._joined(joined, form, kind, whole, False)]
+                    else:
+                        ends = [x for first in child for kind, whole, form in joined for x in self._joined(first, form, kind, whole, True)]
+                    found += [(errors, entry) for entry, may in ends if errors <= may]
                     continue
                 mask = masks.get(c, 0)
                 below, new = 0, []
@@ -175,7 +219,7 @@ class Trie:
                     new.append(now & full)
                     below = new[-1]
                 if new[-1]:
-                    stack.append((child, new, state, mask))
+                    stack.append((child, new, state, mask, tree, joined))
         return found
 
     def meaning(self, value: str | None) -> tuple[int | None, int | None]:
@@ -184,7 +228,7 @@ class Trie:
             return None, None
         best: list[tuple[int, int]] = []
         for letters, most in readings(value, self.about):
-            if ends := self.forms.get(letters):  # nothing is nearer
+            if ends := self.exactly(letters):  # nothing is nearer
                 best += [(0, e) for e in ends]
             else:
                 best += self.search(letters, most)

@@ -1,8 +1,10 @@
 import random
+import re
+import time
 
 import pytest
 
-from corpusloom.llm.reference import Trie, Words, allowed, candidates, readings, resolve
+from corpusloom.llm.reference import OTHER, Trie, Words, allowed, candidates, readings, resolve, shortened, simplified
 from corpusloom.session import Scratch
 
 ENTRIES = [
@@ -47,12 +49,66 @@ def distance(a, b):
     return d[len(a) - 1, len(b) - 1]
 
 
+def all_forms(listed_entries):
+    """Every form of every entry, one by one, with the errors it may have."""
+    forms = {}
+
+    def add(form, entry, errors=None):
+        errors = allowed(len(form)) if errors is None else min(errors, allowed(len(form)))
+        ends = forms.setdefault(form, {})
+        ends[entry] = max(errors, ends.get(entry, 0))
+
+    entries = [(i, simplified(n), [simplified(a) for a in aliases or [] if a]) for i, n, aliases in listed_entries]
+    split = lambda s: [w for w in re.split(r"[\W_]+", s) if w]
+    names = [(i, split(n)) for i, n, _ in entries if split(n)]
+    aliases = [(i, split(a)) for i, _, own in entries for a in own if split(a)]
+    kinds = {w[-1] for _, w in names if len(w) > 1}
+    listed = {("".join(w[:-1]), w[-1]) for _, w in names + aliases}
+    firsts: dict[str, set[int]] = {}
+    for i, w in names:
+        firsts.setdefault(w[0], set()).add(i)
+    kind_forms = {k: shortened(k) for k in kinds}
+    for i, words in names + aliases:
+        first, last = "".join(words[:-1]), words[-1]
+        add("".join(words), i)
+        if len(words) == 1:
+            continue
+        add(last + first, i)
+        if last in kinds:
+            for short in kind_forms[last]:
+                add(first + short, i, 1 if len(short) > 3 and len(first) > 5 else 0)
+                add(short + first, i, 0)
+            for k in range(4, len(first)):
+                for kind in (last, *kind_forms[last]):
+                    add(first[:k] + kind, i, 0)
+                    add(kind + first[:k], i, 0)
+            for kind in kinds:
+                if (first, kind) in listed:
+                    continue
+                for other in (kind, *kind_forms[kind]):
+                    add(first + other, OTHER, None if other == kind else 0)
+                add(kind + first, OTHER)
+    for i, words in names:
+        if len(words) > 1:
+            add(words[0], i if len(firsts[words[0]]) == 1 else OTHER)
+    for kind in kinds:
+        for form in (kind, *kind_forms[kind]):
+            add(form, OTHER, None if form == kind else 0)
+    outright = {}
+    for i, words in names + aliases:
+        outright.setdefault("".join(words), set()).add(i)
+    for form, own in outright.items():
+        forms[form] = dict.fromkeys(own, allowed(len(form)))
+    return forms
+
+
 def test_automaton_equals_distances(trie):
     rng = random.Random(1)
-    forms = sorted(trie.forms)
-    for _ in range(60):
+    every = all_forms(ENTRIES)
+    forms = sorted(every)
+    for n in range(120):
         word = list(rng.choice(forms))
-        for _ in range(rng.randint(1, 3)):
+        for _ in range(rng.randint(n % 4 and 1, 3)):
             at = rng.randrange(len(word) + 1)
             kind = rng.randrange(4)
             if kind == 0:
@@ -64,12 +120,13 @@ def test_automaton_equals_distances(trie):
             elif 0 < at < len(word):
                 word[at - 1], word[at] = word[at], word[at - 1]
         word = "".join(word)
-        want = {(distance(f, word), e) for f in forms if abs(len(f) - len(word)) <= 2 for e, k in trie.forms[f].items() if distance(f, word) <= min(k, 2)}
+        want = {(distance(f, word), e) for f in forms if abs(len(f) - len(word)) <= 2 for e, k in every[f].items() if distance(f, word) <= min(k, 2)}
         assert set(trie.search(word)) == want
 
 
 def test_forms_have_bounded_errors(trie):
-    assert all(errors <= allowed(len(form)) for form, ends in trie.forms.items() for errors in ends.values())
+    assert all(errors <= allowed(len(form)) for form, ends in trie.whole.items() for errors in ends.values())
+    assert all(trie.exactly(form) == set(ends) for form, ends in all_forms(ENTRIES).items())
     assert readings("ab x cd") == [("abxcd", 0)] and readings("A. x B") == [("axb", 2)]
 
 
@@ -97,3 +154,18 @@ def test_words_are_a_parameter():
     cities = Trie([(1, "new york", ["big apple"]), (2, "los angeles", [])], Words(decoration=frozenset({"city"}), joining=frozenset({"to"})))
     assert cities.meaning("New York City")[0] == 1 and cities.meaning("Los Angelse")[0] == 2
     assert cities.meaning("new york to los angeles")[0] is None and cities.meaning("my new york")[0] is None and cities.meaning("the big, old new york")[0] is None
+
+
+def test_many_entries_load_and_are_found():
+    rng = random.Random(7)
+    part = lambda n: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(n))
+    kinds = [part(3) for _ in range(200)]
+    entries = [(i, f"{part(4)}_{rng.choice(kinds)}", [part(2) + " " + part(3)]) for i in range(20_000)]
+    start = time.time()
+    trie = Trie(entries)
+    assert time.time() - start < 30
+    for i, name, _ in rng.sample(entries, 50):
+        first, kind = name.split("_")
+        entry = trie.meaning(f"{kind} {first}")[0]
+        assert entry == i or entry is None or len(trie.listed[first, kind]) > 1
+        assert i in {e for _, e in trie.search(first + kind[:-1])} | {e for _, e in trie.search(first + kind)}
