@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions.geometry import CROP_SIZE
 from corpusloom.operators.inference import cut_out
 from corpusloom.plans.prototype import Prototypes
+from corpusloom.sources import jpeg
+
+# Fixed value: the quality of crops as JPEG files.
+QUALITY = 92
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -107,7 +111,7 @@ def png(image: np.ndarray) -> bytes:
 
 
 def write_crops(crops: DataFrame, root: str, size: int = CROP_SIZE) -> tuple[int, int]:
-    """Write the crops of (target, height, width, rgb, crop) below ``root`` as PNG files, whatever the target's extension; (written, failed)."""
+    """Write the crops of (target, height, width, rgb, crop) below ``root`` as JPEG files; (written, failed)."""
     sc = crops.sparkSession.sparkContext
     written, failed = sc.accumulator(0), sc.accumulator(0)
 
@@ -115,10 +119,10 @@ def write_crops(crops: DataFrame, root: str, size: int = CROP_SIZE) -> tuple[int
         for row in rows:
             try:
                 image = np.frombuffer(row.rgb, np.uint8).reshape(row.height, row.width, 3)
-                at = os.path.join(root, os.path.splitext(row.target)[0] + ".png")
+                at = os.path.join(root, row.target)
                 os.makedirs(os.path.dirname(at), exist_ok=True)
                 with open(at, "wb") as f:
-                    f.write(png(cut_out(image, row.crop.asDict(), size)))
+                    f.write(jpeg.encode(cut_out(image, row.crop.asDict(), size), QUALITY))
                 written.add(1)
             except Exception:
                 failed.add(1)

@@ -201,7 +201,33 @@ def test_arrays_links_and_crops(spark, tmp_path):
     broken = crops.withColumn("rgb", F.lit(None).cast("binary"))
     assert sinks.write_crops(crops.unionByName(broken), f"{root}/crops", 28) == (1, 1)
     row = files.pixels(spark, f"{root}/crops").first()
-    assert (row.height, row.width) == (28, 28) and bytes(row.rgb[14 * 28 * 3 + 42 : 14 * 28 * 3 + 45]) == bytes((200, 10, 10))
+    assert row.path.endswith("body/train/pug/a.jpg") and (row.height, row.width) == (28, 28)
+    assert np.abs(np.frombuffer(row.rgb, np.uint8)[14 * 28 * 3 + 42 : 14 * 28 * 3 + 45].astype(int) - (200, 10, 10)).max() <= 3
+
+
+def test_jpeg(spark, tmp_path):
+    from corpusloom.sources import jpeg
+
+    rng = np.random.default_rng(3)
+    yy, xx = np.mgrid[:50, :70]
+    smooth = np.stack([127 + 100 * np.sin(xx / 17 + yy / 31), 127 + 90 * np.cos(yy / 13), 60 + xx], 2).clip(0, 255).astype(np.uint8)
+    noise = rng.integers(0, 256, (33, 17, 3)).astype(np.uint8)
+    images = {"smooth": smooth, "noise": noise, "grey": np.full((16, 16, 3), 200, np.uint8), "dot": np.zeros((1, 1, 3), np.uint8), "sparse": np.where(rng.random((64, 64, 1)) < 0.01, 255, 0).astype(np.uint8).repeat(3, 2)}
+    for name, image in images.items():
+        with open(tmp_path / f"{name}.jpg", "wb") as f:
+            f.write(jpeg.encode(image))
+    luma = lambda x: x.astype(float) @ [0.299, 0.587, 0.114]
+    for row in files.pixels(spark, str(tmp_path)).collect():
+        image = images[os.path.basename(row.path)[:-4]]
+        got = np.frombuffer(row.rgb, np.uint8).reshape(row.height, row.width, 3)
+        assert got.shape == image.shape and np.abs(luma(got) - luma(image)).mean() < 4
+    assert len(jpeg.encode(noise, 20)) < len(jpeg.encode(noise, 92))
+    counts = np.zeros(256, int)
+    counts[:40] = [int(1.9**k) for k in range(40)]  # would need codes of 39 bits
+    codes, lengths, _ = jpeg._table(counts)
+    assert max(lengths) <= 16 and sum(2.0 ** -lengths[:40]) < 1
+    texts = [f"{int(codes[k]):0{lengths[k]}b}" for k in range(40)]
+    assert all("0" in t for t in texts) and not any(a != b and b.startswith(a) for a in texts for b in texts)
 
 
 def test_root_named_like_a_folder_above(spark, tmp_path):
