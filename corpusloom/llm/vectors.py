@@ -24,8 +24,8 @@ from corpusloom.llm import quantise
 from corpusloom.operators.skew import skew_join
 from corpusloom.session import Scratch, let_workers_import
 
-#: Pivots are a sample of the vectors: one in ROWS_A_PIVOT, at least FEW and at most MANY, which bounds what is collected and broadcast (25 MB).
-ROWS_A_PIVOT, FEW, MANY = 64, 16, 16384
+#: Pivots are a sample of the vectors: one in ROWS_A_PIVOT, at least FEW and at most MANY, which bounds what is collected and broadcast (13 MB).
+ROWS_A_PIVOT, FEW, MANY = 64, 16, 8192
 #: Pivots from which on they form a tree of two levels, and branches that a vector follows.
 TREE_FROM, BRANCHES = 1024, 4
 #: Bands of cosine with the pivot that a bucket is cut into, so that rows far from it don't hide those near it.
