@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.vectors import BLUR, STEP, UNIT_SQL, Candidates, Files, Index, block_of, indexed, products, usable
+from corpusloom.llm.vectors import BITS, BLUR, STEP, UNIT_SQL, Candidates, Files, Index, block_of, indexed, products, usable
 from corpusloom.operators.components import connected, union_find
 from corpusloom.operators.skew import skew_join, top_n
 from corpusloom.session import Scratch
@@ -31,7 +31,7 @@ NEIGHBOURS, STARTS = 10, 4
 GAIN = 1e-4
 
 #: The part of an address that is the place in its block.
-LOW = (1 << 33) - 1
+LOW = (1 << BITS) - 1
 EDGE = "v bigint, w bigint, sim double"
 LISTS = "v bigint, w array<bigint>, sim array<double>, fresh array<boolean>"
 
@@ -80,9 +80,9 @@ def started(index: Index, block: int, floor: float, k: int) -> pa.Table | None:
     x, _ = index.vectors(block)
     if not len(x):
         return None
-    own, found = np.int64(block) << 33, Candidates(len(x), k, floor, BLUR)
+    own, found = np.int64(block) << BITS, Candidates(len(x), k, floor, BLUR)
     for b, queries, rows in index.visits(index.nearby(x, block, STARTS)):
-        other, at = index.vectors(b)[0][rows], (np.int64(b) << 33) + rows
+        other, at = index.vectors(b)[0][rows], (np.int64(b) << BITS) + rows
         for s in range(0, len(queries), STEP):
             some = queries[s : s + STEP]
             cos = x[some] @ other.T
@@ -91,8 +91,8 @@ def started(index: Index, block: int, floor: float, k: int) -> pa.Table | None:
             found.add(some, at, cos)
     found.settle()
     exact = np.empty(len(found.q))
-    for b in np.unique(found.at >> 33):
-        here, other = np.flatnonzero(found.at >> 33 == b), index.vectors(int(b))[0]
+    for b in np.unique(found.at >> BITS):
+        here, other = np.flatnonzero(found.at >> BITS == b), index.vectors(int(b))[0]
         exact[here] = products(x[found.q[here]], other[found.at[here] & LOW])
     good = exact >= floor
     v, w, sim = _top(own + found.q[good], found.at[good], exact[good], k)
@@ -128,7 +128,7 @@ def met(index: Index, state: Files, block: int, routes: pa.Table | None, floor:
     pairs = np.unique(place[: len(a)] * max(len(names), 1) + place[len(a) :])
     ia, ib = np.divmod(pairs, max(len(names), 1))
     vecs, worst = np.empty((len(names), index.dim), "<f4"), np.full(len(names), floor)
-    blocks, first = np.unique(names >> 33, return_index=True)
+    blocks, first = np.unique(names >> BITS, return_index=True)
     for other, s, e in zip(blocks, first, np.append(first[1:], len(names))):
         vecs[s:e] = index.vectors(int(other))[0][names[s:e] & LOW]
         lists = state.read(int(other), ["v", "w", "sim"])

@@ -177,28 +177,23 @@ def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {"p9_found": p9_found, "p9_forms": p9_forms, "p9_classes": p9_classes}
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def _oracle() -> str:
-    source, target = character_map()
-    kept = [(a, b) for a, b in zip(source, target)]
-    plain = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
-    for ligature, letters in ligatures().items():
-        plain = f"replace({plain}, '{ligature}', '{letters}')"
-    gone = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in source[len(target) :]) + "]"
-    plain = f"regexp_replace({plain}, {_quoted(gone)}, '', 'g')"
-    plain = f"translate({plain}, {_quoted(''.join(a for a, _ in kept))}, {_quoted(''.join(b for _, b in kept))})"
-    return f"""t AS MATERIALIZED (
-  SELECT * FROM (SELECT doc_id, text, text <> {plain} AS changed, nfc_normalize({plain}) AS form FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(form, '[^\\s\\p{{Z}}\\p{{C}}]'))"""
-
+# By rules of its own and letters typed apart from LOOK_ALIKES: full-width forms by arithmetic, spaces and invisible characters by class.
+_PLAIN = r"replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+for _a, _b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬆ", "st")):
+    _PLAIN = f"replace({_PLAIN}, '{_a}', '{_b}')"
+_PLAIN = rf"regexp_replace(regexp_replace({_PLAIN}, '[\p{{Cf}}\x{{0}}-\x{{8}}\x{{B}}\x{{C}}\x{{E}}-\x{{1F}}\x{{7F}}-\x{{84}}\x{{86}}-\x{{9F}}\x{{FE00}}-\x{{FE0F}}]', '', 'g'), '\p{{Zs}}', ' ', 'g')"
+_PLAIN = f"translate({_PLAIN}, '{''.join(map(chr, range(0xFF01, 0xFF5F)))}', '{''.join(map(chr, range(0x21, 0x7F))).replace(chr(39), chr(39) * 2)}')"
+_PLAIN = f"""translate({_PLAIN},
+  'аеорсухіјѕһԛԝѵӏԁАВЕКМНОРСТХУІЈЅԌԚԜѴӀҮαορνϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿёЁїЇ․‐‑ʼ\u2028\u2029\u0085',
+  'aeopcyxijshqwvldABEKMHOPCTXYIJSGQWVIYaopvcjABEZHIKMNOPTYXCJëËïÏ.--’\n\n\n')"""
+_SHOWN = f"""t AS MATERIALIZED (
+  SELECT * FROM (SELECT doc_id, text, text <> {_PLAIN} AS changed, nfc_normalize({_PLAIN}) AS form FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(form, '[^\\s\\p{{Z}}\\p{{C}}]'))"""
 
 ORACLES = {
-    "p9_found": f"WITH {_oracle()} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM t a JOIN t b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
-    "p9_classes": f"""WITH {_oracle()}
+    "p9_found": f"WITH {_SHOWN} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM t a JOIN t b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
+    "p9_classes": f"""WITH {_SHOWN}
 SELECT min(doc_id) AS class_id, min(struct_pack(c := changed, d := doc_id)).d AS form_id, count(DISTINCT text) AS variants, count(*) AS documents FROM t GROUP BY form HAVING count(DISTINCT text) > 1""",
-    "p9_forms": f"""WITH {_oracle()},
+    "p9_forms": f"""WITH {_SHOWN},
 c AS (SELECT form, min(struct_pack(c := changed, d := doc_id)).d AS form_id FROM t GROUP BY form)
 SELECT t.doc_id, c.form_id, t.text <> o.text AS changed, o.text AS form FROM t JOIN c USING (form) JOIN t o ON o.doc_id = c.form_id""",
 }

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.vectors import STEP, UNIT_SQL, Candidates, Index, indexed, products, usable
+from corpusloom.llm.vectors import BITS, STEP, UNIT_SQL, Candidates, Index, indexed, products, usable
 from corpusloom.operators.skew import skew_join, top_n
 from corpusloom.session import Scratch
 
@@ -30,11 +30,11 @@ def scanned(index: Index, block: int, k: int, floor: float | None) -> pa.Table |
         return None
     lowest = -2.0 if floor is None else floor
     found = Candidates(len(vecs), k, lowest, MARGIN * index.blur)
-    own = np.int64(block) << 33
+    own = np.int64(block) << BITS
 
     def visit(wanted: np.ndarray) -> None:
         for b, queries, rows in index.visits(wanted):
-            codes, at = index.decoded(b)[rows], (np.int64(b) << 33) + rows
+            codes, at = index.decoded(b)[rows], (np.int64(b) << BITS) + rows
             for s in range(0, len(queries), STEP):
                 some = queries[s : s + STEP]
                 for r in range(0, len(rows), 4 * STEP):
@@ -49,12 +49,12 @@ def scanned(index: Index, block: int, k: int, floor: float | None) -> pa.Table |
     visit(index.promising(vecs, found.best - found.margin) & ~first)
     q, at = found.q, found.at
     x, cos = np.zeros(len(q), np.int64), np.full(len(q), -3.0)
-    for b in np.unique(at >> 33):
-        here = np.flatnonzero(at >> 33 == b)
+    for b in np.unique(at >> BITS):
+        here = np.flatnonzero(at >> BITS == b)
         other, names = index.vectors(int(b))
         for s in range(0, len(here), 16384):
             part = here[s : s + 16384]
-            row = at[part] - (b << 33)
+            row = at[part] - (b << BITS)
             x[part], cos[part] = names[row], products(vecs[q[part]], other[row])
     good = cos >= lowest - 1e-7
     q, x, cos = q[good], x[good], cos[good]
