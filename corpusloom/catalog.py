@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import geometry, names, vec
-from corpusloom.operators import dedup, detections, hamming, quality, split, taxonomy
+from corpusloom.operators import dedup, detections, hamming, inference, quality, split, taxonomy
 from corpusloom.operators.components import components
 from corpusloom.plans import evaluation, exports, reports, scoring
 from corpusloom.plans.prototype import CAP, Prototypes, build, capped
@@ -625,7 +625,7 @@ def _tree(spark: SparkSession) -> str:
         "raw/oxford/images/Bengal_cat_1.jpg": image(10, 10), "raw/oxford/images/shiba_inu_2.jpg": image(10, 12), "raw/oxford/annotations/xmls/shiba_inu_2.xml": note(box("bndbox", 1, 2, 5, 8)),
         "raw/tsinghua/Low-Annotations/none.txt": b"", "raw/tsinghua/low-resolution/9-n1-shiba-inu/x.jpg": image(100, 100),
         "raw/tsinghua/annotations/Low-Annotations/9-n1-shiba-inu/x.jpg.xml": note(box("bodybndbox", 0, 0, 50, 50), box("headbndbox", 10, 10, 20, 30)),
-        "split/pug/1.PNG": b"x", "split/pug/split/2.png": b"x", "split/beagle/3.webp": b"x", "split/beagle/4.txt": b"x", "labels.json": json.dumps(coco).encode(),
+        "split/pug/1.PNG": b"x", "split/pug/split/2.png": b"x", "split/beagle/3.webp": b"x", "split/beagle/4.txt": b"x", "pictures/red.png": sinks.png(np.full((14, 28, 3), (250, 10, 20), np.uint8)), "pictures/bad.png": b"x", "labels.json": json.dumps(coco).encode(),
     }
     for name, data in files.items():
         sinks.put_file(spark, f"{scratch.root}/{name}", data)
@@ -673,6 +673,31 @@ def label_tree(spark: SparkSession, sf: str) -> DataFrame:
     return trees[0].select(columns).unionByName(trees[1].select(columns)).unionByName(trees[2].select(columns))
 
 
+@query("SELECT 'red.png' AS name, 28 AS width, 14 AS height, '250 10 20' AS first UNION ALL SELECT 'bad.png', NULL, NULL, NULL")
+def decoded_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Pictures decoded, with their first pixel."""
+    first = F.concat_ws(" ", *[F.conv(F.hex(F.substring("rgb", i, 1)), 16, 10) for i in (1, 2, 3)])
+    rows = files.pixels(spark, f"{_tree(spark)}/pictures")
+    return rows.select(names.file_name(F.col("path")).alias("name"), "width", "height", F.when(F.col("rgb").isNotNull(), first).alias("first"))
+
+
+@query("SELECT 'red.png' AS name, 16 AS class_id, 0.366013e0 AS conf, [7e0, 3.5e0, 21e0, 10.5e0] AS bbox")
+def detected_files(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stand-in detector finds in the pictures."""
+    found = detections.wanted(inference.detect(files.pixels(spark, f"{_tree(spark)}/pictures"), inference.HashDetector))
+    return found.select(names.file_name(F.col("path")).alias("name"), "class_id", "conf", "bbox")
+
+
+@query("SELECT 'red.png' AS name, 0.366013e0 AS conf, 192 AS numbers, 1e0 AS length UNION ALL SELECT 'bad.png', NULL, NULL, NULL")
+def embedded_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The vector of the best crop of each picture, by the stand-in models: its numbers and length."""
+    rows = inference.embed_best(files.pixels(spark, f"{_tree(spark)}/pictures"), inference.HashDetector, inference.MeanEncoder, size=28)
+    known = F.col("embedding").isNotNull()
+    return rows.select(
+        names.file_name(F.col("path")).alias("name"), "conf", F.when(known, F.size("embedding")).alias("numbers"), F.round(vec.length(vec.doubles("embedding")), 4).alias("length")
+    )
+
+
 # ---------------------------------------------------------------- detections and annotations (events)
 
 
