@@ -141,7 +141,12 @@ class Trie:
                 self.beginnings.setdefault(first[:k], []).append(first)
         for form, own in self.outright.items():
             self.whole[form] = dict.fromkeys(own, allowed(len(form)))
-        self.roots = [_tree((f, list(ends.items())) for f, ends in self.whole.items()), _tree((f, [f]) for f in self.firsts), _tree((f, [(kind, full, f) for kind, full in of]) for f, of in self.kinds.items())]
+        # only what may have errors is searched: kinds in any form but the shortest after a first word, kinds in full before one
+        ends = {f: [(kind, full, f) for kind, full in of] for f, of in self.kinds.items()}
+        whole, firsts = ((f, list(e.items())) for f, e in self.whole.items()), ((f, [f]) for f in self.firsts)
+        after = ((f, own) for f, e in ends.items() if (own := [x for x in e if x[1] or len(f) > 3]))
+        before = ((f, own) for f, e in ends.items() if (own := [x for x in e if x[1]]))
+        self.roots = [_tree(forms) for forms in (whole, firsts, after, before)]
 
     def _add(self, form: str, entry: int, errors: int | None = None) -> None:
         errors = allowed(len(form)) if errors is None else min(errors, allowed(len(form)))
@@ -186,14 +191,14 @@ class Trie:
         accept, full = 1 << size, (1 << size + 1) - 1
         # bit p of state e: the form so far reads the first p letters of the word with e errors
         start = [(1 << e + 1) - 1 & full for e in range(most + 1)]
-        stack: list[tuple] = [(root, start, None, 0, kind, None) for kind, root in enumerate(self.roots)]
+        stack: list[tuple] = [(self.roots[tree], start, None, 0, tree, None) for tree in (0, 1, 3)]
         while stack:
             node, state, before, last, tree, joined = stack.pop()
             for c, child in node.items():
                 if c == "":
                     if joined is None and tree == 1:
                         stack += [(self.roots[2], state, before, last, 2, first) for first in child]
-                    elif joined is None and tree == 2:
+                    elif tree == 3:
                         stack.append((self.roots[1], state, before, last, 1, child))
                     errors = next((e for e, bits in enumerate(state) if bits & accept), None)
                     if errors is None:
