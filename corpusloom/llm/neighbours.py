@@ -15,12 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.vectors import BITS, STEP, UNIT_SQL, Candidates, Index, indexed, products, usable
+from corpusloom.llm.vectors import BITS, BLUR, ROOM, STEP, UNIT_SQL, Candidates, Index, indexed, products, usable
 from corpusloom.operators.skew import skew_join, top_n
 from corpusloom.session import Scratch
 
 #: How many deviations of the estimates a candidate may lie below the k-th best estimate, which luck has raised, or below the floor.
 MARGIN = 4.0
+#: Share of the estimates of a chunk from which on, if they are near enough, the chunk is scored by the vectors themselves, as
+#: happens among near-copies that differ by less than codes can tell.
+DENSE = 0.02
 
 
 def scanned(index: Index, block: int, k: int, floor: float | None) -> pa.Table | None:
@@ -29,25 +32,38 @@ def scanned(index: Index, block: int, k: int, floor: float | None) -> pa.Table |
     if not len(vecs):
         return None
     lowest = -2.0 if floor is None else floor
-    found = Candidates(len(vecs), k, lowest, MARGIN * index.blur)
+    found, sure = Candidates(len(vecs), k, lowest, MARGIN * index.blur), Candidates(len(vecs), k, lowest, 2 * BLUR)
     own = np.int64(block) << BITS
 
     def visit(wanted: np.ndarray) -> None:
         for b, queries, rows in index.visits(wanted):
-            codes, at = index.decoded(b)[rows], (np.int64(b) << BITS) + rows
+            codes, at, raw = index.decoded(b)[rows], (np.int64(b) << BITS) + rows, None
             for s in range(0, len(queries), STEP):
                 some = queries[s : s + STEP]
                 for r in range(0, len(rows), 4 * STEP):
+                    here = at[r : r + 4 * STEP]
+                    itself = (own + some)[:, None] == here[None] if b == block else None
                     guess = vecs[some] @ codes[r : r + 4 * STEP].T
-                    if b == block:
-                        guess[(own + some)[:, None] == at[None, r : r + 4 * STEP]] = -3  # itself
-                    found.add(some, at[r : r + 4 * STEP], guess)
+                    if itself is not None:
+                        guess[itself] = -3
+                    near = found.near(some, guess)
+                    if near.mean() <= DENSE or near.sum() <= ROOM * k * len(some):
+                        found.add(some, here, guess, near)
+                        continue
+                    raw = index.vectors(b)[0][rows] if raw is None else raw
+                    exact = vecs[some] @ raw[r : r + 4 * STEP].T
+                    if itself is not None:
+                        exact[itself] = -3
+                    sure.add(some, here, exact)
+                    found.best = np.maximum(found.best, sure.best)
+        sure.settle()
+        found.best = np.maximum(found.best, sure.best)
         found.settle()
 
     first = index.nearby(vecs, block)
     visit(first)
     visit(index.promising(vecs, found.best - found.margin) & ~first)
-    q, at = found.q, found.at
+    q, at = np.concatenate([found.q, sure.q]), np.concatenate([found.at, sure.at])
     x, cos = np.zeros(len(q), np.int64), np.full(len(q), -3.0)
     for b in np.unique(at >> BITS):
         here = np.flatnonzero(at >> BITS == b)
@@ -59,6 +75,7 @@ def scanned(index: Index, block: int, k: int, floor: float | None) -> pa.Table |
     good = cos >= lowest - 1e-7
     q, x, cos = q[good], x[good], cos[good]
     order = np.lexsort((x, -np.round(cos, 6), q))
+    order = order[np.concatenate([[True], (q[order[1:]] != q[order[:-1]]) | (x[order[1:]] != x[order[:-1]])])] if len(order) else order
     q, x, cos = q[order], x[order], cos[order]
     near = np.arange(len(q)) - np.searchsorted(q, q) < k
     return pa.table({"q": pa.array(vids[q[near]], pa.int64()), "x": pa.array(x[near], pa.int64()), "cos": pa.array(cos[near], pa.float64())})

@@ -166,15 +166,19 @@ class Candidates:
         self.open: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.waiting = 0
 
-    def add(self, queries: np.ndarray, at: np.ndarray, guess: np.ndarray) -> None:
-        """The estimates (query, row) of some queries, whose numbers rise, with the rows at these addresses."""
+    def near(self, queries: np.ndarray, guess: np.ndarray) -> np.ndarray:
+        """Which of the estimates (query, row) of some queries are near enough so far."""
         near = guess >= (self.best[queries] - self.margin)[:, None]
         many = np.flatnonzero(near.sum(1) > ROOM * self.k)
         if len(many):  # the k-th best of these rows alone is a bound
             kth = -np.partition(-guess[many], self.k - 1, axis=1)[:, self.k - 1]
             self.best[queries[many]] = np.maximum(self.best[queries[many]], kth)
             near[many] = guess[many] >= (self.best[queries[many]] - self.margin)[:, None]
-        row, col = np.nonzero(near)
+        return near
+
+    def add(self, queries: np.ndarray, at: np.ndarray, guess: np.ndarray, near: np.ndarray | None = None) -> None:
+        """The estimates (query, row) of some queries with the rows at these addresses, as far as they are near enough."""
+        row, col = np.nonzero(self.near(queries, guess) if near is None else near)
         self.open.append((queries[row], at[col], guess[row, col]))
         self.waiting += len(row)
         if self.waiting > 16 * self.k * self.m:

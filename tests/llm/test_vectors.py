@@ -169,6 +169,19 @@ def test_hot_group_of_near_copies(spark, monkeypatch):
     assert (len(got & want) / len(want), len(got - want)) == (1, 0)
 
 
+def test_copies_nearer_than_codes_can_tell(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SMALL", 300)
+    rng = np.random.default_rng(12)
+    rows = [(f"hot-{k:04}", v) for k, v in enumerate(blob(rng, np.eye(DIM)[1], 900, 0.1))] + [(f"lone-{k:03}", v) for k, v in enumerate(rng.normal(size=(100, DIM)))]
+    s = np.round(cosines(rows), 6)
+    ids, want = [i for i, _ in rows], set()
+    for a in range(900):
+        near = sorted((-s[a, b], ids[b]) for b in range(len(rows)) if b != a and s[a, b] >= 0.80)[:10]
+        want |= {(min(ids[a], i), max(ids[a], i)) for _, i in near}
+    got = {tuple(r) for r in neighbours.similar_pairs(table(spark, rows), Scratch(spark, "n")).collect()}
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
+
+
 def test_one_link_between_dense_groups(spark, scratch, monkeypatch):
     monkeypatch.setattr(vectors, "SMALL", 50)
     rng = np.random.default_rng(10)
