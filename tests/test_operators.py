@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import geometry, names, vec
 from corpusloom.operators import components as grid
-from corpusloom.operators import dedup, detections, quality, skew, split, taxonomy
+from corpusloom.operators import dedup, detections, hamming, quality, skew, split, taxonomy
 from corpusloom.operators.components import components
 from corpusloom.operators.hamming import cost, hamming_pairs, hash_classes, layout, representatives
 from corpusloom.operators.skew import ranked, skew_join, top_n
@@ -145,6 +145,43 @@ def test_hamming_blocks_cover_the_distance():
     assert cheapest(36_000_000) < 3000 * cheapest(360_000)
 
 
+def test_hamming_parts_equal_brute_force(spark, monkeypatch):
+    """Several parts and shares, runs and tiles that end within a bucket, and a block that a third of all hashes share."""
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(200)]
+    values = base + [h ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for h in base for _ in range(2)] + [rng.getrandbits(16) for _ in range(300)]
+    values = sorted(set(values))
+    want = {(a, b) for n, a in enumerate(values) for b in values[n + 1 :] if (a ^ b).bit_count() <= 10}
+    rows = [(f"{h:016x}", f"{h:016x}") for h in values]
+    monkeypatch.setattr(hamming, "PART", 150)
+    monkeypatch.setattr(hamming, "TASK", 100_000)
+    own = representatives(spark.createDataFrame(rows, "image_id string, phash_hex string"))
+    assert sorted((r.id_a, r.id_b) for r in hamming_pairs(own).collect()) == sorted((f"{a:016x}", f"{b:016x}") for a, b in want)
+    monkeypatch.setattr(hamming, "RUN", 7)
+    monkeypatch.setattr(hamming, "TILE", 50)
+    x, parts, found = np.array(values, np.uint64), layout(4, 10), []
+    for at in range(4):
+        for share in range(3):
+            a, b = hamming.near_pairs(x, None, parts, at, 9, 10, share, 3)
+            found += [(min(p), max(p)) for p in zip(a.tolist(), b.tolist())]
+    assert sorted(found) == sorted(want)
+
+
+def test_hamming_shuffles_in_proportion(spark):
+    """What is looked up isn't shuffled: a few times the hashes and ids themselves."""
+    rng = random.Random(6)
+    rows = [(f"{i:08}", f"{rng.getrandbits(64):016x}") for i in range(20_000)]
+    own = representatives(spark.createDataFrame(rows, "image_id string, phash_hex string"))
+    written = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before, most = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables too large for it
+    try:
+        hamming_pairs(own).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert 0 < written() - before < 200 * len(rows)
+
+
 def test_greedy_equals_one_by_one():
     rng = random.Random(3)
     for _ in range(200):
