@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.vectors import BITS, BLUR, STEP, UNIT_SQL, Candidates, Files, Index, block_of, indexed, products, usable
+from corpusloom.llm.vectors import BITS, BLUR, STEP, UNIT_SQL, Candidates, Files, Index, Raw, block_of, indexed, products, usable
 from corpusloom.operators.components import connected, union_find
 from corpusloom.operators.skew import skew_join, top_n
 from corpusloom.session import Scratch
@@ -77,12 +77,12 @@ def _coded(v: np.ndarray, w: np.ndarray, old_v: np.ndarray, old_w: np.ndarray) -
 
 def started(index: Index, block: int, floor: float, k: int) -> pa.Table | None:
     """Lists of the k nearest of each vector of a block within it and in STARTS pieces nearby, cosines exact and at least ``floor``."""
-    x, _ = index.vectors(block)
+    x = index.raw.read(block)
     if not len(x):
         return None
     own, found = np.int64(block) << BITS, Candidates(len(x), k, floor, BLUR)
     for b, queries, rows in index.visits(index.nearby(x, block, STARTS)):
-        other, at = index.vectors(b)[0][rows], (np.int64(b) << BITS) + rows
+        other, at = index.raw.read(b)[rows], (np.int64(b) << BITS) + rows
         for s in range(0, len(queries), STEP):
             some = queries[s : s + STEP]
             cos = x[some] @ other.T
@@ -92,14 +92,14 @@ def started(index: Index, block: int, floor: float, k: int) -> pa.Table | None:
     found.settle()
     exact = np.empty(len(found.q))
     for b in np.unique(found.at >> BITS):
-        here, other = np.flatnonzero(found.at >> BITS == b), index.vectors(int(b))[0]
+        here, other = np.flatnonzero(found.at >> BITS == b), index.raw.read(int(b))
         exact[here] = products(x[found.q[here]], other[found.at[here] & LOW])
     good = exact >= floor
     v, w, sim = _top(own + found.q[good], found.at[good], exact[good], k)
     return _lists(v, w, sim, np.ones(len(v), bool))
 
 
-def met(index: Index, state: Files, block: int, routes: pa.Table | None, floor: float, k: int) -> pa.Table:
+def met(index: Index, state: Files, worsts: Raw, block: int, routes: pa.Table | None, floor: float, k: int) -> pa.Table:
     """Edges (v, w, sim) that improve a list: neighbours of one vector of the block, and each v of ``routes`` (v, xs; of the block) with its xs.
 
     Pairs of which both have heard before are left out; an edge comes both ways if it improves both lists.
@@ -130,15 +130,10 @@ def met(index: Index, state: Files, block: int, routes: pa.Table | None, floor:
     vecs, worst = np.empty((len(names), index.dim), "<f4"), np.full(len(names), floor)
     blocks, first = np.unique(names >> BITS, return_index=True)
     for other, s, e in zip(blocks, first, np.append(first[1:], len(names))):
-        vecs[s:e] = index.vectors(int(other))[0][names[s:e] & LOW]
-        lists = state.read(int(other), ["v", "w", "sim"])
-        heads, _, sims = _flat(lists)
-        if len(heads):
-            # the least similarity that gets into a full list
-            who, start, n = np.unique(heads, return_index=True, return_counts=True)
-            least = np.where(n >= k, np.minimum.reduceat(sims, start), floor)
-            spot = np.minimum(np.searchsorted(who, names[s:e]), len(who) - 1)
-            worst[s:e] = np.where(who[spot] == names[s:e], least[spot], floor)
+        vecs[s:e] = index.raw.take(int(other), names[s:e] & LOW)
+        least = worsts.read(int(other))[:, 0]
+        known = (names[s:e] & LOW) < len(least)
+        worst[s:e][known] = least[names[s:e][known] & LOW]
     vs, ws, ss = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for p in range(0, len(pairs), 16384):
         i, j = ia[p : p + 16384], ib[p : p + 16384]
@@ -153,6 +148,16 @@ def met(index: Index, state: Files, block: int, routes: pa.Table | None, floor:
     return _edges(*_top(np.concatenate(vs), np.concatenate(ws), np.concatenate(ss), k))
 
 
+def worst_of(lists: pa.Table | None, floor: float, k: int) -> np.ndarray:
+    """The least similarity that gets into the list of each row of a block, by place, up to the last that has one."""
+    heads, _, sims = _flat(lists)
+    out = np.full(int(heads[-1] & LOW) + 1 if len(heads) else 0, floor)
+    if len(heads):
+        who, start, n = np.unique(heads, return_index=True, return_counts=True)
+        out[who & LOW] = np.where(n >= k, np.minimum.reduceat(sims, start), floor)
+    return out
+
+
 def improved(state: Files, block: int, found: pa.Table, k: int) -> pa.Table:
     """The lists of a block with the edges ``found`` (v, w, sim) for it."""
     old_v, old_w, old_sim = _flat(state.read(block, ["v", "w", "sim"]))
@@ -182,19 +187,28 @@ def graph_of(index: Index, spark: SparkSession, floor: float, scratch: Scratch,
 
         return rows.unionByName(every).repartitionById(index.blocks, "block").mapInArrow(task, schema)
 
-    lists = scratch.put(index.each_block(spark, lambda block: started(index, block, floor, k), LISTS), "lists0")
+    root = scratch.root
+
+    def noted(t: int, block: int, lists: pa.Table | None) -> pa.Table | None:
+        """``lists``, after writing what gets into them for the workers of the round."""
+        for _ in Raw(f"{root}/worst{t}", "<f8", 1).write(block, iter([worst_of(lists, floor, k)])):
+            pass
+        return lists
+
+    lists = scratch.put(index.each_block(spark, lambda block: noted(0, block, started(index, block, floor, k)), LISTS), "lists0")
     t = 0
     while lists.filter(F.exists("fresh", lambda f: f)).limit(1).count():
-        state = Files(scratch, f"lists{t}")
+        state, worsts = Files(scratch, f"lists{t}"), Raw(f"{root}/worst{t}", "<f8", 1)
         heard = lists.select("v", F.explode(F.arrays_zip("w", "fresh")).alias("e")).select("v", F.col("e.w").alias("mid"), F.col("e.fresh").alias("fresh"))
         told = lists.select(F.col("v").alias("mid"), "w", F.transform(F.filter(F.arrays_zip("w", "fresh"), lambda e: e["fresh"]), lambda e: e["w"]).alias("news"))
         routes = skew_join(heard, told, "mid", rows=index.rows * k).select(block_of("v").alias("block"), "v", F.when(F.col("fresh"), F.col("w")).otherwise(F.col("news")).alias("xs"))
-        found = by_block(routes.filter("size(xs) > 0"), lambda b, rows, state=state: met(index, state, b, rows, floor, k), EDGE)
+        found = by_block(routes.filter("size(xs) > 0"), lambda b, rows, state=state, worsts=worsts: met(index, state, worsts, b, rows, floor, k), EDGE)
         found = found.select(block_of("v").alias("block"), "v", "w", "sim")
         empty = _edges(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        better = by_block(found, lambda b, rows, state=state: improved(state, b, empty if rows is None else rows, k), LISTS)
+        better = by_block(found, lambda b, rows, state=state, t=t: noted(t + 1, b, improved(state, b, empty if rows is None else rows, k)), LISTS)
         lists = scratch.put(better, f"lists{t + 1}")
         scratch.drop(f"lists{t}")
+        scratch.drop(f"worst{t}")
         t += 1
     edges = lists.select("v", F.explode(F.arrays_zip("w", "sim")).alias("e"))
     return edges.select("v", F.col("e.w").alias("w"), F.col("e.sim").alias("sim"))
@@ -213,7 +227,7 @@ def _labelled(index: Index, spark: SparkSession, graph: DataFrame, table: DataFr
 
 def checked(index: Index, roots: Files, block: int, floor: float) -> pa.Table | None:
     """(u, v): components that must be joined, as a vector of the block is alike to one of a piece that may hold such."""
-    x, _ = index.vectors(block)
+    x = index.raw.read(block)
     if not len(x):
         return None
     own = roots.read(block, ["root"])["root"].to_numpy()
@@ -225,12 +239,12 @@ def checked(index: Index, roots: Files, block: int, floor: float) -> pa.Table |
         at = np.minimum(np.searchsorted(old, r), len(old) - 1)
         return np.where(old[at] == r, new[at], r)
 
-    wanted = index.nearby(x, block) | index.promising(x, np.full(len(x), floor, np.float32))
+    wanted = index.nearby(x, block, least=floor)
     for b, queries, rows in index.visits(wanted):
         theirs = roots.read(b, ["root"])["root"].to_numpy()[rows]
         if (now(own[queries])[:, None][:1] == now(theirs)[None]).all() and len(np.unique(now(own[queries]))) == 1:
             continue  # all of one component
-        other = index.vectors(b)[0][rows]
+        other = index.raw.read(b)[rows]
         for s in range(0, len(queries), STEP):
             part = queries[s : s + STEP]
             for r in range(0, len(rows), 4 * STEP):

@@ -50,7 +50,7 @@ def scanned(index: Index, block: int, k: int, floor: float | None) -> pa.Table |
                     if near.mean() <= DENSE or near.sum() <= ROOM * k * len(some):
                         found.add(some, here, guess, near)
                         continue
-                    raw = index.vectors(b)[0][rows] if raw is None else raw
+                    raw = index.raw.read(b)[rows] if raw is None else raw
                     exact = vecs[some] @ raw[r : r + 4 * STEP].T
                     if itself is not None:
                         exact[itself] = -3
@@ -95,6 +95,7 @@ def neighbours(vectors: DataFrame, k: int, floor: float | None, scratch: Scratch
     index, _ = indexed(vectors, n, scratch)
     found = scratch.put(index.each_block(spark, lambda block: scanned(index, block, k, floor), schema), "found")
     scratch.drop("index")
+    scratch.drop("index-raw")
     # what a vector's admirers found matters only if it comes up to the vector's own k-th
     own = found.groupBy("q").agg(F.min("cos").alias("kth"), F.count(F.lit(1)).alias("n"))
     worth = own.select(F.col("q").alias("x"), F.when(F.col("n") >= k, F.col("kth")).otherwise(-2.0).alias("kth"))

@@ -1,6 +1,6 @@
 """What the vector problems share: usable vectors, copies folded into one, and an index whose blocks workers read by themselves.
 
-The index holds every vector in the bucket of its nearest pivot, raw and as a code of four bits a
+The index holds every vector in the bucket of its nearest pivot, raw in files of their own and as a code of four bits a
 place, sorted by bucket and cut into blocks, a file each in the shared folder. Pieces, the rows of one
 bucket and one band of nearness to its pivot in one block, have their mean and spread; from these follows how good a neighbour a piece may
 hold for a query, hence which pieces it must visit. Vectors are shuffled once, into their blocks; whoever
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ ROOM = 4
 BLUR = 1e-5
 #: Pieces that every query visits whatever they promise; better neighbours that all the pieces it skips may hold, by expectation; margin on their spread.
 FIRST, MISSED, SPREAD = 24, 0.001, 1.5
+#: Rows of a block in FEW_ROWS of which all are read rather than those wanted.
+FEW_ROWS = 8
 #: Bits of an address below the block.
 BITS = 33
 
@@ -218,19 +221,57 @@ class Files:
             return pa.parquet.ParquetFile(source).read(columns=columns, use_threads=False)
 
 
+class Raw:
+    """Rows of ``width`` numbers in a file a block, not compressed, so that workers read those they need by their place."""
+
+    def __init__(self, where: str, kind: str, width: int):
+        self.where, self.kind, self.width = where, kind, width
+        self.size = np.dtype(kind).itemsize * width
+
+    def _file(self, block: int) -> tuple[pa.fs.FileSystem, str]:
+        return pa.fs.FileSystem.from_uri(f"{self.where}/{block}")
+
+    def write(self, block: int, parts: Iterator[np.ndarray]) -> Iterator[None]:
+        """Write ``parts`` one after another, each when asked for the next; the file is there once all are written, the same from any attempt."""
+        files, path = self._file(block)
+        files.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        part = f"{path}.{uuid.uuid4().hex}"
+        with files.open_output_stream(part) as sink:
+            for x in parts:
+                sink.write(np.ascontiguousarray(x, self.kind).tobytes())
+                yield
+        files.move(part, path)
+
+    def read(self, block: int) -> np.ndarray:
+        """All rows of a block, none if it has no file."""
+        files, path = self._file(block)
+        if files.get_file_info(path).type == pa.fs.FileType.NotFound:
+            return np.zeros((0, self.width), self.kind)
+        with files.open_input_file(path) as source:
+            return np.frombuffer(source.read(), self.kind).reshape(-1, self.width)
+
+    def take(self, block: int, rows: np.ndarray) -> np.ndarray:
+        """Some rows of a block; the whole file is read only for many of them."""
+        files, path = self._file(block)
+        with files.open_input_file(path) as source:
+            if len(rows) * FEW_ROWS >= source.size() // self.size:
+                return np.frombuffer(source.read(), self.kind).reshape(-1, self.width)[rows]
+            parts = [source.read_at(self.size, int(r) * self.size) for r in rows]
+            return np.frombuffer(b"".join(parts), self.kind).reshape(-1, self.width)
+
+
 class Index:
     """The blocks of an index, their pieces and codes; workers get it by pickling, which carries names of files, codebooks and sizes only."""
 
-    def __init__(self, files: Files, pieces: Files, blocks: int, dim: int, books: np.ndarray, blur: float, rows: int):
+    def __init__(self, files: Files, raw: Raw, pieces: Files, blocks: int, dim: int, books: np.ndarray, blur: float, rows: int):
+        self.raw = raw
         self.files, self.piece_files, self.blocks, self.dim, self.books, self.blur, self.rows = files, pieces, blocks, dim, books, blur, rows
         self._pieces: tuple | None = None
 
     def vectors(self, block: int, columns: tuple[str, ...] = ("vid",)) -> tuple[np.ndarray, ...]:
         """The raw vectors of a block, then other columns of it."""
-        t = self.files.read(block, ["vec", *columns])
-        if t is None:
-            return (np.zeros((0, self.dim), "<f4"), *[np.zeros(0, np.int64) for _ in columns])
-        return (matrix(t["vec"], self.dim), *[t[c].to_numpy() for c in columns])
+        t = self.files.read(block, list(columns)) if columns else None
+        return (self.raw.read(block), *[np.zeros(0, np.int64) if t is None else t[c].to_numpy() for c in columns])
 
     def decoded(self, block: int) -> np.ndarray:
         """The vectors of a block as their codes have them."""
@@ -256,13 +297,16 @@ class Index:
         _, _, _, mean, _, reach = self.pieces()
         return np.concatenate([q[a : a + STEP] @ mean.T >= least[a : a + STEP, None] - reach[None] for a in range(0, len(q), STEP)])
 
-    def nearby(self, q: np.ndarray, own: int, first: int = FIRST) -> np.ndarray:
-        """(query, piece): whether the piece is of the ``own`` block or one of the ``first`` whose means point most nearly to the query."""
-        block, _, _, mean, length, _ = self.pieces()
+    def nearby(self, q: np.ndarray, own: int, first: int = FIRST, least: float | None = None) -> np.ndarray:
+        """(query, piece): whether the piece is of the ``own`` block or one of the ``first`` whose means point most nearly to the query, or is ``promising`` for ``least``, if given."""
+        block, _, _, mean, length, reach = self.pieces()
         out = np.zeros((len(q), len(block)), bool)
         out[:, block == own] = True
         for a in range(0, len(q), STEP):
-            cos = (q[a : a + STEP] @ mean.T) / np.maximum(length, 1e-9)[None]
+            product = q[a : a + STEP] @ mean.T
+            if least is not None:
+                out[a : a + STEP] |= product >= np.float32(least) - reach[None]
+            cos = product / np.maximum(length, 1e-9)[None]
             near = np.argpartition(-cos, first, axis=1)[:, :first] if cos.shape[1] > first else np.broadcast_to(np.arange(cos.shape[1]), cos.shape)
             np.put_along_axis(out[a : a + STEP], near, True, 1)
         return out
@@ -324,24 +368,41 @@ def indexed(vectors: DataFrame, rows: int, scratch: Scratch, name: str = "index"
                 arrays = [pa.array(block), pa.array((bucket * BANDS + band).astype(np.int32)), batch.column(0), blobs(quantise.pack(quantise.code(x, books))), batch.column(1)]
                 yield pa.RecordBatch.from_arrays(arrays, ["block", "bucket", "vid", "code", "vec"])
 
+    raw = Raw(f"{scratch.root}/{name}-raw", "<f4", dim)
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the rows of one block, in their order
+        sink, held = None, []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(matrix(batch.column(4), dim))
+                sink = sink or raw.write(batch.column(0)[0].as_py() >> BITS, (held.pop() for _ in iter(lambda: len(held), 0)))
+                next(sink)
+                yield pa.RecordBatch.from_arrays(batch.columns[:4], ["at", "bucket", "vid", "code"])
+        if sink:
+            next(sink, None)  # nothing is left: the file takes its name
+
     placed = vectors.select("vid", "vec").mapInArrow(place, "block int, bucket int, vid bigint, code binary, vec binary")
     table = placed.repartitionById(blocks, "block").sortWithinPartitions("bucket", "vid").withColumn("at", F.monotonically_increasing_id())
-    table = scratch.put(table.select("at", "bucket", "vid", "code", "vec"), name)
+    table = scratch.put(table.select("at", "bucket", "vid", "code", "vec").mapInArrow(store, "at bigint, bucket int, vid bigint, code binary"), name)
+    files = Files(scratch, name)
 
-    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                at, bucket, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2), dim)
-                edge = np.flatnonzero((bucket[1:] != bucket[:-1]) | (at[1:] >> BITS != at[:-1] >> BITS)) + 1
-                first = np.concatenate([[0], edge])
-                n = np.diff(np.concatenate([first, [len(x)]]))
-                means = (np.add.reduceat(x, first, axis=0) / n[:, None]).astype("<f2")
-                arrays = [pa.array((at[first] >> BITS).astype(np.int32)), pa.array((at[first] & ((1 << BITS) - 1)).astype(np.int32)), pa.array(n.astype(np.int32)), blobs(means)]
-                yield pa.RecordBatch.from_arrays(arrays, ["block", "start", "n", "mean"])
-
-    scratch.put(table.select("at", "bucket", "vec").mapInArrow(mean, "block int, start int, n int, mean binary").coalesce(8), f"{name}-pieces")
+            for block in batch.column(0).to_pylist():
+                t = files.read(block, ["bucket"])
+                if t is not None and t.num_rows:
+                    bucket, x = t["bucket"].to_numpy(), raw.read(block)
+                    first = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
+                    n = np.diff(np.append(first, len(x)))
+                    middle = (np.add.reduceat(x, first, axis=0) / n[:, None]).astype("<f2")
+                    arrays = [pa.array(np.full(len(n), block, np.int32)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), blobs(middle)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["block", "start", "n", "mean"])
+
+    every = spark.range(0, blocks, 1, blocks).mapInArrow(means, "block int, start int, n int, mean binary")
+    scratch.put(every.repartition(8), f"{name}-pieces")
     shared.unpersist()
-    return Index(Files(scratch, name), Files(scratch, f"{name}-pieces"), blocks, dim, books, blur, rows), table.select("at", "vid")
+    return Index(files, raw, Files(scratch, f"{name}-pieces"), blocks, dim, books, blur, rows), table.select("at", "vid")
 
 
 #: SQL of the usable unit vectors u (image_id, w) of image_vectors, for comparison on small tables.

@@ -78,6 +78,30 @@ def test_clusters(spark, scratch, monkeypatch):
     assert np.mean(hits) >= 0.95
 
 
+def test_descent_reads_rows_not_blocks(spark, scratch, monkeypatch):
+    """A round that compares few vectors of a block reads these only, and what gets into their lists, not all lists of the block."""
+    monkeypatch.setattr(vectors, "SMALL", 150)
+    vecs, _ = vectors.usable(table(spark, made(11, [6] * 10, 1200)), scratch)
+    index, at = vectors.indexed(vecs, vecs.count(), scratch)
+    first = sorted(r.at for r in at.collect())
+    by = [[v for v in first if v >> vectors.BITS == b] for b in range(index.blocks)]
+    lists = clusters._lists(np.array(by[0][:1] * 2), np.array([by[1][3], by[2][5]]), np.array([0.5, 0.5]), np.ones(2, bool))
+    state = scratch.put(spark.createDataFrame(lists.to_pandas(), clusters.LISTS).coalesce(1), "some")
+    assert state.count() == 1
+    worsts = vectors.Raw(f"{scratch.root}/some-worst", "<f8", 1)
+    for b in range(index.blocks):
+        list(worsts.write(b, iter([np.full(len(by[b]), -1.0)])))
+    taken = []
+    take = vectors.Raw.take
+    monkeypatch.setattr(vectors.Raw, "take", lambda self, block, rows: taken.append((block, rows.tolist())) or take(self, block, rows))
+    monkeypatch.setattr(vectors.Raw, "read", lambda self, block, read=vectors.Raw.read: read(self, block) if self is worsts else pytest.fail("a whole block is read"))
+    found = clusters.met(index, vectors.Files(scratch, "some"), worsts, 0, None, -1.0, 10).to_pydict()
+    assert taken == [(1, [3]), (2, [5])]
+    monkeypatch.undo()
+    a, b = index.raw.read(1)[3].astype(float), index.raw.read(2)[5].astype(float)
+    assert found["v"] == [by[1][3], by[2][5]] and found["w"] == [by[2][5], by[1][3]] and np.allclose(found["sim"], a @ b)
+
+
 @pytest.mark.parametrize("rows", [[], BAD, [("a", np.ones(DIM))], [("a", np.ones(DIM)), ("b", np.ones(DIM))]])
 def test_few_vectors(spark, rows):
     df = table(spark, rows)
