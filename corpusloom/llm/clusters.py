@@ -5,14 +5,14 @@ community detection runs on it. The graph starts within the blocks of the index
 is compared with its neighbours' neighbours until no list changes. Only lists of addresses are shuffled,
 workers read the vectors they compare. Communities move record by record, then whole communities, until no level
 gains modularity; a community's typical members are those of highest internal weighted degree.
-Clusters are the connected components of the graph, whose edges are exact cosines of at least the floor,
-followed by a check: every vector is compared with all pieces of the index that may hold one alike but in
-another component, and what is alike is joined.
+Clusters need no graph: what is alike within a block of the index forms groups, every two groups are compared by their
+means, and only those that may hold two alike vectors by these themselves. All pairs of vectors are covered that way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.vectors import BITS, BLUR, STEP, UNIT_SQL, Candidates, Files, Index, Raw, block_of, indexed, products, usable
+from corpusloom.llm.vectors import BITS, BLUR, MISSED, SPREAD, STEP, UNIT_SQL, Candidates, Files, Index, Raw, block_of, indexed, products, tail, usable
 from corpusloom.operators.components import connected, union_find
 from corpusloom.operators.skew import skew_join, top_n
 from corpusloom.session import Scratch
@@ -30,6 +30,13 @@ NEIGHBOURS, STARTS = 10, 4
 #: Modularity that a round of moves must gain to be followed by another.
 GAIN = 1e-4
 
+#: Tasks that compare the groups of a block, and of all blocks, at most.
+RUNS, TASKS = 4, 2000
+#: How many times the average squared distance from the mean a member may have.
+FAR = 2.0
+#: Vectors by which the spread of groups is measured, and the least that is taken for it.
+MEASURES, LEAST_SPREAD = 256, 1.1
+
 #: The part of an address that is the place in its block.
 LOW = (1 << BITS) - 1
 EDGE = "v bigint, w bigint, sim double"
@@ -214,50 +221,197 @@ def graph_of(index: Index, spark: SparkSession, floor: float, scratch: Scratch,
     return edges.select("v", F.col("e.w").alias("w"), F.col("e.sim").alias("sim"))
 
 
-def _labelled(index: Index, spark: SparkSession, graph: DataFrame, table: DataFrame, scratch: Scratch, floor: float) -> DataFrame:
-    """(at, root) of every vector of ``table`` (at): the components of ``graph``, and of what the check finds alike beyond them."""
-    groups = connected(graph.select(F.col("v").alias("u"), F.col("w").alias("v")), Scratch(spark, "p2-groups"))
-    labels = table.select("at").join(groups.withColumnRenamed("v", "at"), "at", "left").select("at", F.coalesce("root", "at").alias("root"))
-    labels = scratch.put(labels.repartitionById(index.blocks, block_of("at")).sortWithinPartitions("at"), "labels")
-    roots = Files(scratch, "labels")
-    pairs = index.each_block(spark, lambda block: checked(index, roots, block, floor), "u bigint, v bigint")
-    joins = connected(pairs, Scratch(spark, "p2-joined")).select(F.col("v").alias("root"), F.col("root").alias("next"))
-    return scratch.put(skew_join(labels, joins, "root", "left", rows=index.rows).select("at", F.coalesce("next", "root").alias("root")), "clusters")
+class Joined:
+    """Names that turn out to be of one group, as far as one task knows."""
+
+    def __init__(self) -> None:
+        self.old, self.new = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def now(self, r: np.ndarray) -> np.ndarray:
+        if not len(self.old):
+            return r
+        at = np.minimum(np.searchsorted(self.old, r), len(self.old) - 1)
+        return np.where(self.old[at] == r, self.new[at], r)
+
+    def join(self, u: np.ndarray, v: np.ndarray) -> None:
+        if len(u):
+            self.old, self.new = union_find(np.concatenate([self.old, u]), np.concatenate([self.new, v]))
+
+    def links(self) -> pa.Table:
+        less = self.old != self.new
+        return pa.table({"u": pa.array(self.old[less], pa.int64()), "v": pa.array(self.new[less], pa.int64())})
+
 
+def _alike(x: np.ndarray, y: np.ndarray, mine: np.ndarray, theirs: np.ndarray, joined: Joined, floor: float) -> None:
+    """Join the groups ``mine`` of the rows of ``x`` and ``theirs`` of ``y`` where a cosine is at least ``floor``."""
+    for r in range(0, len(x), STEP):
+        for s in range(0, len(y), STEP):
+            cos = x[r : r + STEP] @ y[s : s + STEP].T
+            p, q = joined.now(mine[r : r + STEP]), joined.now(theirs[s : s + STEP])
+            at, hit = np.nonzero((cos >= floor - BLUR) & (p[:, None] != q[None]))
+            good = cos[at, hit] >= floor + BLUR
+            for c in np.array_split(np.flatnonzero(~good), len(at) // 16384 + 1):
+                good[c] = products(x[r + at[c]], y[s + hit[c]]) >= floor
+            joined.join(p[at[good]], q[hit[good]])
 
-def checked(index: Index, roots: Files, block: int, floor: float) -> pa.Table | None:
-    """(u, v): components that must be joined, as a vector of the block is alike to one of a piece that may hold such."""
+
+def _means(x: np.ndarray, of: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of each group of the rows of ``x``, ``of`` telling whose they are and ``n`` their numbers, and each row's squared distance from its own."""
+    order = np.argsort(of, kind="stable")
+    mean = (np.add.reduceat(x[order], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0, dtype=np.float64) / n[:, None]).astype("<f4")
+    return mean, np.where(n[of] > 1, ((x - mean[of]) ** 2).sum(1, dtype=np.float64), 0.0)
+
+
+def rooted(index: Index, block: int, floor: float) -> pa.Table | None:
+    """(at, root, grp) of the vectors of a block: the components of what is alike within it, and those parts of them that have a mean of use.
+
+    Members whose squared distance from the mean is over FAR times the average are a part each.
+    """
     x = index.raw.read(block)
     if not len(x):
         return None
-    own = roots.read(block, ["root"])["root"].to_numpy()
-    old, new = np.zeros(0, np.int64), np.zeros(0, np.int64)  # components of this task that are no longer their own
+    own, joined = (np.int64(block) << BITS) + np.arange(len(x)), Joined()
+    for s in range(0, len(x), STEP):
+        _alike(x[s : s + STEP], x[: s + STEP], own[s : s + STEP], own[: s + STEP], joined, floor)
+    grp = joined.now(own)
+    root, new = grp.copy(), np.ones(1, bool)
+    while new.any():
+        _, of, n = np.unique(root, return_inverse=True, return_counts=True)
+        far = _means(x, of, n)[1]
+        new = (n[of] > 1) & (far > FAR * (np.bincount(of, far) / n)[of] + BLUR)
+        root[new] = own[new]
+        left = np.flatnonzero(~new)  # parts go by their smallest member
+        first = np.full(len(n), np.iinfo(np.int64).max)
+        np.minimum.at(first, of[left], own[left])
+        root[left] = first[of[left]]
+    return pa.table({"at": pa.array(own), "root": pa.array(root), "grp": pa.array(grp)})
+
+
+def measured(index: Index, roots: Files, means: Raw, block: int) -> pa.Table | None:
+    """(root, square, far, spread) of the groups of a block, whose means are written, longest first: squared length, most squared distance of a member.
+
+    spread is by how much products of MEASURES vectors of the next block with what tells members from their mean exceed those of random directions.
+    """
+    x = index.raw.read(block)
+    if not len(x):
+        return None
+    names, of, n = np.unique(roots.read(block, ["root"])["root"].to_numpy(), return_inverse=True, return_counts=True)
+    mean, far = _means(x, of, n)
+    most = np.zeros(len(names))
+    np.maximum.at(most, of, far)
+    square = np.where(n == 1, 1.0, np.minimum((mean.astype(np.float64) ** 2).sum(1), 1))
+    order = np.argsort(-square, kind="stable")
+    for _ in means.write(block, iter([mean[order]])):
+        pass
+    spread, rows = None, np.flatnonzero((n[of] >= 4) & (far > 1e-3))
+    if len(rows) >= 200:
+        other = next(y for k in range(1, index.blocks + 1) if len(y := index.raw.read((block + k) % index.blocks)))
+        some = other[:: max(1, len(other) // MEASURES)]
+        apart = (x[rows] - mean[of[rows]]) / np.sqrt(far[rows] / index.dim)[:, None]
+        foreign = x[rows] @ some.T < 0.4  # members of the same group are no measure
+        squares, seen = np.where(foreign, (apart @ some.T) ** 2, 0).sum(0), foreign.sum(0)
+        if (seen >= 200).any():
+            spread = float(np.sqrt(squares[seen >= 200] / seen[seen >= 200]).max())
+    columns = {"root": pa.array(names[order], pa.int64()), "square": pa.array(square[order]), "far": pa.array(most[order])}
+    return pa.table(columns | {"spread": pa.array([spread] * len(names), pa.float64())})
+
+
+class Nodes:
+    """Groups of alike vectors, each of one block, by their root: their means in raw files, and who belongs to each.
+
+    The product of two groups' means is the mean of their members' products: from the floor on, some two members are
+    alike. Below, how far the best of them may exceed it follows from how far members are from the means; only groups that may hold
+    two alike have their members compared. Lone vectors are their own mean, so their product is exact.
+    """
 
-    def now(r: np.ndarray) -> np.ndarray:
-        if not len(old):
-            return r
-        at = np.minimum(np.searchsorted(old, r), len(old) - 1)
-        return np.where(old[at] == r, new[at], r)
-
-    wanted = index.nearby(x, block, least=floor)
-    for b, queries, rows in index.visits(wanted):
-        theirs = roots.read(b, ["root"])["root"].to_numpy()[rows]
-        if (now(own[queries])[:, None][:1] == now(theirs)[None]).all() and len(np.unique(now(own[queries]))) == 1:
-            continue  # all of one component
-        other = index.raw.read(b)[rows]
-        for s in range(0, len(queries), STEP):
-            part = queries[s : s + STEP]
-            for r in range(0, len(rows), 4 * STEP):
-                cos = x[part] @ other[r : r + 4 * STEP].T
-                mine, others = now(own[part]), now(theirs[r : r + 4 * STEP])
-                at, hit = np.nonzero((cos >= floor - BLUR) & (mine[:, None] != others[None]))
-                good = cos[at, hit] >= floor + BLUR
-                for c in np.array_split(np.flatnonzero(~good), len(at) // 16384 + 1):
-                    good[c] = products(x[part[at[c]]], other[r + hit[c]]) >= floor
-                if good.any():
-                    old, new = union_find(np.concatenate([old, mine[at[good]]]), np.concatenate([new, others[hit[good]]]))
-    less = old != new
-    return pa.table({"u": pa.array(old[less], pa.int64()), "v": pa.array(new[less], pa.int64())})
+    def __init__(self, index: Index, spark: SparkSession, scratch: Scratch, name: str, floor: float):
+        self.index, self.floor, self.blocks, self.owned = index, floor, index.blocks, Files(scratch, name)
+        self.raw = Raw(f"{scratch.root}/{name}-means", "<f4", index.dim)
+        owned, raw = self.owned, self.raw
+        schema = "root bigint, square double, far double, spread double"
+        table = scratch.put(index.each_block(spark, lambda block: measured(index, owned, raw, block), schema), f"{name}-nodes")
+        self.files = Files(scratch, f"{name}-nodes")
+        self.count, spread = table.agg(F.count(F.lit(1)), F.max("spread")).first()
+        self.spread = SPREAD if spread is None else max(LEAST_SPREAD, spread)
+        self.reach = float(tail(np.array([2 * MISSED / max(index.rows, 2) ** 2]))[0]) * self.spread / np.sqrt(index.dim)
+
+    def read(self, block: int) -> tuple[np.ndarray, ...]:
+        """(root, squared length, distance, mean) of the groups of a block, longest first."""
+        t = self.files.read(block, ["root", "square", "far"])
+        if t is None:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros((0, self.index.dim), "<f4")
+        return *(t[c].to_numpy() for c in ("root", "square", "far")), self.raw.read(block)
+
+    def members(self, block: int, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(root, address) of the members of ``roots`` of a block."""
+        t = self.owned.read(block, ["root", "at"])
+        root, at = t["root"].to_numpy(), t["at"].to_numpy()
+        mine = np.isin(root, roots)
+        order = np.argsort(root[mine], kind="stable")
+        return root[mine][order], at[mine][order]
+
+    def compared(self, i: int, a: tuple[np.ndarray, ...], j: int, joined: Joined) -> None:
+        """Join the groups ``a`` of block ``i`` with those of block ``j`` that hold vectors alike to theirs."""
+        b = a if i == j else self.read(j)
+        reach = lambda sa, fa, sb, fb: self.reach * np.sqrt(sa * fb + sb * fa + fa * fb)
+        maybe = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for s in range(0, len(a[0]), STEP):
+            ra, sa, fa, xa = (c[s : s + STEP] for c in a)
+            for r in range(s if i == j else 0, len(b[0]), STEP):
+                rb, sb, fb, xb = (c[r : r + STEP] for c in b)
+                cos = xa @ xb.T
+                at, hit = np.divmod(np.flatnonzero(cos >= np.float32(self.floor - BLUR - reach(sa[0], fa.max(), sb[0], fb.max()))), len(rb))
+                near = cos[at, hit]
+                may = near >= self.floor - BLUR - reach(sa[at], fa[at], sb[hit], fb[hit])
+                at, hit, near = at[may], hit[may], near[may]
+                u, v = joined.now(ra[at]), joined.now(rb[hit])
+                apart = u != v
+                sure = apart & (near >= self.floor + BLUR)
+                joined.join(u[sure], v[sure])
+                maybe.append((ra[at[apart & ~sure]], rb[hit[apart & ~sure]]))
+        u, v = (np.concatenate(m) for m in zip(*maybe))
+        apart = joined.now(u) != joined.now(v)
+        if apart.any():
+            self._members(i, u[apart], j, v[apart], joined)
+
+    def _members(self, i: int, u: np.ndarray, j: int, v: np.ndarray, joined: Joined) -> None:
+        """Compare the members of the groups ``u`` of block ``i`` with those of ``v`` of block ``j``, pair by pair."""
+        roots_u, at_u = self.members(i, u)
+        roots_v, at_v = self.members(j, v)
+        xs, ys = self.index.raw.take(i, at_u & LOW), self.index.raw.take(j, at_v & LOW)
+        order = np.argsort(u, kind="stable")
+        u, v = u[order], v[order]
+        names, first = np.unique(u, return_index=True)
+        for name, s, e in zip(names, first, np.append(first[1:], len(u))):
+            others = v[s:e][joined.now(v[s:e]) != joined.now(u[s : s + 1])]
+            p, q = slice(*np.searchsorted(roots_u, [name, name + 1])), np.isin(roots_v, others)
+            _alike(xs[p], ys[q], roots_u[p], roots_v[q], joined, self.floor)
+
+    def alike(self, spark: SparkSession) -> DataFrame:
+        """(u, v): links of all groups that hold alike vectors; every two groups are compared."""
+        runs = max(1, min(RUNS, TASKS // max(1, self.blocks)))
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    i, run = divmod(k, runs)
+                    a, joined = self.read(i), Joined()
+                    if len(a[0]):
+                        for d in range(run, self.blocks // 2 + 1, runs):  # a ring: each two blocks meet once
+                            if 2 * d != self.blocks or i < d or not d:
+                                self.compared(i, a, (i + d) % self.blocks, joined)
+                    yield from joined.links().to_batches()
+
+        return spark.range(0, self.blocks * runs, 1, self.blocks * runs).mapInArrow(task, "u bigint, v bigint")
+
+
+def _labelled(index: Index, spark: SparkSession, scratch: Scratch, floor: float) -> DataFrame:
+    """(at, root) of every vector: the components of all that are alike."""
+    labels = scratch.put(index.each_block(spark, lambda block: rooted(index, block, floor), "at bigint, root bigint, grp bigint"), "labels")
+    links = Nodes(index, spark, scratch, "labels", floor).alike(spark)
+    links = links.unionByName(labels.filter("root <> grp").select(F.col("root").alias("u"), F.col("grp").alias("v")))
+    joins = connected(links, Scratch(spark, "p2-joined")).select(F.col("v").alias("root"), F.col("root").alias("next"))
+    return scratch.put(skew_join(labels.select("at", "root"), joins, "root", "left", rows=index.rows).select("at", F.coalesce("next", "root").alias("root")), "clusters")
 
 
 def communities(graph: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
@@ -334,18 +488,22 @@ class Graph:
         if self.rows:
             self.index, self.table = indexed(vectors, self.rows, scratch)
             scratch.drop("vectors")
-            self.edges = scratch.put(graph_of(self.index, self.spark, floor, scratch), "graph")
             at = self.table.select("vid", F.col("at").alias("v"))
             self.members = scratch.put(skew_join(named, at, "vid").select("v", "image_id"), "named")
         else:
-            self.table, self.edges = self.spark.createDataFrame([], "at bigint, vid bigint"), self.spark.createDataFrame([], EDGE)
+            self.table = self.spark.createDataFrame([], "at bigint, vid bigint")
             self.members = self.spark.createDataFrame([], "v bigint, image_id string")
 
+    @cached_property
+    def edges(self) -> DataFrame:
+        """The neighbour graph, made when first asked for."""
+        return self.scratch.put(graph_of(self.index, self.spark, self.floor, self.scratch), "graph") if self.rows else self.spark.createDataFrame([], EDGE)
+
     def clusters(self) -> DataFrame:
         """(v, grp) of every vector: its cluster."""
         if not self.rows:
             return self.spark.createDataFrame([], "v bigint, grp bigint")
-        return _labelled(self.index, self.spark, self.edges, self.table, self.scratch, self.floor).select(F.col("at").alias("v"), F.col("root").alias("grp"))
+        return _labelled(self.index, self.spark, self.scratch, self.floor).select(F.col("at").alias("v"), F.col("root").alias("grp"))
 
     def communities(self) -> tuple[DataFrame, float]:
         """((v, grp) of every vector: its community, one without an edge being its own; modularity)."""

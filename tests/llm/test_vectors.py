@@ -78,6 +78,44 @@ def test_clusters(spark, scratch, monkeypatch):
     assert np.mean(hits) >= 0.95
 
 
+def test_clusters_compare_groups_not_vectors(spark, scratch, monkeypatch):
+    """Clusters come from means of groups: no neighbour graph is made, and few vectors are read again."""
+    monkeypatch.setattr(vectors, "ROWS_A_PIVOT", 20)
+    monkeypatch.setattr(vectors, "SMALL", 100)
+    rows = made(13, [200] + [30] * 6 + [7] * 10, 300)
+    ids, s = [i for i, _ in rows], cosines(rows)
+    want = linked([(ids[a], ids[b]) for a, b in zip(*np.nonzero(s >= 0.47)) if a < b])
+    monkeypatch.setattr(clusters, "graph_of", lambda *a: pytest.fail("a neighbour graph is made"))
+    graph = clusters.Graph(table(spark, rows), scratch)
+    root, names = dict(map(tuple, graph.clusters().collect())), {r.v: r.image_id for r in graph.members.collect()}
+    least = {}
+    for v, r in root.items():
+        least[r] = min(least.get(r, names[v]), names[v])
+    assert {names[v]: least[r] for v, r in root.items()} == {i: want.get(i, i) for i in ids}
+    nodes, index, joined, taken = clusters.Nodes(graph.index, spark, scratch, "labels", 0.47), graph.index, clusters.Joined(), []
+    assert nodes.count < len(rows) and index.blocks > 4
+    take, read = vectors.Raw.take, vectors.Raw.read
+    monkeypatch.setattr(vectors.Raw, "take", lambda self, block, at: taken.extend(at) or take(self, block, at))
+    monkeypatch.setattr(vectors.Raw, "read", lambda self, block: read(self, block) if self is nodes.raw else pytest.fail("a block of vectors is read"))
+    for i in range(index.blocks):
+        a = nodes.read(i)
+        for j in range(i, index.blocks):
+            nodes.compared(i, a, j, joined)
+    assert len(taken) < 0.1 * len(rows) * index.blocks / 2  # what comparing vectors reads for every two blocks
+    assert len(joined.links())
+
+
+def test_far_members_are_groups_of_their_own(spark, scratch):
+    rng = np.random.default_rng(14)
+    rows = [(f"x{k:02}", v) for k, v in enumerate(blob(rng, np.eye(DIM)[0], 60, 0.2))] + [("far", np.cos(np.radians(50)) * np.eye(DIM)[0] + np.sin(np.radians(50)) * np.eye(DIM)[1])]
+    graph = clusters.Graph(table(spark, rows), scratch)
+    assert len({r.grp for r in graph.clusters().collect()}) == 1
+    parts = {}
+    for r in spark.read.parquet(f"{scratch.root}/labels").collect():
+        parts.setdefault(r.root, []).append(r.at)
+    assert sorted(map(len, parts.values())) == [1, 60] and all(k == min(v) for k, v in parts.items())
+
+
 def test_descent_reads_rows_not_blocks(spark, scratch, monkeypatch):
     """A round that compares few vectors of a block reads these only, and what gets into their lists, not all lists of the block."""
     monkeypatch.setattr(vectors, "SMALL", 150)
