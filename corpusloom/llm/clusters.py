@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.vectors import BITS, BLUR, MISSED, SPREAD, STEP, UNIT_SQL, Candidates, Files, Index, Raw, block_of, indexed, products, tail, usable
+from corpusloom.llm.vectors import BITS, BLUR, MISSED, SPREAD, STEP, UNIT_SQL, Candidates, Files, Index, Raw, blobs, block_of, indexed, matrix, products, tail, usable
 from corpusloom.operators.components import connected, union_find
 from corpusloom.operators.skew import skew_join, top_n
 from corpusloom.session import Scratch
@@ -32,6 +32,10 @@ GAIN = 1e-4
 
 #: Tasks that compare the groups of a block, and of all blocks, at most.
 RUNS, TASKS = 4, 2000
+#: Groups from which on alike ones are merged before all are compared, draws of pivots for that, groups of a pivot, and pivots of a draw at most (25 MB in all).
+MERGE_FROM, TABLES, MEETING, MOST_MEETING = 50_000, 8, 256, 2048
+#: Rows of a task that merges, about; groups of a block of merged ones.
+MEET_ROWS, NODES = 32_768, 4096
 #: How many times the average squared distance from the mean a member may have.
 FAR = 2.0
 #: Vectors by which the spread of groups is measured, and the least that is taken for it.
@@ -288,7 +292,7 @@ def rooted(index: Index, block: int, floor: float) -> pa.Table | None:
 
 
 def measured(index: Index, roots: Files, means: Raw, block: int) -> pa.Table | None:
-    """(root, square, far, spread) of the groups of a block, whose means are written, longest first: squared length, most squared distance of a member.
+    """(root, n, square, far, spread) of the groups of a block, whose means are written, longest first: members, squared length, most squared distance of a member.
 
     spread is by how much products of MEASURES vectors of the next block with what tells members from their mean exceed those of random directions.
     """
@@ -312,7 +316,7 @@ def measured(index: Index, roots: Files, means: Raw, block: int) -> pa.Table | N
         squares, seen = np.where(foreign, (apart @ some.T) ** 2, 0).sum(0), foreign.sum(0)
         if (seen >= 200).any():
             spread = float(np.sqrt(squares[seen >= 200] / seen[seen >= 200]).max())
-    columns = {"root": pa.array(names[order], pa.int64()), "square": pa.array(square[order]), "far": pa.array(most[order])}
+    columns = {"root": pa.array(names[order], pa.int64()), "n": pa.array(n[order], pa.int64()), "square": pa.array(square[order]), "far": pa.array(most[order])}
     return pa.table(columns | {"spread": pa.array([spread] * len(names), pa.float64())})
 
 
@@ -324,11 +328,14 @@ class Nodes:
     two alike have their members compared. Lone vectors are their own mean, so their product is exact.
     """
 
+    #: Members of the block of groups at hand.
+    held: tuple | None = None
+
     def __init__(self, index: Index, spark: SparkSession, scratch: Scratch, name: str, floor: float):
         self.index, self.floor, self.blocks, self.owned = index, floor, index.blocks, Files(scratch, name)
         self.raw = Raw(f"{scratch.root}/{name}-means", "<f4", index.dim)
         owned, raw = self.owned, self.raw
-        schema = "root bigint, square double, far double, spread double"
+        schema = "root bigint, n bigint, square double, far double, spread double"
         table = scratch.put(index.each_block(spark, lambda block: measured(index, owned, raw, block), schema), f"{name}-nodes")
         self.files = Files(scratch, f"{name}-nodes")
         self.count, spread = table.agg(F.count(F.lit(1)), F.max("spread")).first()
@@ -343,12 +350,12 @@ class Nodes:
         return *(t[c].to_numpy() for c in ("root", "square", "far")), self.raw.read(block)
 
     def members(self, block: int, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(root, address) of the members of ``roots`` of a block."""
+        """(root, vector) of the members of ``roots`` of a block, by root."""
         t = self.owned.read(block, ["root", "at"])
         root, at = t["root"].to_numpy(), t["at"].to_numpy()
         mine = np.isin(root, roots)
         order = np.argsort(root[mine], kind="stable")
-        return root[mine][order], at[mine][order]
+        return root[mine][order], self.index.raw.take(block, at[mine][order] & LOW)
 
     def compared(self, i: int, a: tuple[np.ndarray, ...], j: int, joined: Joined) -> None:
         """Join the groups ``a`` of block ``i`` with those of block ``j`` that hold vectors alike to theirs."""
@@ -368,23 +375,36 @@ class Nodes:
                 apart = u != v
                 sure = apart & (near >= self.floor + BLUR)
                 joined.join(u[sure], v[sure])
-                maybe.append((ra[at[apart & ~sure]], rb[hit[apart & ~sure]]))
-        u, v = (np.concatenate(m) for m in zip(*maybe))
-        apart = joined.now(u) != joined.now(v)
+                maybe.append((s + at[apart & ~sure], r + hit[apart & ~sure]))
+        at, hit = (np.concatenate(m) for m in zip(*maybe))
+        apart = joined.now(a[0][at]) != joined.now(b[0][hit])
         if apart.any():
-            self._members(i, u[apart], j, v[apart], joined)
-
-    def _members(self, i: int, u: np.ndarray, j: int, v: np.ndarray, joined: Joined) -> None:
-        """Compare the members of the groups ``u`` of block ``i`` with those of ``v`` of block ``j``, pair by pair."""
-        roots_u, at_u = self.members(i, u)
-        roots_v, at_v = self.members(j, v)
-        xs, ys = self.index.raw.take(i, at_u & LOW), self.index.raw.take(j, at_v & LOW)
-        order = np.argsort(u, kind="stable")
-        u, v = u[order], v[order]
-        names, first = np.unique(u, return_index=True)
-        for name, s, e in zip(names, first, np.append(first[1:], len(u))):
-            others = v[s:e][joined.now(v[s:e]) != joined.now(u[s : s + 1])]
-            p, q = slice(*np.searchsorted(roots_u, [name, name + 1])), np.isin(roots_v, others)
+            self._members(i, a, at[apart], j, b, hit[apart], joined)
+
+    def _members(self, i: int, a: tuple[np.ndarray, ...], at: np.ndarray, j: int, b: tuple[np.ndarray, ...], hit: np.ndarray, joined: Joined) -> None:
+        """Compare the members of the groups ``at`` of block ``i`` with the means of the groups ``hit`` of block ``j``, and with their members where these may be alike."""
+        if self.held is None or self.held[0] != i:
+            self.held = (i, *self.members(i, a[0]))
+        roots_u, xs = self.held[1:]
+        order = np.argsort(at, kind="stable")
+        at, hit = at[order], hit[order]
+        least = self.floor - BLUR - self.reach * np.sqrt(b[2])
+        names, first = np.unique(at, return_index=True)
+        kept = np.zeros(len(at), bool)
+        for k, s, e in zip(names, first, np.append(first[1:], len(at))):
+            x = xs[slice(*np.searchsorted(roots_u, [a[0][k], a[0][k] + 1]))]
+            for r in range(s, e, STEP):
+                some = hit[r : min(r + STEP, e)]
+                for q in range(0, len(x), STEP):
+                    kept[r : r + len(some)] |= (x[q : q + STEP] @ b[3][some].T >= least[some]).any(0)
+        if not kept.any():
+            return
+        at, v = at[kept], b[0][hit[kept]]
+        roots_v, ys = self.members(j, np.unique(v))
+        names, first = np.unique(at, return_index=True)
+        for k, s, e in zip(names, first, np.append(first[1:], len(at))):
+            others = v[s:e][joined.now(v[s:e]) != joined.now(a[0][k : k + 1])]
+            p, q = slice(*np.searchsorted(roots_u, [a[0][k], a[0][k] + 1])), np.isin(roots_v, others)
             _alike(xs[p], ys[q], roots_u[p], roots_v[q], joined, self.floor)
 
     def alike(self, spark: SparkSession) -> DataFrame:
@@ -405,11 +425,165 @@ class Nodes:
         return spark.range(0, self.blocks * runs, 1, self.blocks * runs).mapInArrow(task, "u bigint, v bigint")
 
 
+def taken(raw: Raw, at: np.ndarray) -> np.ndarray:
+    """The rows of ``raw`` at some addresses."""
+    out, order = np.empty((len(at), raw.width), raw.kind), np.argsort(at, kind="stable")
+    blocks, first = np.unique(at[order] >> BITS, return_index=True)
+    for b, s, e in zip(blocks, first, np.append(first[1:], len(at))):
+        out[order[s:e]] = raw.take(int(b), at[order[s:e]] & LOW)
+    return out
+
+
+def meetings(nodes: Nodes, spark: SparkSession) -> DataFrame:
+    """(u, v): links of groups that are alike by their means and have a nearest pivot in common, in one of TABLES draws of pivots.
+
+    This only makes groups fewer before every two of them are compared, so nothing hangs on whom it finds.
+    """
+    index, size, floor = nodes.index, min(MOST_MEETING, max(16, nodes.count // MEETING)), nodes.floor
+    few = -(-size * TABLES // nodes.blocks)
+
+    def some(block: int) -> pa.Table | None:
+        mean = nodes.read(block)[-1]
+        return pa.table({"vec": blobs(mean[:: max(1, len(mean) // few)][:few])}) if len(mean) else None
+
+    found = np.stack([np.frombuffer(r.vec, "<f4") for r in index.each_block(spark, some, "vec binary").collect()])
+    found /= np.linalg.norm(found, axis=1, keepdims=True)
+    pivots = spark.sparkContext.broadcast(np.array_split(found[np.random.default_rng(1).permutation(len(found))], TABLES))
+
+    def place(block: int) -> pa.Table | None:
+        root, _, _, mean = nodes.read(block)
+        if not len(root):
+            return None
+        at, start, out = (np.int64(block) << BITS) + np.arange(len(root)), 0, []
+        for p in pivots.value:
+            if len(p):
+                near = np.concatenate([(mean[s : s + STEP] @ p.T).argmax(1) for s in range(0, len(mean), STEP)])
+                out.append(pa.table({"bucket": pa.array(start + near, pa.int64()), "at": pa.array(at), "root": pa.array(root)}))
+            start += len(p)
+        return pa.concat_tables(out).combine_chunks()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            bucket, at, root = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+            x, us, vs = taken(nodes.raw, at), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            names, first = np.unique(bucket, return_index=True)
+            for s, e in zip(first, np.append(first[1:], len(bucket))):
+                for r in range(s, e, STEP):
+                    u, v = np.nonzero(x[r : min(r + STEP, e)] @ x[r:e].T >= floor + BLUR)
+                    us.append(root[r + u[u < v]])
+                    vs.append(root[r + v[u < v]])
+            joined = Joined()
+            joined.join(np.concatenate(us), np.concatenate(vs))
+            yield from joined.links().to_batches()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= MEET_ROWS:
+                    yield from links()
+                    held = []
+        if held:
+            yield from links()
+
+    tasks = max(12, -(-nodes.count * TABLES // MEET_ROWS))
+    placed = index.each_block(spark, place, "bucket bigint, at bigint, root bigint")
+    return placed.repartition(tasks, "bucket").sortWithinPartitions("bucket", "at").mapInArrow(meet, "u bigint, v bigint")
+
+
+class Merged(Nodes):
+    """Groups of groups known to be alike; parts far from the mean stay groups of their own."""
+
+    def __init__(self, nodes: Nodes, spark: SparkSession, scratch: Scratch, joins: DataFrame):
+        self.index, self.floor, self.reach, self.count = nodes.index, nodes.floor, nodes.reach, nodes.count
+        index, dim = nodes.index, nodes.index.dim
+        scratch.put(joins.select(block_of("root").alias("block"), "root", "next").repartitionById(index.blocks, "block").select("root", "next"), "moves")
+        moves = Files(scratch, "moves")
+        fewer = max(1, nodes.count - joins.filter("root <> next").count())
+        self.blocks = max(-(-fewer // NODES), min(index.blocks, 24))
+        self.raw = raw = Raw(f"{scratch.root}/merged-means", "<f4", dim)
+
+        def parts(block: int) -> pa.Table | None:
+            t, mean = nodes.files.read(block, ["root", "n", "square", "far"]), nodes.read(block)[-1]
+            if t is None:
+                return None
+            root, own, moved = t["root"].to_numpy(), nodes.owned.read(block, ["root", "at"]), moves.read(block, ["root", "next"])
+            to = root.copy()
+            if moved is not None and moved.num_rows:
+                old, new = moved["root"].to_numpy(), moved["next"].to_numpy()
+                order = np.argsort(old)
+                old, new = old[order], new[order]
+                place = np.minimum(np.searchsorted(old, root), len(old) - 1)
+                to = np.where(old[place] == root, new[place], root)
+            r, at = own["root"].to_numpy(), own["at"].to_numpy()
+            by = np.argsort(r, kind="stable")
+            r, at = r[by], at[by]
+            rank = np.argsort(root)  # lists lie in order of the roots
+            lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(r, root[rank]), len(r)).astype(np.int32)), pa.array(at, pa.int64()))
+            columns = {"next": pa.array(to[rank], pa.int64()), "root": pa.array(root[rank], pa.int64())}
+            columns |= {c: pa.array(t[c].to_numpy()[rank]) for c in ("n", "square", "far")}
+            return pa.table(columns | {"members": lists, "mean": blobs(mean[rank])})
+
+        def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole = [b for b in batches if b.num_rows]
+            if not whole:
+                return
+            t = pa.Table.from_batches(whole).combine_chunks()
+            mean, n, far, square, id_ = matrix(t["mean"], dim), *(t[c].to_numpy() for c in ("n", "far", "square")), t["next"].to_numpy().copy()
+            root, new = t["root"].to_numpy(), np.ones(1, bool)
+            lists = t["members"].combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            x, owner = taken(index.raw, lists.flatten().to_numpy()), np.repeat(np.arange(len(n)), n)
+            while new.any():
+                _, of, k = np.unique(id_, return_inverse=True, return_counts=True)
+                order, start = np.argsort(of, kind="stable"), np.concatenate([[0], np.cumsum(k)[:-1]])
+                total = np.bincount(of, n)
+                middle = (np.add.reduceat((mean * n[:, None])[order], start, axis=0, dtype=np.float64) / total[:, None]).astype("<f4")
+                single = k == 1
+                middle[single] = mean[order[start[single]]]
+                length = np.where(single, square[order[start]], np.minimum((middle.astype(np.float64) ** 2).sum(1), 1))
+                reached = np.zeros(len(n))
+                for s in range(0, len(x), STEP):
+                    np.maximum.at(reached, owner[s : s + STEP], ((x[s : s + STEP] - middle[of[owner[s : s + STEP]]]) ** 2).sum(1, dtype=np.float64))
+                reached = np.where(single[of], far, reached)
+                new = ~single[of] & (reached > FAR * (1 - length)[of] + BLUR)
+                id_[new] = -1 - root[new]  # apart from any other
+            most = np.zeros(len(k))
+            np.maximum.at(most, of, reached)
+            rank = np.argsort(-length, kind="stable")
+            for _ in raw.write(whole[0].column(0)[0].as_py(), iter([middle[rank]])):
+                pass
+            # members group by group, named by a part of each
+            lists = lists.take(pa.array(order))
+            ends = np.append(start, len(order))
+            whole_lists = pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy()[ends].astype(np.int32)), lists.values)
+            yield from pa.table({"root": pa.array(root[order[start]][rank]), "square": pa.array(length[rank]), "far": pa.array(most[rank]), "members": whole_lists.take(pa.array(rank))}).to_batches()
+
+        part = F.pmod(F.xxhash64("next"), F.lit(self.blocks)).cast("int").alias("block")
+        rows = index.each_block(spark, parts, "next bigint, root bigint, n bigint, square double, far double, members array<bigint>, mean binary")
+        rows = rows.select(part, "*").repartitionById(self.blocks, "block").sortWithinPartitions("root")
+        scratch.put(rows.mapInArrow(store, "root bigint, square double, far double, members array<bigint>"), "merged")
+        self.files = Files(scratch, "merged")
+
+    def members(self, block: int, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t = self.files.read(block, ["root", "members"])
+        t = t.filter(pa.array(np.isin(t["root"].to_numpy(), roots))).sort_by("root").combine_chunks()
+        lists = t["members"].chunk(0)
+        n = np.diff(lists.offsets.to_numpy())
+        return np.repeat(t["root"].to_numpy(), n), taken(self.index.raw, lists.flatten().to_numpy())
+
+
 def _labelled(index: Index, spark: SparkSession, scratch: Scratch, floor: float) -> DataFrame:
     """(at, root) of every vector: the components of all that are alike."""
     labels = scratch.put(index.each_block(spark, lambda block: rooted(index, block, floor), "at bigint, root bigint, grp bigint"), "labels")
-    links = Nodes(index, spark, scratch, "labels", floor).alike(spark)
-    links = links.unionByName(labels.filter("root <> grp").select(F.col("root").alias("u"), F.col("grp").alias("v")))
+    nodes = Nodes(index, spark, scratch, "labels", floor)
+    links = labels.filter("root <> grp").select(F.col("root").alias("u"), F.col("grp").alias("v"))
+    if nodes.count >= MERGE_FROM:
+        met = scratch.put(connected(meetings(nodes, spark), Scratch(spark, "p2-met")), "met").select(F.col("v").alias("root"), F.col("root").alias("next"))
+        nodes = Merged(nodes, spark, scratch, met)
+        links = links.unionByName(met.select(F.col("root").alias("u"), F.col("next").alias("v")))
+    links = links.unionByName(nodes.alike(spark))
     joins = connected(links, Scratch(spark, "p2-joined")).select(F.col("v").alias("root"), F.col("root").alias("next"))
     return scratch.put(skew_join(labels.select("at", "root"), joins, "root", "left", rows=index.rows).select("at", F.coalesce("next", "root").alias("root")), "clusters")
 

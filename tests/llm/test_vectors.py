@@ -116,6 +116,31 @@ def test_far_members_are_groups_of_their_own(spark, scratch):
     assert sorted(map(len, parts.values())) == [1, 60] and all(k == min(v) for k, v in parts.items())
 
 
+def test_merged_groups_give_the_same_clusters(spark, scratch, monkeypatch):
+    """Groups that are alike by their means are merged before all are compared; far parts stay apart, so single links between dense groups are found."""
+    monkeypatch.setattr(vectors, "ROWS_A_PIVOT", 20)
+    monkeypatch.setattr(vectors, "SMALL", 60)
+    monkeypatch.setattr(clusters, "MERGE_FROM", 1)
+    rng, rows = np.random.default_rng(15), made(15, [150, 40, 12] + [7] * 12 + [3] * 4, 200)
+    for pair in range(4):
+        p, q = np.linalg.qr(rng.normal(size=(DIM, 2)))[0].T
+        at = lambda d: np.cos(np.radians(d)) * p + np.sin(np.radians(d)) * q  # noqa: B023, E731
+        rows += [(f"p{pair}-x{k:02}", v) for k, v in enumerate(blob(rng, at(0), 30, 0.2))] + [(f"p{pair}-y{k:02}", v) for k, v in enumerate(blob(rng, at(140), 30, 0.2))]
+        rows += [(f"p{pair}-a", at(40)), (f"p{pair}-b", at(100))]
+    ids, s = [i for i, _ in rows], cosines(rows)
+    want, counts = linked([(ids[a], ids[b]) for a, b in zip(*np.nonzero(s >= 0.47)) if a < b]), []
+    alike = clusters.Nodes.alike
+    monkeypatch.setattr(clusters.Nodes, "alike", lambda self, spark: counts.append((self.count, sum(len(self.read(b)[0]) for b in range(self.blocks)))) or alike(self, spark))
+    graph = clusters.Graph(table(spark, rows), scratch)
+    root, names = dict(map(tuple, graph.clusters().collect())), {r.v: r.image_id for r in graph.members.collect()}
+    least = {}
+    for v, r in root.items():
+        least[r] = min(least.get(r, names[v]), names[v])
+    assert {names[v]: least[r] for v, r in root.items()} == {i: want.get(i, i) for i in ids}
+    ((before, after),) = counts
+    assert len(set(want.values())) < after < before
+
+
 def test_descent_reads_rows_not_blocks(spark, scratch, monkeypatch):
     """A round that compares few vectors of a block reads these only, and what gets into their lists, not all lists of the block."""
     monkeypatch.setattr(vectors, "SMALL", 150)
